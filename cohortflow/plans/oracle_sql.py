@@ -135,3 +135,143 @@ def km_select(by: str | None = None) -> str:
     sel_by = f"{by}, " if by else ""
     return (f"SELECT {sel_by}{r9('time')} AS time, n_risk, n_event, n_censor, {r9('surv')} AS surv, "
             f"{r9('std_err')} AS std_err, {r9('lower')} AS lower, {r9('upper')} AS upper FROM km")
+
+
+# ---------------------------------------------------------------- flattened entities
+def g15(x: str) -> str:
+    return f"printf('%.15g', {x})"
+
+
+def ts(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+
+
+FLAT_PERSON = f"""SELECT CAST(c_custkey AS VARCHAR) AS id, 'person' AS name,
+  CAST(c_nationkey AS VARCHAR) AS c_nationkey, {g15('c_acctbal')} AS c_acctbal, c_mktsegment,
+  c_name AS person_name, CAST(c_nationkey AS VARCHAR) AS dst_id, 'nation' AS dst_name
+FROM customer"""
+
+FLAT_SUBJECT = f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'subject' AS name, o_orderstatus,
+  {g15('o_totalprice')} AS o_totalprice, {ts('o_orderdate')} AS o_orderdate, o_orderpriority,
+  o_orderstatus AS state, CAST(o_custkey AS VARCHAR) AS dst_id, 'person' AS dst_name
+FROM orders"""
+
+FLAT_LINEITEM = f"""SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id,
+  'lineitem' AS name, CAST(l_linenumber AS VARCHAR) AS l_linenumber, {g15('l_quantity')} AS l_quantity,
+  {g15('l_extendedprice')} AS l_extendedprice, {g15('l_discount')} AS l_discount, l_returnflag,
+  {ts('l_shipdate')} AS l_shipdate, l_returnflag || ';' || l_linestatus AS flags,
+  CAST(l_orderkey AS VARCHAR) AS dst_id, 'subject' AS dst_name
+FROM lineitem"""
+
+MERGED = f"""WITH s AS ({FLAT_SUBJECT}), p AS ({FLAT_PERSON}),
+merged AS (
+  SELECT s.id, s.name AS name_subject, s.o_orderstatus, s.o_totalprice, s.o_orderdate, s.o_orderpriority,
+         s.state, s.dst_id, s.dst_name AS dst_name_subject,
+         p.name AS name_person, p.c_nationkey, p.c_acctbal, p.c_mktsegment, p.person_name,
+         p.dst_id AS dst_id_person, p.dst_name AS dst_name_person
+  FROM s LEFT JOIN p ON s.dst_id IS NOT DISTINCT FROM p.id)"""
+
+MERGED_LI = f"""{MERGED}, l AS ({FLAT_LINEITEM}),
+merged_li AS (
+  SELECT m.*, l.id AS id_lineitem, l.name, l.l_linenumber, l.l_quantity, l.l_extendedprice, l.l_discount,
+         l.l_returnflag, l.l_shipdate, l.flags, l.dst_name
+  FROM merged m LEFT JOIN l ON m.id IS NOT DISTINCT FROM l.dst_id)"""
+
+MERGED_LI_COLUMNS = ["name_subject", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "state",
+                     "name_person", "c_nationkey", "c_acctbal", "c_mktsegment", "person_name", "name",
+                     "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
+                     "l_shipdate", "flags"]
+
+ENTITY_NAMES = """names AS (
+  SELECT 'person' AS name FROM customer UNION ALL SELECT 'subject' FROM orders
+  UNION ALL SELECT 'lineitem' FROM lineitem)"""
+
+
+def column_types_sql() -> str:
+    parts = [f"""SELECT '{c}' AS "column", count(TRY_CAST({c} AS DOUBLE)) AS n_numeric,
+  count_if({c} IS NULL OR {c} <> '') AS n_nonempty FROM merged_li""" for c in MERGED_LI_COLUMNS]
+    body = "\nUNION ALL\n".join(parts)
+    return f"""{MERGED_LI}, ct AS ({body})
+SELECT "column", n_numeric, n_nonempty, round(n_numeric / greatest(1, n_nonempty), 9) AS numeric_share,
+       n_numeric / greatest(1, n_nonempty) >= 0.9 AS is_numeric FROM ct"""
+
+
+def distribution_sql(source_ctes: str, source: str, col: str, id_col: str = "id", export: bool = False) -> str:
+    pctx = round_r(f"100.0 * n / (SELECT sum(n) FROM vc)")
+    body = f"""{source_ctes}, vc AS (
+  SELECT {col}, count(*) AS n FROM (SELECT DISTINCT {id_col}, {col} FROM {source}) GROUP BY {col})"""
+    if export:
+        return f"{body} SELECT coalesce({col}, 'N/A') AS {col}, round({pctx}, 9) AS Percentage FROM vc"
+    return (f"{body} SELECT {col}, n, round({pctx}, 9) AS Percentage, "
+            f"{fmt_num(pctx)} || '%' AS Label FROM vc")
+
+
+def flatten_oracles() -> dict[str, str]:
+    return {
+        "entity_types": f"WITH {ENTITY_NAMES} SELECT DISTINCT name FROM names",
+        "optional_entities": f"""WITH {ENTITY_NAMES} SELECT DISTINCT name FROM names
+WHERE name NOT IN ('subject', 'person', 'timing', 'survival_characteristic', 'Metadata', 'program', 'project')""",
+        "flatten_summary": f"WITH {ENTITY_NAMES} SELECT name, count(*) AS n_records FROM names GROUP BY name",
+        "flatten_person": FLAT_PERSON,
+        "flatten_subject": FLAT_SUBJECT,
+        "flatten_lineitem": FLAT_LINEITEM,
+        "merge_subject_person": f"{MERGED} SELECT * FROM merged",
+        "merge_with_lineitem": f"{MERGED_LI} SELECT * FROM merged_li",
+        "dataset_shape": f"{MERGED_LI} SELECT count(*) AS n_rows, 26 AS n_columns FROM merged_li",
+        "column_types": column_types_sql(),
+    }
+
+
+def distribution_oracles() -> dict[str, str]:
+    return {
+        "distribution_priority": distribution_sql(MERGED, "merged", "o_orderpriority"),
+        "distribution_segment_fanout": distribution_sql(MERGED_LI, "merged_li", "c_mktsegment"),
+        "distribution_returnflag_export": distribution_sql(MERGED_LI, "merged_li", "l_returnflag", export=True),
+        "covariate_values_segment": f"{MERGED} SELECT DISTINCT c_mktsegment FROM merged WHERE c_mktsegment IS NOT NULL",
+        "covariate_kind": f"""{MERGED_LI}
+SELECT 'l_quantity' AS "column", coalesce(max(TRY_CAST(l_quantity AS DOUBLE) IS NOT NULL), false) AS numeric FROM merged_li
+UNION ALL
+SELECT 'c_mktsegment', coalesce(max(TRY_CAST(c_mktsegment AS DOUBLE) IS NOT NULL), false) FROM merged_li""",
+    }
+
+
+def survival_oracles(risk_breaks) -> dict[str, str]:
+    os_grouped = f"""{OS},
+{REGION_IDS},
+osg AS (
+  SELECT subject_id, time_years, event,
+         CASE WHEN subject_id IN (SELECT CAST(id AS BIGINT) FROM ids) THEN 'G1' ELSE 'G2' END AS grp
+  FROM os)"""
+    median_cols = """km_med AS (
+  SELECT {by}min(CASE WHEN surv <= 0.5 + 1.49e-8 THEN time END) AS t_half,
+         max(CASE WHEN surv <= 0.5 + 1.49e-8 THEN surv END) AS s_half,
+         min(CASE WHEN surv < 0.5 - 1.49e-8 THEN time END) AS t_below
+  FROM km {grp})
+SELECT {by}round(CASE WHEN t_half IS NULL THEN NULL
+                 WHEN abs(s_half - 0.5) < 1.49e-8 AND t_below IS NOT NULL THEN (t_half + t_below) / 2
+                 ELSE t_half END, 9) AS median FROM km_med"""
+    breaks = ", ".join(f"({i}, {b!r})" for i, b in enumerate(risk_breaks))
+    return {
+        "overall_survival": f"{OS} SELECT subject_id, {r9('time_years')} AS time_years, event FROM os",
+        "event_free_survival": f"{EFS} SELECT subject_id, {r9('time_years')} AS time_years, event FROM efs",
+        "km_overall_survival": f"{OS}, {km_ctes('os')} {km_select()}",
+        "km_event_free_survival": f"{EFS}, {km_ctes('efs')} {km_select()}",
+        "km_ship_delay": f"{SHIP}, {km_ctes('ship')} {km_select()}",
+        "km_os_uploaded_ids": f"""{OS},
+{REGION_IDS},
+sub AS (SELECT * FROM os WHERE subject_id IN (SELECT CAST(id AS BIGINT) FROM ids)),
+{km_ctes('sub')} {km_select()}""",
+        "km_os_by_group": f"{os_grouped}, {km_ctes('osg', 'grp')} {km_select('grp')}",
+        "km_median_os": f"{os_grouped}, {km_ctes('osg', 'grp')}, "
+                        + median_cols.format(by="grp, ", grp="GROUP BY grp"),
+        "km_median_ship_delay": f"{SHIP}, {km_ctes('ship')}, " + median_cols.format(by="", grp=""),
+        "km_risk_table_os": f"""{OS},
+brk(i, time) AS (VALUES {breaks})
+SELECT round(time, 9) AS time, CAST((SELECT count(*) FROM os WHERE os.time_years >= brk.time) AS BIGINT) AS n_risk
+FROM brk""",
+        "km_curve_os": f"""{OS}, {km_ctes('os')}
+SELECT CAST(0 AS DOUBLE) AS time, CAST(1 AS DOUBLE) AS surv, CAST(1 AS DOUBLE) AS lower,
+       CAST(1 AS DOUBLE) AS upper, false AS censored
+UNION ALL
+SELECT {r9('time')}, {r9('surv')}, {r9('lower')}, {r9('upper')}, n_censor > 0 FROM km""",
+    }

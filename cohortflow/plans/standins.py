@@ -83,3 +83,45 @@ def region_ids(spark: SparkSession, sf_dir: str, region: int = 0) -> DataFrame:
     n = table(spark, sf_dir, "nation").where(F.col("n_regionkey") == region).select("n_nationkey")
     return (c.join(n, c.c_nationkey == n.n_nationkey, "left_semi")
             .select(F.col("c_custkey").cast("string").alias("id")))
+
+
+# ---------------------------------------------------------------- entity envelope
+def encode_tokens(c):
+    """Inverse of the decoding for the characters present in the source values."""
+    return F.replace(F.replace(c, F.lit("-"), F.lit("_2d_")), F.lit(" "), F.lit("_20_"))
+
+
+def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph envelope of person (customer), subject (orders) and lineitem records.
+
+    ``object`` is a three-member union of typed records, as an Avro union of
+    records reads in Spark; ``relations`` holds one edge per node.
+    """
+    c = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem")
+    person_rec = F.struct(F.col("c_name").alias("name"), "c_nationkey", "c_acctbal", "c_mktsegment")
+    subject_rec = F.struct("o_orderstatus", "o_totalprice", "o_orderdate",
+                           encode_tokens(F.col("o_orderpriority")).alias("o_orderpriority"),
+                           F.struct(F.col("o_orderstatus").alias("member0")).alias("state"))
+    line_rec = F.struct("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
+                        "l_shipdate", F.array("l_returnflag", "l_linestatus").alias("flags"))
+    p = c.select(F.col("c_custkey").cast("string").alias("id"), F.lit("person").alias("name"),
+                 person_rec.alias("r"),
+                 F.array(F.struct(F.col("c_nationkey").cast("string").alias("dst_id"),
+                                  F.lit("nation").alias("dst_name"))).alias("relations"))
+    s = o.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("subject").alias("name"),
+                 subject_rec.alias("r"),
+                 F.array(F.struct(F.col("o_custkey").cast("string").alias("dst_id"),
+                                  F.lit("person").alias("dst_name"))).alias("relations"))
+    e = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.lit("lineitem").alias("name"),
+                  line_rec.alias("r"),
+                  F.array(F.struct(F.col("l_orderkey").cast("string").alias("dst_id"),
+                                   F.lit("subject").alias("dst_name"))).alias("relations"))
+    types = [p.schema["r"].dataType, s.schema["r"].dataType, e.schema["r"].dataType]
+
+    def wrap(df, k):
+        members = [(F.col("r") if i == k else F.lit(None).cast(t)).alias(f"member{i}") for i, t in enumerate(types)]
+        return df.select("id", "name", F.struct(*members).alias("object"), "relations")
+
+    return wrap(p, 0).unionByName(wrap(s, 1)).unionByName(wrap(e, 2))

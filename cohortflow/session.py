@@ -21,6 +21,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     """Local/test session. On a cluster, build the session yourself and pass it in."""
     b = (SparkSession.builder.master(master).appName("cohortflow")
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for k, v in RECOMMENDED_CONF.items():
         b = b.config(k, v)
