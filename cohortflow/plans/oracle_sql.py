@@ -275,3 +275,145 @@ SELECT CAST(0 AS DOUBLE) AS time, CAST(1 AS DOUBLE) AS surv, CAST(1 AS DOUBLE) A
 UNION ALL
 SELECT {r9('time')}, {r9('surv')}, {r9('lower')}, {r9('upper')}, n_censor > 0 FROM km""",
     }
+
+
+# ---------------------------------------------------------------- Table 1 and tests
+CUSTOMER_COHORT = f"""cust AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS id, {g15('c_acctbal')} AS c_acctbal, c_mktsegment, n_name AS nation
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+ordr AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id_orders, CAST(o_custkey AS VARCHAR) AS dst_id, o_orderpriority,
+         o_orderstatus, {g15('o_totalprice')} AS o_totalprice FROM orders),
+cohort AS (
+  SELECT cust.*, ordr.id_orders, ordr.o_orderpriority, ordr.o_orderstatus, ordr.o_totalprice
+  FROM cust LEFT JOIN ordr ON cust.id IS NOT DISTINCT FROM ordr.dst_id)"""
+
+LABELS_COHORT = """cohort AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 'high' ELSE 'low' END AS quality_label,
+         CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS toxicity FROM labels),
+ids AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang = 'es')"""
+
+
+def sql_str(v: str) -> str:
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _pairs_ctes(covs, two: bool) -> str:
+    pairs = "\n  UNION ALL ".join(f"SELECT DISTINCT id, '{c}' AS covariate, CAST({c} AS VARCHAR) AS value FROM cohort"
+                                  for c, _, _ in covs)
+    grp = ("CASE WHEN id IN (SELECT id FROM ids) THEN 'G1' ELSE 'G2' END" if two else "'ALL'")
+    return f"""subj AS (SELECT DISTINCT id, {grp} AS grp FROM cohort),
+pairs AS ({pairs}),
+pg AS (SELECT p.covariate, p.value, TRY_CAST(p.value AS DOUBLE) AS x, s.grp
+       FROM pairs p JOIN subj s ON p.id IS NOT DISTINCT FROM s.id)"""
+
+
+def table1_sql(base_ctes: str, covs, g1_label: str | None, two: bool) -> str:
+    """Table 1 cells (no p-values). ``covs``: (column, 'numeric'|'categorical', values)."""
+    groups = [("G1", g1_label), ("G2", "Everything else")] if two else [("ALL", "Everything")]
+
+    def cells(expr_for_grp):
+        return ", ".join(f'({expr_for_grp(g)}) AS "{label}"' for g, label in groups)
+
+    rows = [f"""SELECT 0 AS ord, 'Count' AS Covariate, {cells(lambda g: f"SELECT CAST(count(*) AS VARCHAR) || ' (Count)' FROM subj WHERE grp = '{g}'")}"""]
+    for k, (c, kind, values) in enumerate(covs, start=1):
+        base = k * 1000
+        w = f"FROM pg WHERE covariate = '{c}' AND grp = '{{g}}'"
+        rows.append(f"SELECT {base}, {sql_str(c)}, {cells(lambda g: sql_str(''))}")
+        if kind == "numeric":
+            if "Mean" in values:
+                rows.append(f"SELECT {base + 1}, '   Mean', " + cells(
+                    lambda g: f"SELECT {fmt_num(round_r('avg(x)'))} {w.format(g=g)} AND x IS NOT NULL"))
+            if "Mode" in values:
+                rows.append(f"SELECT {base + 2}, '   Mode', " + cells(
+                    lambda g: f"SELECT {g15('x')} FROM (SELECT x, count(*) AS n {w.format(g=g)} AND x IS NOT NULL "
+                              f"GROUP BY x) ORDER BY n DESC, x LIMIT 1"))
+            rows.append(f"SELECT {base + 999}, '   Missing', " + cells(
+                lambda g: f"SELECT {n_pct('count_if(x IS NULL)', 'count(*)')} {w.format(g=g)}"))
+        else:
+            nonmissing = "count_if(value IS NOT NULL AND value <> '')"
+            for i, lvl in enumerate(values):
+                hit = f"count_if(value = {sql_str(lvl)})"
+                rows.append(f"SELECT {base + 1 + i}, {sql_str('   ' + lvl)}, " + cells(
+                    lambda g, hit=hit: f"SELECT {n_pct(hit, nonmissing)} {w.format(g=g)}"))
+            missing = "count_if(value IS NULL OR value IN ('None', ''))"
+            rows.append(f"SELECT {base + 999}, '   Missing', " + cells(
+                lambda g: f"SELECT {n_pct(missing, 'count(*)')} {w.format(g=g)}"))
+    body = "\nUNION ALL\n".join(rows)
+    return f"WITH {base_ctes},\n{_pairs_ctes(covs, two)}\n{body}"
+
+
+def _numeric_pg(base_ctes: str, col: str) -> str:
+    return f"""WITH {base_ctes},
+{_pairs_ctes([(col, 'numeric', [])], True)},
+nv AS (SELECT x, count_if(grp = 'G1') AS c1, count_if(grp = 'G2') AS c2 FROM pg WHERE x IS NOT NULL GROUP BY x)"""
+
+
+def ranksum_sql(base_ctes: str, col: str) -> str:
+    return f"""{_numeric_pg(base_ctes, col)},
+rk AS (SELECT *, c1 + c2 AS c, sum(c1 + c2) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM nv)
+SELECT '{col}' AS covariate, sum(c1) AS rs_n1, sum(c2) AS rs_n2,
+       round(sum(c1 * (cum - c + (c + 1) / 2.0)), 6) AS rs_r1,
+       round(sum(CAST(c AS DOUBLE) * c * c - c), 6) AS rs_ties, max(c > 1) AS rs_has_ties FROM rk"""
+
+
+def welch_sql(base_ctes: str, col: str) -> str:
+    return f"""WITH {base_ctes},
+{_pairs_ctes([(col, 'numeric', [])], True)},
+g AS (SELECT grp, count(*) AS cnt, avg(x) AS m, var_samp(x) AS v FROM pg WHERE x IS NOT NULL GROUP BY grp)
+SELECT '{col}' AS covariate,
+  (SELECT cnt FROM g WHERE grp = 'G1') AS w_n1, (SELECT round(m, 6) FROM g WHERE grp = 'G1') AS w_m1,
+  (SELECT round(v, 3) FROM g WHERE grp = 'G1') AS w_v1,
+  (SELECT cnt FROM g WHERE grp = 'G2') AS w_n2, (SELECT round(m, 6) FROM g WHERE grp = 'G2') AS w_m2,
+  (SELECT round(v, 3) FROM g WHERE grp = 'G2') AS w_v2"""
+
+
+def contingency_sql(base_ctes: str, col: str, p: str | None = None) -> str:
+    """Test inputs of one categorical covariate; ``p``: 'chisq_df4' or 'fisher' adds a p-value column."""
+    sql = f"""WITH {base_ctes},
+{_pairs_ctes([(col, 'categorical', [])], True)},
+ct AS (SELECT value AS level, count_if(grp = 'G1') AS n1, count_if(grp = 'G2') AS n2
+       FROM pg WHERE value IS NOT NULL GROUP BY value),
+tot AS (SELECT count(*) AS r, CAST(sum(n1) AS BIGINT) AS C1, CAST(sum(n2) AS BIGINT) AS C2, min(least(n1, n2)) AS min_cell,
+               arg_min(n1, level) AS a, arg_min(n2, level) AS b, arg_max(n1, level) AS c, arg_max(n2, level) AS d
+        FROM ct),
+st AS (SELECT sum(CASE WHEN tot.r = 1 THEN (n1 - (C1 + C2) / 2.0) ^ 2 / ((C1 + C2) / 2.0) + (n2 - (C1 + C2) / 2.0) ^ 2 / ((C1 + C2) / 2.0)
+                  ELSE (n1 - (n1 + n2) * C1 / (C1 + C2)) ^ 2 / ((n1 + n2) * C1 / (C1 + C2))
+                     + (n2 - (n1 + n2) * C2 / (C1 + C2)) ^ 2 / ((n1 + n2) * C2 / (C1 + C2)) END) AS stat
+       FROM ct, tot),
+res AS (
+  SELECT '{col}' AS covariate, r, C1 + C2 AS N, C1, C2, min_cell,
+    CASE WHEN NOT (C1 > 0 AND C2 > 0) THEN NULL WHEN r = 2 AND min_cell < 5 THEN 'fisher'
+         WHEN r = 2 THEN 'chisq' WHEN min_cell < 5 THEN 'chisq_mc' ELSE 'chisq' END AS test,
+    stat, a, b, c, d FROM tot, st)"""
+    cols = "covariate, r, N, C1, C2, min_cell, test, round(stat, 9) AS stat, " \
+           "CAST(CASE WHEN test = 'chisq_mc' THEN NULL WHEN r = 1 THEN 1 ELSE r - 1 END AS INTEGER) AS df, a, b, c, d"
+    if p == "chisq_df4":
+        return f"{sql} SELECT {cols}, round(exp(-stat / 2) * (1 + stat / 2), 9) AS p FROM res"
+    if p == "fisher":
+        lg = "lgamma"
+        return f"""{sql},
+hyp AS (SELECT x, exp({lg}(a + c + 1) - {lg}(x + 1) - {lg}(a + c - x + 1) + {lg}(b + d + 1) - {lg}(a + b - x + 1)
+                     - {lg}(b + d - a - b + x + 1) - {lg}(a + b + c + d + 1) + {lg}(a + b + 1) + {lg}(c + d + 1)) AS pr
+        FROM res, range(CAST(greatest(0, a + b - (b + d)) AS BIGINT), CAST(least(a + b, a + c) + 1 AS BIGINT)) t(x))
+SELECT {cols}, round(least(1.0, (SELECT sum(pr) FROM hyp WHERE pr <= (SELECT pr FROM hyp, res WHERE hyp.x = res.a) * (1 + 1e-7))), 9) AS p
+FROM res"""
+    return f"{sql} SELECT {cols} FROM res"
+
+
+def table1_oracles(customer_covs, customer_kinds, label_covs, region_label, lang_label) -> dict[str, str]:
+    cust_base = f"{CUSTOMER_COHORT},\n{REGION_IDS}"
+    ccovs = [(c.column, customer_kinds.get(c.column, "categorical"), list(c.values)) for c in customer_covs]
+    lcovs = [(c.column, "categorical", list(c.values)) for c in label_covs]
+    return {
+        "table1_customers_counts": table1_sql(cust_base, ccovs, region_label, True),
+        "table1_customers_single": table1_sql(CUSTOMER_COHORT, ccovs, None, False),
+        "table1_labels_counts": table1_sql(LABELS_COHORT, lcovs, lang_label, True),
+        "ranksum_acctbal": ranksum_sql(cust_base, "c_acctbal"),
+        "ranksum_totalprice_fanout": ranksum_sql(cust_base, "o_totalprice"),
+        "welch_acctbal": welch_sql(cust_base, "c_acctbal"),
+        "chisq_segment": contingency_sql(cust_base, "c_mktsegment", p="chisq_df4"),
+        "chisq_priority_fanout": contingency_sql(cust_base, "o_orderpriority"),
+        "contingency_nation_sparse": contingency_sql(cust_base, "nation"),
+        "fisher_toxicity": contingency_sql(LABELS_COHORT, "toxicity", p="fisher"),
+    }

@@ -97,3 +97,93 @@ DISTRIBUTION = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**SURVIVAL, **FLATTEN, **DISTRIBUTION}
+
+
+# ------------------------------------------------------------------ Table 1 and group tests
+from ..operators import stats as st  # noqa: E402
+from ..operators.montecarlo import monte_carlo_p  # noqa: E402
+from ..operators.table1 import Covariate, table1  # noqa: E402
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+CUSTOMER_COVARIATES = [
+    Covariate("c_acctbal", ["Mean", "Mode"]),
+    Covariate("c_mktsegment", SEGMENTS),
+    Covariate("nation", ["NATION_0", "NATION_5", "NATION_10"]),
+    Covariate("o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"]),
+    Covariate("o_orderstatus", ["F", "O", "P"]),
+    Covariate("o_totalprice", ["Mean"]),
+]
+CUSTOMER_KINDS = {"c_acctbal": "numeric", "o_totalprice": "numeric"}
+LABEL_COVARIATES = [Covariate("toxicity", ["toxic", "clean"]), Covariate("quality_label", ["high"])]
+REGION_LABEL = "region_0_ids"
+LANG_LABEL = "es_docs"
+
+
+def _t1_customers(s, d, two=True, with_p=True):
+    ids = si.region_ids(s, d) if two else None
+    return table1(si.customer_cohort(s, d), CUSTOMER_COVARIATES, ids, REGION_LABEL, with_p=with_p)
+
+
+def _t1_labels(s, d, with_p=True):
+    return table1(si.labels_cohort(s, d), LABEL_COVARIATES, si.language_ids(s, d), LANG_LABEL, with_p=with_p)
+
+
+def _vc(s, d, cohort, cols, ids):
+    return st.value_counts_long(cohort, cols, ids)
+
+
+def _ranksum(s, d, col):
+    vc = _vc(s, d, si.customer_cohort(s, d), [col], si.region_ids(s, d))
+    r = st.ranksum_stats(vc)
+    return r.select("covariate", "rs_n1", "rs_n2", F.round("rs_r1", 6).alias("rs_r1"),
+                    F.round("rs_ties", 6).alias("rs_ties"), "rs_has_ties")
+
+
+def _welch(s, d, col):
+    w = st.welch_stats(_vc(s, d, si.customer_cohort(s, d), [col], si.region_ids(s, d)))
+    return w.select("covariate", "w_n1", F.round("w_m1", 6).alias("w_m1"), F.round("w_v1", 3).alias("w_v1"),
+                    "w_n2", F.round("w_m2", 6).alias("w_m2"), F.round("w_v2", 3).alias("w_v2"))
+
+
+def _contingency(cohort, col, ids, with_p=False):
+    t = st.contingency_tests(st.contingency(st.value_counts_long(cohort, [col], ids)))
+    t = t.select("covariate", "r", "N", "C1", "C2", "min_cell", "test", F.round("stat", 9).alias("stat"),
+                 "df", "a", "b", "c", "d")
+    if with_p:
+        p = st.p_values(t.withColumn("kind", F.lit("categorical")))
+        t = t.join(p, "covariate").withColumn("p", F.round("p", 9))
+    return t
+
+
+def _monte_carlo(s, d, col):
+    ct = st.contingency(st.value_counts_long(si.customer_cohort(s, d), [col], si.region_ids(s, d)))
+    tests = st.contingency_tests(ct)
+    return monte_carlo_p(ct, tests).select("covariate", F.round("p_mc", 9).alias("p_mc"))
+
+
+def _p_numeric(s, d, col):
+    vc = _vc(s, d, si.customer_cohort(s, d), [col], si.region_ids(s, d))
+    t = st.ranksum_stats(vc).join(st.welch_stats(vc), "covariate", "full").withColumn("kind", F.lit("numeric"))
+    return st.p_values(t).select("covariate", F.round("p", 9).alias("p"))
+
+
+TABLE1 = {
+    "table1_customers_two_group": lambda s, d: _t1_customers(s, d),
+    "table1_customers_counts": lambda s, d: _t1_customers(s, d, with_p=False).drop("P_value"),
+    "table1_customers_single": lambda s, d: _t1_customers(s, d, two=False),
+    "table1_labels_two_group": lambda s, d: _t1_labels(s, d),
+    "table1_labels_counts": lambda s, d: _t1_labels(s, d, with_p=False).drop("P_value"),
+    "ranksum_acctbal": lambda s, d: _ranksum(s, d, "c_acctbal"),
+    "ranksum_totalprice_fanout": lambda s, d: _ranksum(s, d, "o_totalprice"),
+    "welch_acctbal": lambda s, d: _welch(s, d, "c_acctbal"),
+    "ranksum_p_acctbal": lambda s, d: _p_numeric(s, d, "c_acctbal"),
+    "chisq_segment": lambda s, d: _contingency(si.customer_cohort(s, d), "c_mktsegment", si.region_ids(s, d),
+                                               with_p=True),
+    "chisq_priority_fanout": lambda s, d: _contingency(si.customer_cohort(s, d), "o_orderpriority",
+                                                       si.region_ids(s, d)),
+    "contingency_nation_sparse": lambda s, d: _contingency(si.customer_cohort(s, d), "nation", si.region_ids(s, d)),
+    "chisq_monte_carlo_nation": lambda s, d: _monte_carlo(s, d, "nation"),
+    "fisher_toxicity": lambda s, d: _contingency(si.labels_cohort(s, d), "toxicity", si.language_ids(s, d),
+                                                 with_p=True),
+}
+QUERIES.update(TABLE1)

@@ -125,3 +125,38 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select("id", "name", F.struct(*members).alias("object"), "relations")
 
     return wrap(p, 0).unionByName(wrap(s, 1)).unionByName(wrap(e, 2))
+
+
+# ---------------------------------------------------------------- Table 1 cohorts
+def _txt(c):
+    from ..operators.flatten import fmt_double
+    return fmt_double(F.col(c).cast("double"))
+
+
+def customer_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects = customers (text columns, as after flattening), left-joined to their
+    orders, so order-level covariates fan out per subject."""
+    from ..operators.merge import left_join_suffixed
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    subj = c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+        F.col("c_custkey").cast("string").alias("id"), _txt("c_acctbal").alias("c_acctbal"),
+        "c_mktsegment", F.col("n_name").alias("nation"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("dst_id"),
+        "o_orderpriority", "o_orderstatus", _txt("o_totalprice").alias("o_totalprice"))
+    return left_join_suffixed(subj, o, "id", "dst_id", ("", "_orders"))
+
+
+def labels_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects = labelled documents; text-valued quality and toxicity labels."""
+    lb = table(spark, sf_dir, "labels")
+    return lb.select(F.col("doc_id").cast("string").alias("id"),
+                     F.when(F.col("quality") == 1, "high").otherwise("low").alias("quality_label"),
+                     F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("toxicity"))
+
+
+def language_ids(spark: SparkSession, sf_dir: str, lang: str = "es") -> DataFrame:
+    """'Uploaded' document ids: all documents in one language."""
+    d = table(spark, sf_dir, "documents").where(F.col("lang") == lang)
+    return d.select(F.col("doc_id").cast("string").alias("id"))
