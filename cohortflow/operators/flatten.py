@@ -27,7 +27,9 @@ NAME_FIELD = "name"
 def fmt_double(c: Column) -> Column:
     """Text of a double with 15 significant digits and no trailing zeros."""
     s = F.format_string("%.15g", c)
-    return F.when(F.isnan(c), F.lit("NaN")).otherwise(F.regexp_replace(s, r"\.?0+(?=e|$)", ""))
+    s = F.regexp_replace(s, r"\.?0+e", "e")                      # mantissa zeros before an exponent
+    s = F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(F.isnan(c), F.lit("NaN")).otherwise(s)
 
 
 def scalarize(c: Column, dt: T.DataType) -> Column:
@@ -63,10 +65,10 @@ def _is_union(dt: T.DataType) -> bool:
     return isinstance(dt, T.StructType) and len(dt.fields) > 0 and all(MEMBER_RE.match(f.name) for f in dt.fields)
 
 
-def _record_fields(df: DataFrame) -> list[tuple[str, Column]]:
-    """(field name, text column) of the entity record inside ``object``."""
+def _record_fields(df: DataFrame) -> tuple[DataFrame, list[tuple[str, Column]]]:
+    """(frame, [(field name, text column)]) of the entity record inside ``object``."""
     if "object" not in df.columns:
-        return []
+        return df, []
     dt = df.schema["object"].dataType
     obj = F.col("object")
     if isinstance(dt, T.StringType):  # JSON text payload
@@ -75,14 +77,14 @@ def _record_fields(df: DataFrame) -> list[tuple[str, Column]]:
     if isinstance(dt, T.MapType):
         # one metadata job: the union of keys, sorted (row order carries no meaning here)
         keys = [r["k"] for r in df.select(F.explode(F.map_keys(obj)).alias("k")).distinct().collect()]
-        return [(k, scalarize(obj[k], dt.valueType)) for k in sorted(keys)]
+        return df, [(k, scalarize(obj[k], dt.valueType)) for k in sorted(keys)]
     if _is_union(dt):
         members = [f for f in dt.fields]
         flags = df.agg(*[F.max(obj[m.name].isNotNull().cast("int")).alias(m.name) for m in members]).first()
         used = [m for m in members if flags and flags[m.name]]
         if len(used) == 1:
             m = used[0]
-            return [(f.name, scalarize(obj[m.name][f.name], f.dataType)) for f in m.dataType.fields]
+            return df, [(f.name, scalarize(obj[m.name][f.name], f.dataType)) for f in m.dataType.fields]
         # several members in one entity type: per row, the first populated member wins
         names: list[str] = []
         for m in used:
@@ -97,10 +99,10 @@ def _record_fields(df: DataFrame) -> list[tuple[str, Column]]:
                 val = scalarize(obj[m.name][n], fields[n].dataType) if n in fields else F.lit(None).cast("string")
                 expr = F.when(obj[m.name].isNotNull(), val).otherwise(expr)
             out.append((n, expr))
-        return out
+        return df, out
     if isinstance(dt, T.StructType):
-        return [(f.name, scalarize(obj[f.name], f.dataType)) for f in dt.fields]
-    return []
+        return df, [(f.name, scalarize(obj[f.name], f.dataType)) for f in dt.fields]
+    return df, []
 
 
 def _first_relation(df: DataFrame) -> tuple[Column, Column]:
@@ -121,7 +123,7 @@ def flatten_entity(envelope: DataFrame, entity_name: str | None = None, decode:
     """Flatten one entity type (``entity_name``) or an already filtered frame."""
     df = envelope if entity_name is None else envelope.where(F.col("name") == entity_name)
     label = entity_name
-    fields = _record_fields(df)
+    df, fields = _record_fields(df)
     if label is None:
         row = df.select("name").limit(1).collect()
         label = row[0]["name"] if row else "entity"

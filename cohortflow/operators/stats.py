@@ -186,3 +186,17 @@ def p_values(tests: DataFrame) -> DataFrame:
     for c in P_INPUTS:
         cols.append(F.col(c) if c in tests.columns else F.lit(None).alias(c))
     return tests.select("covariate", p_value_udf(F.struct(*cols)).alias("p"))
+
+
+@F.pandas_udf(T.DoubleType())
+def chisq_p_udf(stat: pd.Series, df: pd.Series) -> pd.Series:
+    """Asymptotic upper-tail chi-square probability."""
+    return pd.Series([fin.chisq_sf(float(x), float(k)) if pd.notna(x) and pd.notna(k) else float("nan")
+                      for x, k in zip(stat, df)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def fisher_p_udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """Two-sided Fisher exact probability of the 2x2 table [[a, b], [c, d]]."""
+    return pd.Series([fin.fisher_2x2_p(*v) if all(pd.notna(x) for x in v) else float("nan")
+                      for v in zip(a, b, c, d)], dtype="float64")

@@ -389,14 +389,14 @@ res AS (
     cols = "covariate, r, N, C1, C2, min_cell, test, round(stat, 9) AS stat, " \
            "CAST(CASE WHEN test = 'chisq_mc' THEN NULL WHEN r = 1 THEN 1 ELSE r - 1 END AS INTEGER) AS df, a, b, c, d"
     if p == "chisq_df4":
-        return f"{sql} SELECT {cols}, round(exp(-stat / 2) * (1 + stat / 2), 9) AS p FROM res"
+        return f"{sql} SELECT {cols}, round(exp(-stat / 2) * (1 + stat / 2), 9) AS p_pearson FROM res"
     if p == "fisher":
         lg = "lgamma"
         return f"""{sql},
 hyp AS (SELECT x, exp({lg}(a + c + 1) - {lg}(x + 1) - {lg}(a + c - x + 1) + {lg}(b + d + 1) - {lg}(a + b - x + 1)
                      - {lg}(b + d - a - b + x + 1) - {lg}(a + b + c + d + 1) + {lg}(a + b + 1) + {lg}(c + d + 1)) AS pr
         FROM res, range(CAST(greatest(0, a + b - (b + d)) AS BIGINT), CAST(least(a + b, a + c) + 1 AS BIGINT)) t(x))
-SELECT {cols}, round(least(1.0, (SELECT sum(pr) FROM hyp WHERE pr <= (SELECT pr FROM hyp, res WHERE hyp.x = res.a) * (1 + 1e-7))), 9) AS p
+SELECT {cols}, round(least(1.0, (SELECT sum(pr) FROM hyp WHERE pr <= (SELECT pr FROM hyp, res WHERE hyp.x = res.a) * (1 + 1e-7))), 9) AS p_fisher
 FROM res"""
     return f"{sql} SELECT {cols} FROM res"
 

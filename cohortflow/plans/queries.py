@@ -145,14 +145,17 @@ def _welch(s, d, col):
                     "w_n2", F.round("w_m2", 6).alias("w_m2"), F.round("w_v2", 3).alias("w_v2"))
 
 
-def _contingency(cohort, col, ids, with_p=False):
+def _contingency(cohort, col, ids, p=None):
+    """Test inputs; ``p='pearson'`` adds the asymptotic Pearson p (df = levels - 1),
+    ``p='fisher'`` the Fisher exact p of the 2x2 table, whatever test the selector picks."""
     t = st.contingency_tests(st.contingency(st.value_counts_long(cohort, [col], ids)))
-    t = t.select("covariate", "r", "N", "C1", "C2", "min_cell", "test", F.round("stat", 9).alias("stat"),
-                 "df", "a", "b", "c", "d")
-    if with_p:
-        p = st.p_values(t.withColumn("kind", F.lit("categorical")))
-        t = t.join(p, "covariate").withColumn("p", F.round("p", 9))
-    return t
+    extra = []
+    if p == "pearson":
+        extra = [F.round(st.chisq_p_udf(F.col("stat"), F.greatest(F.col("r") - 1, F.lit(1))), 9).alias("p_pearson")]
+    elif p == "fisher":
+        extra = [F.round(st.fisher_p_udf("a", "b", "c", "d"), 9).alias("p_fisher")]
+    return t.select("covariate", "r", "N", "C1", "C2", "min_cell", "test", F.round("stat", 9).alias("stat"),
+                    "df", "a", "b", "c", "d", *extra)
 
 
 def _monte_carlo(s, d, col):
@@ -178,12 +181,12 @@ TABLE1 = {
     "welch_acctbal": lambda s, d: _welch(s, d, "c_acctbal"),
     "ranksum_p_acctbal": lambda s, d: _p_numeric(s, d, "c_acctbal"),
     "chisq_segment": lambda s, d: _contingency(si.customer_cohort(s, d), "c_mktsegment", si.region_ids(s, d),
-                                               with_p=True),
+                                               p="pearson"),
     "chisq_priority_fanout": lambda s, d: _contingency(si.customer_cohort(s, d), "o_orderpriority",
                                                        si.region_ids(s, d)),
     "contingency_nation_sparse": lambda s, d: _contingency(si.customer_cohort(s, d), "nation", si.region_ids(s, d)),
     "chisq_monte_carlo_nation": lambda s, d: _monte_carlo(s, d, "nation"),
     "fisher_toxicity": lambda s, d: _contingency(si.labels_cohort(s, d), "toxicity", si.language_ids(s, d),
-                                                 with_p=True),
+                                                 p="fisher"),
 }
 QUERIES.update(TABLE1)
