@@ -28,7 +28,9 @@ def to_num(c: Column | str, dtype: T.DataType | None = None) -> Column:
         return F.when(~F.isnan(d), d)
     s = col.cast("string")
     d = F.trim(s).try_cast("double")
-    return F.when(s.rlike(NUM_RE) & ~F.isnan(d), d)
+    # the cast succeeds first (cheap rejection of text); the regex then drops the
+    # Java-only spellings the cast also accepts ("1d", "0x1p3", "NaN")
+    return F.when(d.isNotNull() & ~F.isnan(d) & s.rlike(NUM_RE), d)
 
 
 def df_num(df, name: str) -> Column:

@@ -26,15 +26,27 @@ DECODE_STEPS = [
 TRIM_CHARS = " \t\r\n"
 
 
+
+
+def _changes(c: Column) -> Column:
+    """True for every value the decoding could change: only text with an underscore,
+    a double space, "- ", or whitespace at either end is affected by any step."""
+    cond = c.contains("_") | c.contains("  ") | c.contains("- ")
+    for ch in TRIM_CHARS:
+        cond = cond | c.startswith(ch) | c.endswith(ch)
+    return cond
+
+
 def clean_string(c: Column | str) -> Column:
     """Decode tokens and trim; NULL stays NULL."""
-    col = F.col(c) if isinstance(c, str) else c
+    src = F.col(c) if isinstance(c, str) else c
+    col = src
     for search, repl, is_regex in DECODE_STEPS:
         if is_regex:
             col = F.regexp_replace(col, search, repl)
         else:
             col = F.replace(col, F.lit(search), F.lit(repl))
-    return F.btrim(col, F.lit(TRIM_CHARS))
+    return F.when(_changes(src), F.btrim(col, F.lit(TRIM_CHARS))).otherwise(src)
 
 
 def is_blank(c: Column) -> Column:

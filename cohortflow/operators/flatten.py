@@ -25,11 +25,21 @@ NAME_FIELD = "name"
 
 
 def fmt_double(c: Column) -> Column:
-    """Text of a double with 15 significant digits and no trailing zeros."""
+    """Text of a double with 15 significant digits and no trailing zeros.
+
+    Fast path: Spark's own text of the double when it is plain decimal with at most
+    15 digits (then it is exactly the 15-digit rounding); otherwise ``%.15g``.
+    """
+    plain = c.cast("string")
+    n_digits = F.length(plain) - F.when(plain.startswith("-"), 2).otherwise(1)   # minus sign and point
+    fast_ok = ~plain.contains("E") & (n_digits <= 15)
+    fast = F.when(plain.endswith(".0"), F.left(plain, F.length(plain) - 2)).otherwise(plain)
     s = F.format_string("%.15g", c)
     s = F.regexp_replace(s, r"\.?0+e", "e")                      # mantissa zeros before an exponent
     s = F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(F.isnan(c), F.lit("NaN")).otherwise(s)
+    return (F.when(F.isnan(c), F.lit("NaN"))
+            .when(c == float("inf"), F.lit("Inf")).when(c == float("-inf"), F.lit("-Inf"))
+            .when(fast_ok, fast).otherwise(s))
 
 
 def scalarize(c: Column, dt: T.DataType) -> Column:
@@ -61,12 +71,29 @@ def scalarize(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
+def has_text(dt: T.DataType) -> bool:
+    """Whether a value of this type can render to text the decoding could change.
+
+    Numbers, dates, timestamps and booleans render without underscores, double
+    spaces, "- " or edge whitespace, so decoding leaves them unchanged.
+    """
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return True
+    if isinstance(dt, T.ArrayType):
+        return has_text(dt.elementType)
+    if isinstance(dt, T.MapType):
+        return has_text(dt.valueType)
+    if isinstance(dt, T.StructType):
+        return any(has_text(f.dataType) for f in dt.fields)
+    return False
+
+
 def _is_union(dt: T.DataType) -> bool:
     return isinstance(dt, T.StructType) and len(dt.fields) > 0 and all(MEMBER_RE.match(f.name) for f in dt.fields)
 
 
-def _record_fields(df: DataFrame) -> tuple[DataFrame, list[tuple[str, Column]]]:
-    """(frame, [(field name, text column)]) of the entity record inside ``object``."""
+def _record_fields(df: DataFrame) -> tuple[DataFrame, list[tuple[str, Column, bool]]]:
+    """(frame, [(field name, text column, may hold text)]) of the entity record inside ``object``."""
     if "object" not in df.columns:
         return df, []
     dt = df.schema["object"].dataType
@@ -77,14 +104,15 @@ def _record_fields(df: DataFrame) -> tuple[DataFrame, list[tuple[str, Column]]]:
     if isinstance(dt, T.MapType):
         # one metadata job: the union of keys, sorted (row order carries no meaning here)
         keys = [r["k"] for r in df.select(F.explode(F.map_keys(obj)).alias("k")).distinct().collect()]
-        return df, [(k, scalarize(obj[k], dt.valueType)) for k in sorted(keys)]
+        return df, [(k, scalarize(obj[k], dt.valueType), has_text(dt.valueType)) for k in sorted(keys)]
     if _is_union(dt):
         members = [f for f in dt.fields]
         flags = df.agg(*[F.max(obj[m.name].isNotNull().cast("int")).alias(m.name) for m in members]).first()
         used = [m for m in members if flags and flags[m.name]]
         if len(used) == 1:
             m = used[0]
-            return df, [(f.name, scalarize(obj[m.name][f.name], f.dataType)) for f in m.dataType.fields]
+            return df, [(f.name, scalarize(obj[m.name][f.name], f.dataType), has_text(f.dataType))
+                        for f in m.dataType.fields]
         # several members in one entity type: per row, the first populated member wins
         names: list[str] = []
         for m in used:
@@ -94,14 +122,16 @@ def _record_fields(df: DataFrame) -> tuple[DataFrame, list[tuple[str, Column]]]:
         out = []
         for n in names:
             expr = F.lit(None).cast("string")
+            text = False
             for m in reversed(used):
                 fields = {f.name: f for f in m.dataType.fields}
                 val = scalarize(obj[m.name][n], fields[n].dataType) if n in fields else F.lit(None).cast("string")
+                text = text or (n in fields and has_text(fields[n].dataType))
                 expr = F.when(obj[m.name].isNotNull(), val).otherwise(expr)
-            out.append((n, expr))
+            out.append((n, expr, text))
         return df, out
     if isinstance(dt, T.StructType):
-        return df, [(f.name, scalarize(obj[f.name], f.dataType)) for f in dt.fields]
+        return df, [(f.name, scalarize(obj[f.name], f.dataType), has_text(f.dataType)) for f in dt.fields]
     return df, []
 
 
@@ -128,18 +158,19 @@ def flatten_entity(envelope: DataFrame, entity_name: str | None = None, decode:
         row = df.select("name").limit(1).collect()
         label = row[0]["name"] if row else "entity"
     # the record's own "name" becomes "<entity>_name" and moves to the end of the record
-    renamed = [(n, c) for n, c in fields if n != NAME_FIELD]
-    if any(n == NAME_FIELD for n, _ in fields):
-        renamed.append((f"{label}_{NAME_FIELD}", dict(fields)[NAME_FIELD]))
+    renamed = [(n, c, t) for n, c, t in fields if n != NAME_FIELD]
+    renamed += [(f"{label}_{NAME_FIELD}", c, t) for n, c, t in fields if n == NAME_FIELD]
     dst_id, dst_name = _first_relation(df)
-    cols = [("id", scalarize(F.col("id"), df.schema["id"].dataType)),
-            ("name", F.col("name").cast("string"))] + renamed + [("dst_id", dst_id), ("dst_name", dst_name)]
+    rel_text = "relations" in df.columns and has_text(df.schema["relations"].dataType)
+    cols = [("id", scalarize(F.col("id"), df.schema["id"].dataType), has_text(df.schema["id"].dataType)),
+            ("name", F.col("name").cast("string"), True)] + renamed + \
+        [("dst_id", dst_id, rel_text), ("dst_name", dst_name, rel_text)]
     seen, out = set(), []
-    for n, c in cols:
+    for n, c, text in cols:
         if n in seen:  # a record field that repeats an envelope column keeps the envelope value
             continue
         seen.add(n)
-        out.append((clean_string(c) if decode else c).alias(n))
+        out.append((clean_string(c) if (decode and text) else c).alias(n))
     return df.select(*out)
 
 

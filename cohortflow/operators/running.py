@@ -29,13 +29,25 @@ def default_ranges(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+# An ordered frame up to this many rows is handled by one window task (its size is
+# counted on the materialised frame first); larger frames are cut into ranges.
+SINGLE_TASK_MAX_ROWS = 250_000
+
+
 def add_ranges(df: DataFrame, order: str, n_ranges: int | None = None,
                rel_err: float = 0.001) -> DataFrame:
-    """Materialise ``df`` and add a ``_range`` column cutting ``order`` at quantiles."""
-    n_ranges = default_ranges(df) if n_ranges is None else n_ranges
-    if n_ranges <= 1:
+    """Materialise ``df`` and add a ``_range`` column cutting ``order`` at quantiles.
+
+    ``n_ranges=None`` chooses: one range when the materialised frame has at most
+    ``SINGLE_TASK_MAX_ROWS`` rows, else one range per shuffle partition.
+    """
+    if n_ranges is not None and n_ranges <= 1:
         return df.withColumn(RANGE, F.lit(0))
     df = materialize(df)
+    if n_ranges is None:
+        if df.count() <= SINGLE_TASK_MAX_ROWS:
+            return df.withColumn(RANGE, F.lit(0))
+        n_ranges = default_ranges(df)
     probs = [i / n_ranges for i in range(1, n_ranges)]
     cuts = df.approxQuantile(order, probs, rel_err)
     splits = [float("-inf")] + sorted({float(c) for c in cuts if c is not None}) + [float("inf")]

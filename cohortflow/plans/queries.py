@@ -92,8 +92,7 @@ DISTRIBUTION = {
     "distribution_returnflag_export": lambda s, d: r9(ds.distribution_export(
         ds.percentage_distribution(merged(s, d, True), "l_returnflag"))),
     "covariate_values_segment": lambda s, d: ds.covariate_values(merged(s, d), "c_mktsegment"),
-    "covariate_kind": lambda s, d: ds.covariate_kind(merged(s, d, True), "l_quantity")
-    .unionByName(ds.covariate_kind(merged(s, d, True), "c_mktsegment")),
+    "covariate_kind": lambda s, d: ds.covariate_kind(merged(s, d, True), ["l_quantity", "c_mktsegment"]),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**SURVIVAL, **FLATTEN, **DISTRIBUTION}

@@ -56,10 +56,16 @@ def materialize(df: DataFrame) -> DataFrame:
     MEMORY_AND_DISK persist, whose lost blocks Spark recomputes from lineage.
     """
     if ensure_checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
+        # persist first: the checkpoint write then reads the cached blocks instead of
+        # recomputing the upstream plan a second time
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Size check before a broadcast: stops reading after ``max_rows + 1`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
+
