@@ -71,6 +71,17 @@ def scalarize(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
+def json_value(c: Column) -> Column:
+    """A JSON value kept as raw text -> scalar text: arrays and objects become their
+    leaves joined by ';' (one level), empty ones NULL; scalars stay as written."""
+    arr = F.array_join(F.from_json(c, "array<string>"), LIST_SEP)
+    obj = F.array_join(F.map_values(F.from_json(c, "map<string,string>")), LIST_SEP)
+    t = F.ltrim(c)
+    return (F.when(t.startswith("["), F.nullif(arr, F.lit("")))
+            .when(t.startswith("{"), F.nullif(obj, F.lit("")))
+            .otherwise(c))
+
+
 def has_text(dt: T.DataType) -> bool:
     """Whether a value of this type can render to text the decoding could change.
 
@@ -98,13 +109,16 @@ def _record_fields(df: DataFrame) -> tuple[DataFrame, list[tuple[str, Column, bo
         return df, []
     dt = df.schema["object"].dataType
     obj = F.col("object")
-    if isinstance(dt, T.StringType):  # JSON text payload
+    json_text = isinstance(dt, T.StringType)
+    if json_text:  # JSON text payload: keys and raw values, in document order
         df = df.withColumn("object", F.from_json(obj, "map<string,string>"))
         dt = df.schema["object"].dataType
     if isinstance(dt, T.MapType):
-        # one metadata job: the union of keys, sorted (row order carries no meaning here)
-        keys = [r["k"] for r in df.select(F.explode(F.map_keys(obj)).alias("k")).distinct().collect()]
-        return df, [(k, scalarize(obj[k], dt.valueType), has_text(dt.valueType)) for k in sorted(keys)]
+        # one metadata job: the union of keys, ordered by their first position in a record
+        keys = [r["k"] for r in df.select(F.posexplode(F.map_keys(obj)).alias("p", "k"))
+                .groupBy("k").agg(F.min("p").alias("p")).orderBy("p", "k").collect()]
+        conv = json_value if json_text else (lambda c: scalarize(c, dt.valueType))
+        return df, [(k, conv(obj[k]), json_text or has_text(dt.valueType)) for k in keys]
     if _is_union(dt):
         members = [f for f in dt.fields]
         flags = df.agg(*[F.max(obj[m.name].isNotNull().cast("int")).alias(m.name) for m in members]).first()

@@ -22,18 +22,46 @@ IGNORED_ENTITIES = ["Metadata", "program", "project"]
 REQUIRED_ENTITIES = ["subject", "person"]
 
 
+# Envelope schema for the Avro JSON text fallback: the record payload stays raw JSON text
+# (each record carries exactly its own fields) and is parsed per entity by the flatten.
+AVRO_TEXT_SCHEMA = ("id string, name string, object string, "
+                    "relations array<struct<dst_id: string, dst_name: string>>")
+
+
+def _avro_field_names(spark: SparkSession, path: str) -> list[str]:
+    """Top-level field names from the container header (reads only the header)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(hpath).isDirectory():
+        files = [st.getPath() for st in fs.listStatus(hpath) if st.getPath().getName().endswith(".avro")]
+        if not files:
+            return []
+        hpath = files[0]
+    stream = jvm.org.apache.avro.mapred.FsInput(hpath, spark.sparkContext._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.avro.file.DataFileReader(stream, jvm.org.apache.avro.generic.GenericDatumReader())
+    try:
+        return [f.name() for f in reader.getSchema().getFields()]
+    finally:
+        reader.close()
+
+
 def _read_avro(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.format("avro").load(path)
     except Exception as e:  # noqa: BLE001 - the data source is optional
         if "avro" not in str(e).lower():
             raise
-    # Fallback: Avro records rendered as JSON text by the bundled avro-mapred input
-    # format (splittable, one JSON document per record), parsed by Spark's JSON reader.
+    # Fallback: Avro records rendered as JSON text by the avro-mapred input format
+    # bundled with Spark (splittable, one JSON document per record), parsed by Spark's
+    # JSON reader. The text passes through Python workers once: stage the result.
+    missing = [c for c in ENVELOPE_COLUMNS if c not in _avro_field_names(spark, path)]
+    if missing:
+        raise InvalidEnvelope(missing)
     sc = spark.sparkContext
     rdd = sc.hadoopFile(path, "org.apache.avro.mapred.AvroAsTextInputFormat",
                         "org.apache.hadoop.io.Text", "org.apache.hadoop.io.Text")
-    return spark.read.json(rdd.map(lambda kv: kv[0]))
+    return spark.read.schema(AVRO_TEXT_SCHEMA).json(rdd.map(lambda kv: kv[0]))
 
 
 def read_entities(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
