@@ -69,7 +69,12 @@ def numeric_summary(vc: DataFrame) -> DataFrame:
         F.sum("n").alias("n_values"),
         (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mean"),
         F.min_by("x", F.struct((-F.col("n")).alias("neg_n"), F.col("x").alias("x"))).alias("mode"))
-    return tot.join(mom, ["covariate", "grp"], "left")
+    # sample standard deviation, second pass around the mean (one row per covariate x group joined back)
+    dev = nv.join(F.broadcast(mom.select("covariate", "grp", "mean", "n_values")), ["covariate", "grp"]) \
+        .groupBy("covariate", "grp").agg(
+            F.sum(F.col("n") * (F.col("x") - F.col("mean")) ** 2).alias("_ss"), F.first("n_values").alias("_nv"))
+    sd = dev.select("covariate", "grp", F.when(F.col("_nv") > 1, F.sqrt(F.col("_ss") / (F.col("_nv") - 1))).alias("sd"))
+    return tot.join(mom, ["covariate", "grp"], "left").join(sd, ["covariate", "grp"], "left")
 
 
 def welch_stats(vc: DataFrame) -> DataFrame:

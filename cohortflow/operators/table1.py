@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.format import COUNT_SUFFIX, fmt_num, fmt_p, n_pct
+from ..functions.format import COUNT_SUFFIX, fmt_num, fmt_p, mean_sd, n_pct
 from ..functions.numeric import round_r, to_num
 from ..session import materialize
 from . import stats as st
@@ -31,6 +31,7 @@ from .montecarlo import DEFAULT_REPLICATES, monte_carlo_p
 INDENT = "   "
 COUNT_ROW = "Count"
 MEAN, MODE, MISSING = "Mean", "Mode", "Missing"
+MEAN_SD = "Mean (SD)"   # optional statistic: mean and sample standard deviation
 MISSING_ORD = 999
 
 
@@ -84,6 +85,8 @@ def table1(df: DataFrame, covariates: Sequence[Covariate], ids: DataFrame | None
                 spec_rows.append((c.column, base + 1, "mean", None))
             if MODE in c.values:
                 spec_rows.append((c.column, base + 2, "mode", None))
+            if MEAN_SD in c.values:
+                spec_rows.append((c.column, base + 3, "mean_sd", None))
             spec_rows.append((c.column, base + MISSING_ORD, "missing_num", None))
         else:
             for i, lvl in enumerate(c.values):
@@ -99,7 +102,7 @@ def table1(df: DataFrame, covariates: Sequence[Covariate], ids: DataFrame | None
         F.sum(F.when(v.isNotNull() & (v != ""), F.col("n")).otherwise(0)).alias("den"),
         F.sum(F.when(v.isNull() | v.isin("None", ""), F.col("n")).otherwise(0)).alias("mis_cat"),
         F.sum(F.when(to_num(v).isNull(), F.col("n")).otherwise(0)).alias("mis_num"))
-    num = st.numeric_summary(vc).select("covariate", "grp", "mean", "mode", "n_values")
+    num = st.numeric_summary(vc).select("covariate", "grp", "mean", "mode", "n_values", "sd")
     lvl_counts = vc.where(v.isNotNull()).select("covariate", "grp", F.col("value").alias("level"), "n")
 
     cells = (spec_g.join(per, ["covariate", "grp"], "left")
@@ -110,12 +113,14 @@ def table1(df: DataFrame, covariates: Sequence[Covariate], ids: DataFrame | None
     text = (F.when(kind == "main", F.lit(""))
             .when(kind == "mean", F.when(F.col("n_values") > 0, fmt_num(round_r(F.col("mean"), 2))))
             .when(kind == "mode", F.when(F.col("n_values") > 0, fmt_double(F.col("mode"))))
+            .when(kind == "mean_sd", mean_sd(F.col("mean"), F.col("sd")))
             .when(kind == "missing_num", n_pct(F.coalesce(F.col("mis_num"), F.lit(0)), tot))
             .when(kind == "missing_cat", n_pct(F.coalesce(F.col("mis_cat"), F.lit(0)), tot))
             .when(kind == "level", n_pct(F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("den"), F.lit(0)))))
     label = (F.when(kind == "main", F.col("covariate"))
              .when(kind == "mean", F.lit(INDENT + MEAN))
              .when(kind == "mode", F.lit(INDENT + MODE))
+             .when(kind == "mean_sd", F.lit(INDENT + MEAN_SD))
              .when(kind.startswith("missing"), F.lit(INDENT + MISSING))
              .otherwise(F.concat(F.lit(INDENT), F.col("level"))))
     long = cells.select("ord", label.alias("_label"), "grp", text.alias("text"))

@@ -89,3 +89,16 @@ def test_ranksum_mid_ranks(spark):
     ids = spark.createDataFrame([("1",), ("2",)], "id string")
     r = st.ranksum_stats(st.value_counts_long(df, ["v"], ids), n_ranges=2).first()
     assert (r.rs_n1, r.rs_n2, r.rs_r1, r.rs_ties, r.rs_has_ties) == (2, 3, 1 + 2.5, 6.0, True)
+
+
+def test_table1_mean_sd_and_report_sink(spark, tmpdir_path):
+    import os
+    from cohortflow.sources.sinks import write_report
+    t = table1(_cohort(spark), [Covariate("age", ["Mean (SD)"])])
+    rows = {r.ord: (r.Covariate, r["Everything"]) for r in t.collect()}
+    # age values 10, 20, 20, 40, 50, 60 -> mean 33.33, sd 19.66
+    assert rows[1003] == ("   Mean (SD)", "33.33 (19.66)")
+    out = os.path.join(tmpdir_path, "t1")
+    write_report(t, out)
+    text = "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.endswith(".csv"))
+    assert text.splitlines()[0] == "ord,Covariate,Everything" and "Mean (SD)" in text
