@@ -35,18 +35,19 @@ SINGLE_TASK_MAX_ROWS = 250_000
 
 
 def add_ranges(df: DataFrame, order: str, n_ranges: int | None = None,
-               rel_err: float = 0.001) -> DataFrame:
+               rel_err: float = 0.001) -> tuple[DataFrame, int]:
     """Materialise ``df`` and add a ``_range`` column cutting ``order`` at quantiles.
 
-    ``n_ranges=None`` chooses: one range when the materialised frame has at most
-    ``SINGLE_TASK_MAX_ROWS`` rows, else one range per shuffle partition.
+    Returns the frame and its number of ranges. ``n_ranges=None`` chooses: one range
+    when the materialised frame has at most ``SINGLE_TASK_MAX_ROWS`` rows (a counted,
+    proven bound), else one range per shuffle partition.
     """
     if n_ranges is not None and n_ranges <= 1:
-        return df.withColumn(RANGE, F.lit(0))
+        return df, 1
     df = materialize(df)
     if n_ranges is None:
         if df.count() <= SINGLE_TASK_MAX_ROWS:
-            return df.withColumn(RANGE, F.lit(0))
+            return df, 1
         n_ranges = default_ranges(df)
     probs = [i / n_ranges for i in range(1, n_ranges)]
     cuts = df.approxQuantile(order, probs, rel_err)
@@ -54,31 +55,35 @@ def add_ranges(df: DataFrame, order: str, n_ranges: int | None = None,
     tmp = "_range_input"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=RANGE, handleInvalid="keep")
     out = b.transform(df.withColumn(tmp, F.col(order).cast("double")))
-    return out.withColumn(RANGE, F.col(RANGE).cast("int")).drop(tmp)
+    return out.withColumn(RANGE, F.col(RANGE).cast("int")).drop(tmp), len(splits) - 1
 
 
 def running(df: DataFrame, order: str, partition_by: Sequence[str] = (),
             sums: Mapping[str, Column] | None = None,
-            products: Mapping[str, Column] | None = None) -> DataFrame:
+            products: Mapping[str, Column] | None = None, n_ranges: int = 1) -> DataFrame:
     """Add inclusive running ``sums`` / ``products`` ordered by ``order`` within ``partition_by``.
 
-    ``df`` must carry ``_range`` (see ``add_ranges``); ``order`` must be unique within
-    each partition key and ascending ranges must hold ascending ``order`` values.
+    ``n_ranges`` comes from ``add_ranges``: with one range the frame's size is already
+    bounded and a plain window is used; with several, ``df`` carries ``_range``.
+    ``order`` must be unique within each partition key.
     """
     sums = dict(sums or {})
     products = dict(products or {})
     names = list(sums) + list(products)
-    keys = list(partition_by) + [RANGE]
     base = df
     for name, expr in {**sums, **products}.items():
         base = base.withColumn(f"_v_{name}", expr)
-    w_in = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = base
-    for name in sums:
-        out = out.withColumn(f"_in_{name}", F.sum(f"_v_{name}").over(w_in))
-    for name in products:
-        out = out.withColumn(f"_in_{name}", F.product(f"_v_{name}").over(w_in))
 
+    def window_cols(keys, prefix):
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return ([F.sum(f"_v_{n}").over(w).alias(f"{prefix}{n}") for n in sums]
+                + [F.product(f"_v_{n}").over(w).alias(f"{prefix}{n}") for n in products])
+
+    if n_ranges <= 1:
+        return base.select("*", *window_cols(list(partition_by), "")).drop(*[f"_v_{n}" for n in names])
+
+    keys = list(partition_by) + [RANGE]
+    out = base.select("*", *window_cols(keys, "_in_"))
     # One row per (partition key, range): bounded by n_ranges x #keys, so broadcast.
     tot = base.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
                                   *[F.product(f"_v_{n}").alias(f"_t_{n}") for n in products])

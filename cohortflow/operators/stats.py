@@ -102,8 +102,8 @@ def ranksum_stats(vc: DataFrame, n_ranges: int | None = None) -> DataFrame:
         F.sum(F.when(F.col("grp") == G1, F.col("n")).otherwise(0)).alias("c1"),
         F.sum(F.when(F.col("grp") == G2, F.col("n")).otherwise(0)).alias("c2"))
     per = per.withColumn("c", F.col("c1") + F.col("c2"))
-    per = add_ranges(per, "x", n_ranges)
-    r = running(per, "x", ["covariate"], sums={"cum": F.col("c")})
+    per, n_ranges = add_ranges(per, "x", n_ranges)
+    r = running(per, "x", ["covariate"], sums={"cum": F.col("c")}, n_ranges=n_ranges)
     mid = F.col("cum") - F.col("c") + (F.col("c") + 1) / 2.0
     c = F.col("c").cast("double")
     return r.groupBy("covariate").agg(

@@ -37,14 +37,17 @@ def test_ranged_running_sums_equal_single_window(spark):
     w = Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ref = {(r.g, r.x): r.s for r in df.select("g", "x", F.sum("c").over(w).alias("s")).collect()}
     for n in (1, 7):
-        got = running(add_ranges(df, "x", n), "x", ["g"], sums={"s": F.col("c")})
+        ranged, k = add_ranges(df, "x", n)
+        got = running(ranged, "x", ["g"], sums={"s": F.col("c")}, n_ranges=k)
         got = {(r.g, r.x): r.s for r in got.collect()}
         assert got == ref
 
 
 def test_ranged_running_product(spark):
     df = spark.createDataFrame([(float(i), 1.0 - 1.0 / (i + 2)) for i in range(200)], "x double, f double")
-    got = running(add_ranges(df, "x", 5), "x", [], products={"p": F.col("f")}).orderBy("x").collect()
+    ranged, k = add_ranges(df, "x", 5)
+    assert k == 5
+    got = running(ranged, "x", [], products={"p": F.col("f")}, n_ranges=k).orderBy("x").collect()
     prod = 1.0
     for r in got:
         prod *= 1.0 - 1.0 / (r.x + 2)
