@@ -1,15 +1,24 @@
 """Monte-Carlo p-value of Pearson's chi-square for level x 2 tables.
 
 Under the null with both margins fixed, the first group's column of a random
-table is a multivariate hypergeometric draw (Patefield's conditional tables);
-for a single-level table the two cells are a fair binomial split.
+table is a multivariate hypergeometric draw (Patefield's conditional tables); for
+a single-level table (goodness of fit to equal shares) the two cells are a fair
+binomial split.
 
     p = (1 + #{replicates with X2* >= X2_obs * (1 - 64 eps)}) / (B + 1)
 
-Replicates are spread over ``chunks`` rows per covariate (each row carries that
-covariate's margins, generated by ``explode`` - no cross join); each chunk's
-random stream is seeded from (seed, covariate, chunk), so the result does not
-depend on partitioning or executor count.
+Distributed without gathering a table's levels anywhere:
+
+1. levels are hashed into blocks of about ``LEVELS_PER_BLOCK`` levels;
+2. per replicate, the group-1 total is split over the blocks (a multivariate
+   hypergeometric draw over the block totals; one small row per block);
+3. each block, in its own task (``cogroup`` of the block's levels with its
+   allocations), draws its levels level by level, vectorised over replicates,
+   and emits one partial statistic per replicate;
+4. partial statistics are summed per replicate and compared with the observed one.
+
+Random streams are seeded from (seed, covariate, block / replicate chunk), so the
+result does not depend on partitioning or executor count.
 """
 
 from __future__ import annotations
@@ -23,60 +32,102 @@ from pyspark.sql import functions as F
 
 # Fixed value: replicates per table.
 DEFAULT_REPLICATES = 5000
-DEFAULT_CHUNKS = 64
 ALMOST_ONE = 1 - 64 * 2.220446049250313e-16
+LEVELS_PER_BLOCK = 20_000
+ALLOC_CHUNKS = 16
 
 
-def _stat(x1: np.ndarray, rows: np.ndarray, c1: float, c2: float) -> np.ndarray:
-    n = c1 + c2
-    e1 = rows * c1 / n
-    e2 = rows * c2 / n
-    x2 = rows - x1
-    return (((x1 - e1) ** 2) / e1 + ((x2 - e2) ** 2) / e2).sum(axis=-1)
+def _rng(seed: int, covariate: str, *parts: int) -> np.random.Generator:
+    key = zlib.crc32(str(covariate).encode("utf-8"))
+    return np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, key, *parts])))
 
 
-def _simulate(pdf_iter, seed: int):
-    for pdf in pdf_iter:
+def _allocate(it, seed: int, replicates: int):
+    """Rows (covariate, chunk, blocks, block_totals, C1, N, r) -> (covariate, block, rep, y)."""
+    for pdf in it:
         out = []
         for _, r in pdf.iterrows():
-            rows = np.asarray(r["rows"], dtype=np.int64)
-            c1, c2, k = int(r["C1"]), int(r["C2"]), int(r["k"])
-            cov_key = zlib.crc32(str(r["covariate"]).encode("utf-8"))
-            rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, cov_key, int(r["chunk"])])))
+            chunk = int(r["chunk"])
+            lo = replicates * chunk // ALLOC_CHUNKS
+            hi = replicates * (chunk + 1) // ALLOC_CHUNKS
+            k = hi - lo
             if k <= 0:
-                out.append((r["covariate"], 0))
                 continue
-            if len(rows) == 1:
-                n = c1 + c2
-                a = rng.binomial(n, 0.5, size=k).astype(float)
-                h = n / 2.0
-                sim = (a - h) ** 2 / h + ((n - a) - h) ** 2 / h
+            rng = _rng(seed, r["covariate"], 0, chunk)
+            blocks = np.asarray(r["blocks"], dtype=np.int64)
+            totals = np.asarray(r["block_totals"], dtype=np.int64)
+            if int(r["r"]) == 1:   # goodness of fit: fair split of all N observations
+                y = rng.binomial(int(r["N"]), 0.5, size=(k, 1))
+            else:
+                y = rng.multivariate_hypergeometric(totals, int(r["C1"]), size=k)
+            reps = np.arange(lo, hi)
+            for j, b in enumerate(blocks):
+                out.append(pd.DataFrame({"covariate": r["covariate"], "block": int(b), "rep": reps,
+                                         "y": y[:, j].astype(np.int64)}))
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+
+def _block_stats(levels: pd.DataFrame, alloc: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """One block: draw each level's group-1 count for every replicate; partial X2 per replicate."""
+    if levels.empty or alloc.empty:
+        return pd.DataFrame({"covariate": [], "rep": [], "part": []})
+    levels = levels.sort_values("level")
+    alloc = alloc.sort_values("rep")
+    cov, block = levels["covariate"].iloc[0], int(levels["block"].iloc[0])
+    c1, c2, n, r = (float(levels[c].iloc[0]) for c in ("C1", "C2", "N", "r"))
+    y = alloc["y"].to_numpy(dtype=np.int64)
+    rows = (levels["n1"] + levels["n2"]).to_numpy(dtype=np.int64)
+    part = np.zeros(len(y))
+    if int(r) == 1:
+        h = n / 2.0
+        part += (y - h) ** 2 / h + ((n - y) - h) ** 2 / h
+    else:
+        rng = _rng(seed, cov, 1, block)
+        remaining_draw = y.copy()
+        remaining_total = int(rows.sum())
+        for rj in rows:
+            rest = remaining_total - int(rj)
+            if rest == 0:
+                x = remaining_draw.copy()
             else:
-                x1 = rng.multivariate_hypergeometric(rows, c1, size=k).astype(float)
-                sim = _stat(x1, rows.astype(float), float(c1), float(c2))
-            out.append((r["covariate"], int((sim >= ALMOST_ONE * float(r["stat"])).sum())))
-        yield pd.DataFrame(out, columns=["covariate", "hits"])
+                x = np.zeros_like(remaining_draw)
+                live = remaining_draw > 0
+                if live.any():
+                    x[live] = rng.hypergeometric(int(rj), rest, remaining_draw[live])
+            e1, e2 = rj * c1 / n, rj * c2 / n
+            part += (x - e1) ** 2 / e1 + ((rj - x) - e2) ** 2 / e2
+            remaining_draw = remaining_draw - x
+            remaining_total = rest
+    return pd.DataFrame({"covariate": cov, "rep": alloc["rep"].to_numpy(), "part": part})
 
 
 def monte_carlo_p(ct: DataFrame, tests: DataFrame, replicates: int = DEFAULT_REPLICATES,
-                  seed: int = 42, chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+                  seed: int = 42, levels_per_block: int = LEVELS_PER_BLOCK) -> DataFrame:
     """``covariate, p_mc`` for covariates whose ``test`` is ``chisq_mc``.
 
-    ``ct``: ``covariate, level, n1, n2``; ``tests``: ``covariate, test, stat, C1, C2``.
+    ``ct``: ``covariate, level, n1, n2``; ``tests``: ``covariate, test, stat, r, C1, C2``
+    (one row per covariate, so broadcasting it is bounded by the covariate count).
     """
-    sel = tests.where(F.col("test") == "chisq_mc").select("covariate", "stat", "C1", "C2")
-    margins = (ct.join(sel.select("covariate"), "covariate", "left_semi")
-               .groupBy("covariate")
-               .agg(F.sort_array(F.collect_list(F.struct("level", (F.col("n1") + F.col("n2")).alias("t"))))
-                    .alias("lv")))
-    per_chunk = replicates // chunks
-    extra = replicates % chunks
-    work = (margins.join(sel, "covariate")
-            .select("covariate", "stat", "C1", "C2", F.col("lv.t").alias("rows"),
-                    F.posexplode(F.array_repeat(F.lit(0), chunks)).alias("chunk", "_z"))
-            .withColumn("k", F.lit(per_chunk) + F.when(F.col("chunk") < extra, 1).otherwise(0))
-            .drop("_z")
-            .repartition(chunks, "covariate", "chunk"))
-    hits = work.mapInPandas(lambda it: _simulate(it, seed), "covariate string, hits long")
-    return hits.groupBy("covariate").agg(
-        ((F.sum("hits") + 1) / F.lit(float(replicates + 1))).alias("p_mc"))
+    sel = tests.where(F.col("test") == "chisq_mc").select(
+        "covariate", "stat", "r", "C1", "C2", (F.col("C1") + F.col("C2")).alias("N"))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("r") / F.lit(float(levels_per_block)))).cast("int")
+    lv = (ct.join(F.broadcast(sel), "covariate")
+          .withColumn("block", F.pmod(F.xxhash64("level"), n_blocks.cast("long")).cast("int"))
+          .select("covariate", "block", "level", "n1", "n2", "C1", "C2", "N", "r"))
+    totals = lv.groupBy("covariate", "block").agg(F.sum(F.col("n1") + F.col("n2")).alias("t"))
+    # one row per covariate with its block totals: at most r / levels_per_block entries
+    per_cov = (totals.groupBy("covariate")
+               .agg(F.sort_array(F.collect_list(F.struct("block", "t"))).alias("bt"))
+               .join(F.broadcast(sel), "covariate")
+               .select("covariate", F.col("bt.block").alias("blocks"), F.col("bt.t").alias("block_totals"),
+                       "C1", "N", "r",
+                       F.explode(F.sequence(F.lit(0), F.lit(ALLOC_CHUNKS - 1))).alias("chunk")))
+    alloc = per_cov.repartition(ALLOC_CHUNKS, "covariate", "chunk").mapInPandas(
+        lambda it: _allocate(it, seed, replicates), "covariate string, block int, rep int, y long")
+    parts = (lv.groupBy("covariate", "block").cogroup(alloc.groupBy("covariate", "block"))
+             .applyInPandas(lambda a, b: _block_stats(a, b, seed), "covariate string, rep int, part double"))
+    sims = parts.groupBy("covariate", "rep").agg(F.sum("part").alias("sim"))
+    hits = sims.join(F.broadcast(sel.select("covariate", "stat")), "covariate").groupBy("covariate").agg(
+        F.sum(F.when(F.col("sim") >= F.lit(ALMOST_ONE) * F.col("stat"), 1).otherwise(0)).alias("hits"))
+    return hits.select("covariate", ((F.col("hits") + 1) / F.lit(float(replicates + 1))).alias("p_mc"))

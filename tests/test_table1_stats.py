@@ -77,9 +77,11 @@ def test_monte_carlo_independent_of_partitioning(spark):
     ct = st.contingency(st.value_counts_long(df, ["v"], ids))
     tests = st.contingency_tests(ct)
     assert tests.first().test == "chisq_mc"
-    p2 = monte_carlo_p(ct.repartition(2), tests, replicates=2000, chunks=8).first().p_mc
-    p7 = monte_carlo_p(ct.repartition(7), tests, replicates=2000, chunks=8).first().p_mc
+    p2 = monte_carlo_p(ct.repartition(2), tests, replicates=2000, levels_per_block=2).first().p_mc
+    p7 = monte_carlo_p(ct.repartition(7), tests, replicates=2000, levels_per_block=2).first().p_mc
     assert p2 == p7 and 0 < p2 <= 1
+    one_block = monte_carlo_p(ct, tests, replicates=2000).first().p_mc
+    assert abs(one_block - p2) < 0.05                 # blocking changes the stream, not the law
     stat = tests.first().stat
     assert abs(p2 - fin.chisq_sf(stat, 5)) < 0.15   # close to the asymptotic value
 
@@ -102,3 +104,15 @@ def test_table1_mean_sd_and_report_sink(spark, tmpdir_path):
     write_report(t, out)
     text = "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.endswith(".csv"))
     assert text.splitlines()[0] == "ord,Covariate,Everything" and "Mean (SD)" in text
+
+
+def test_monte_carlo_goodness_of_fit(spark):
+    df = spark.createDataFrame([(str(i), "a") for i in range(9)], "id string, v string")
+    ids = spark.createDataFrame([("0",), ("1",)], "id string")
+    ct = st.contingency(st.value_counts_long(df, ["v"], ids))
+    tests = st.contingency_tests(ct)
+    t = tests.first()
+    assert (t.r, t.test) == (1, "chisq_mc")          # 2 vs 7: a cell under 5
+    p = monte_carlo_p(ct, tests, replicates=4000).first().p_mc
+    # exact: P(|Bin(9, .5) - 4.5| >= 2.5) = 2 * P(X <= 2) = 2 * 46 / 512
+    assert abs(p - 92 / 512) < 0.03
