@@ -149,28 +149,30 @@ def _finish(df: DataFrame, gcols, two: bool) -> DataFrame:
 
 def covariate_p_values(vc: DataFrame, kinds: dict, seed: int = 42,
                        replicates: int = DEFAULT_REPLICATES) -> DataFrame:
-    """``covariate, p`` for every covariate (two-group value counts)."""
+    """``covariate, p`` for every covariate (two-group value counts).
+
+    Test inputs of all covariates (one row each) go through one p-value UDF pass on a
+    single partition; Monte-Carlo covariates take their p from the simulation job.
+    """
     spark = vc.sparkSession
     numeric = [c for c, k in kinds.items() if k]
     categorical = [c for c, k in kinds.items() if not k]
-    parts = []
+    inputs, mc = [], None
     if numeric:
         nvc = vc.where(F.col("covariate").isin(*numeric))
-        rs = st.ranksum_stats(nvc)
-        w = st.welch_stats(nvc)
-        t = rs.join(w, "covariate", "full").withColumn("kind", F.lit("numeric"))
-        parts.append(st.p_values(t))
+        inputs.append(st.ranksum_stats(nvc).join(st.welch_stats(nvc), "covariate", "full")
+                      .withColumn("kind", F.lit("numeric")))
     if categorical:
-        cvc = vc.where(F.col("covariate").isin(*categorical))
-        ct = materialize(st.contingency(cvc))
-        tests = st.contingency_tests(ct).withColumn("kind", F.lit("categorical"))
-        p = st.p_values(tests)
+        ct = materialize(st.contingency(vc.where(F.col("covariate").isin(*categorical))))
+        tests = st.contingency_tests(ct)
+        inputs.append(tests.withColumn("kind", F.lit("categorical")))
         mc = monte_carlo_p(ct, tests, replicates=replicates, seed=seed)
-        parts.append(p.join(mc, "covariate", "left")
-                     .select("covariate", F.coalesce(F.col("p_mc"), F.col("p")).alias("p")))
-    if not parts:
+    if not inputs:
         return spark.createDataFrame([], "covariate string, p double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("covariate", F.when(~F.isnan("p"), F.col("p")).alias("p"))
+    allt = inputs[0]
+    for x in inputs[1:]:
+        allt = allt.unionByName(x, allowMissingColumns=True)
+    p = st.p_values(allt.coalesce(1))          # one row per covariate
+    if mc is not None:
+        p = p.join(mc, "covariate", "left").select("covariate", F.coalesce(F.col("p_mc"), F.col("p")).alias("p"))
+    return p.select("covariate", F.when(~F.isnan("p"), F.col("p")).alias("p"))
