@@ -33,10 +33,12 @@ def covariate_pairs(df: DataFrame, covariates: Sequence[str], id_col: str = "id"
     return wide.unpivot(["id"], list(covariates), "covariate", "value").distinct()
 
 
-def value_counts_long(df: DataFrame, covariates: Sequence[str], ids: DataFrame | None = None,
-                      id_col: str = "id") -> DataFrame:
-    """``covariate, grp, value, n`` over distinct subject/value pairs."""
-    pairs = mark_groups(covariate_pairs(df, covariates, id_col), ids, "id")
+def value_counts_long(df: DataFrame | None, covariates: Sequence[str], ids: DataFrame | None = None,
+                      id_col: str = "id", pairs: DataFrame | None = None) -> DataFrame:
+    """``covariate, grp, value, n`` over distinct subject/value pairs (from ``df``, or
+    from ready ``pairs`` of ``id, covariate, value`` such as ``merge.subject_pairs``)."""
+    base = pairs if pairs is not None else covariate_pairs(df, covariates, id_col)
+    pairs = mark_groups(base, ids, "id")
     return pairs.groupBy("covariate", "grp", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -47,13 +47,23 @@ def _grp_cols(grouping: Grouping) -> list[tuple[str, str]]:
     return [(ALL, SINGLE_LABEL)]
 
 
-def table1(df: DataFrame, covariates: Sequence[Covariate], ids: DataFrame | None = None,
+def table1(df: DataFrame | None, covariates: Sequence[Covariate], ids: DataFrame | None = None,
            group_label: str | None = None, id_col: str = "id", seed: int = 42,
            replicates: int = DEFAULT_REPLICATES, grouping: Grouping | None = None,
-           with_p: bool = True) -> DataFrame:
-    spark = df.sparkSession
-    covs = [c for c in covariates if c.column and c.column in df.columns]
-    grouping = grouping or assign_groups(df, ids, group_label, id_col)
+           with_p: bool = True, pairs: DataFrame | None = None) -> DataFrame:
+    """Table 1 from a subject table ``df`` (e.g. the merged table), or from ``pairs``
+    (``id, covariate, value`` covering every subject, see ``merge.subject_pairs``)."""
+    if pairs is not None:
+        spark = pairs.sparkSession
+        present = {r["covariate"] for r in pairs.select("covariate").distinct().collect()}  # <= #covariates
+        covs = [c for c in covariates if c.column in present]
+        subjects = pairs.select(F.col("id")).distinct()
+        grouping = grouping or assign_groups(subjects, ids, group_label, "id")
+        id_col = "id"
+    else:
+        spark = df.sparkSession
+        covs = [c for c in covariates if c.column and c.column in df.columns]
+        grouping = grouping or assign_groups(df, ids, group_label, id_col)
     two = grouping.mode == "two"
     gcols = _grp_cols(grouping)
 
@@ -71,7 +81,8 @@ def table1(df: DataFrame, covariates: Sequence[Covariate], ids: DataFrame | None
         return _finish(head_df, gcols, two)
 
     names = list(dict.fromkeys(c.column for c in covs))
-    vc = materialize(st.value_counts_long(df, names, ids if two else None, id_col))
+    vc = materialize(st.value_counts_long(df, names, ids if two else None, id_col,
+                                          pairs=None if pairs is None else pairs.where(F.col("covariate").isin(*names))))
     kinds = {r["covariate"]: r["is_numeric"] for r in st.covariate_kinds(vc).collect()}  # one row per covariate
 
     # row specs: (covariate, ord, row kind, level) - small, built from the request

@@ -407,6 +407,8 @@ def table1_oracles(customer_covs, customer_kinds, label_covs, region_label, lang
     lcovs = [(c.column, "categorical", list(c.values)) for c in label_covs]
     return {
         "table1_customers_counts": table1_sql(cust_base, ccovs, region_label, True),
+        # same result, computed by the Spark side from per-entity pairs instead of the merged table
+        "table1_customers_counts_from_pairs": table1_sql(cust_base, ccovs, region_label, True),
         "table1_customers_single": table1_sql(CUSTOMER_COHORT, ccovs, None, False),
         "table1_labels_counts": table1_sql(LABELS_COHORT, lcovs, lang_label, True),
         "ranksum_acctbal": ranksum_sql(cust_base, "c_acctbal"),

@@ -123,6 +123,20 @@ def _t1_customers(s, d, two=True, with_p=True):
     return table1(si.customer_cohort(s, d), CUSTOMER_COVARIATES, ids, REGION_LABEL, with_p=with_p)
 
 
+def customer_pairs(s, d):
+    """Covariate pairs of the customer cohort read from each source frame (no fan-out)."""
+    from ..operators.merge import subject_pairs, union_pairs
+    coh = si.customer_cohort(s, d)
+    subj = coh.select("id").distinct()
+    cust = coh.select("id", "c_acctbal", "c_mktsegment", "nation").distinct()
+    orders = si.table(s, d, "orders").select(
+        F.col("o_custkey").cast("string").alias("dst_id"), "o_orderpriority", "o_orderstatus",
+        si._txt("o_totalprice").alias("o_totalprice"))
+    parts = [subject_pairs(subj, cust, c, via="id", on="id") for c in ("c_acctbal", "c_mktsegment", "nation")]
+    parts += [subject_pairs(subj, orders, c) for c in ("o_orderpriority", "o_orderstatus", "o_totalprice")]
+    return union_pairs(parts)
+
+
 def _t1_labels(s, d, with_p=True):
     return table1(si.labels_cohort(s, d), LABEL_COVARIATES, si.language_ids(s, d), LANG_LABEL, with_p=with_p)
 
@@ -173,6 +187,9 @@ TABLE1 = {
     "table1_customers_two_group": lambda s, d: _t1_customers(s, d),
     "table1_customers_counts": lambda s, d: _t1_customers(s, d, with_p=False).drop("P_value"),
     "table1_customers_single": lambda s, d: _t1_customers(s, d, two=False),
+    "table1_customers_counts_from_pairs": lambda s, d: table1(
+        None, CUSTOMER_COVARIATES, si.region_ids(s, d), REGION_LABEL, with_p=False,
+        pairs=customer_pairs(s, d)).drop("P_value"),
     "table1_labels_two_group": lambda s, d: _t1_labels(s, d),
     "table1_labels_counts": lambda s, d: _t1_labels(s, d, with_p=False).drop("P_value"),
     "ranksum_acctbal": lambda s, d: _ranksum(s, d, "c_acctbal"),

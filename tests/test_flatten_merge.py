@@ -99,3 +99,20 @@ def test_left_join_suffixed_right_key_dropped(spark):
     y = spark.createDataFrame([("1", "b", "z")], "k string, v string, id string")
     out = left_join_suffixed(x, y, "id", "k", (".x", ".y"))
     assert out.columns == ["id", "v.x", "v.y", "id.y"]
+
+
+def test_subject_pairs_equal_merged_distinct_pairs(spark):
+    from cohortflow.operators.merge import subject_pairs
+    from cohortflow.operators.stats import covariate_pairs
+    subject = spark.createDataFrame([("s1", "p1"), ("s2", "p2"), ("s3", None)], "id string, dst_id string")
+    person = spark.createDataFrame([("p1", "F"), ("p2", None)], "id string, sex string")
+    lab = spark.createDataFrame([("l1", "s1", "a"), ("l2", "s1", "b"), ("l3", "s1", "a"), ("l4", "s2", None)],
+                                "id string, dst_id string, v string")
+    vis = spark.createDataFrame([("v1", "s1", "x"), ("v2", "s1", "y"), ("v3", "s3", "z")],
+                                "id string, dst_id string, w string")
+    merged = merge_entities(subject, person, [("lab", lab), ("vis", vis)])
+    want = {tuple(r) for r in covariate_pairs(merged, ["sex", "v", "w"]).collect()}
+    got = set()
+    for col, src, via, on in [("sex", person, "dst_id", "id"), ("v", lab, "id", "dst_id"), ("w", vis, "id", "dst_id")]:
+        got |= {tuple(r) for r in subject_pairs(subject, src, col, via=via, on=on).collect()}
+    assert got == want
