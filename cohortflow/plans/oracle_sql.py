@@ -226,6 +226,8 @@ def distribution_oracles() -> dict[str, str]:
     return {
         "distribution_priority": distribution_sql(MERGED, "merged", "o_orderpriority"),
         "distribution_segment_fanout": distribution_sql(MERGED_LI, "merged_li", "c_mktsegment"),
+        # same result, computed by the Spark side from person pairs without the merged table
+        "distribution_segment_from_pairs": distribution_sql(MERGED_LI, "merged_li", "c_mktsegment"),
         "distribution_returnflag_export": distribution_sql(MERGED_LI, "merged_li", "l_returnflag", export=True),
         "covariate_values_segment": f"{MERGED} SELECT DISTINCT c_mktsegment FROM merged WHERE c_mktsegment IS NOT NULL",
         "covariate_kind": f"""{MERGED_LI}

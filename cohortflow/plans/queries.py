@@ -123,6 +123,14 @@ def _t1_customers(s, d, two=True, with_p=True):
     return table1(si.customer_cohort(s, d), CUSTOMER_COVARIATES, ids, REGION_LABEL, with_p=with_p)
 
 
+def entity_pairs(s, d, column):
+    """``column`` of the person frame for every subject of the merged-with-lineitem table."""
+    from ..operators.merge import subject_pairs
+    env = si.envelope(s, d)
+    return subject_pairs(flatten_entity(env, "subject"), flatten_entity(env, "person"), column,
+                         via="dst_id", on="id")
+
+
 def customer_pairs(s, d):
     """Covariate pairs of the customer cohort read from each source frame (no fan-out)."""
     from ..operators.merge import subject_pairs, union_pairs
@@ -205,4 +213,6 @@ TABLE1 = {
     "fisher_toxicity": lambda s, d: _contingency(si.labels_cohort(s, d), "toxicity", si.language_ids(s, d),
                                                  p="fisher"),
 }
+TABLE1["distribution_segment_from_pairs"] = lambda s, d: r9(ds.percentage_distribution(
+    None, "c_mktsegment", pairs=entity_pairs(s, d, "c_mktsegment")))
 QUERIES.update(TABLE1)
