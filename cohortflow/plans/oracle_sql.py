@@ -189,7 +189,7 @@ ENTITY_NAMES = """names AS (
 
 def column_types_sql() -> str:
     parts = [f"""SELECT '{c}' AS "column", count(TRY_CAST({c} AS DOUBLE)) AS n_numeric,
-  count_if({c} IS NULL OR {c} <> '') AS n_nonempty FROM merged_li""" for c in MERGED_LI_COLUMNS]
+  CAST(count_if({c} IS NULL OR {c} <> '') AS BIGINT) AS n_nonempty FROM merged_li""" for c in MERGED_LI_COLUMNS]
     body = "\nUNION ALL\n".join(parts)
     return f"""{MERGED_LI}, ct AS ({body})
 SELECT "column", n_numeric, n_nonempty, round(n_numeric / greatest(1, n_nonempty), 9) AS numeric_share,
@@ -269,7 +269,7 @@ sub AS (SELECT * FROM os WHERE subject_id IN (SELECT CAST(id AS BIGINT) FROM ids
         "km_median_ship_delay": f"{SHIP}, {km_ctes('ship')}, " + median_cols.format(by="", grp=""),
         "km_risk_table_os": f"""{OS},
 brk(i, time) AS (VALUES {breaks})
-SELECT round(time, 9) AS time, CAST((SELECT count(*) FROM os WHERE os.time_years >= brk.time) AS BIGINT) AS n_risk
+SELECT round(CAST(time AS DOUBLE), 9) AS time, CAST((SELECT count(*) FROM os WHERE os.time_years >= brk.time) AS BIGINT) AS n_risk
 FROM brk""",
         "km_curve_os": f"""{OS}, {km_ctes('os')}
 SELECT CAST(0 AS DOUBLE) AS time, CAST(1 AS DOUBLE) AS surv, CAST(1 AS DOUBLE) AS lower,
@@ -348,13 +348,14 @@ def table1_sql(base_ctes: str, covs, g1_label: str | None, two: bool) -> str:
 def _numeric_pg(base_ctes: str, col: str) -> str:
     return f"""WITH {base_ctes},
 {_pairs_ctes([(col, 'numeric', [])], True)},
-nv AS (SELECT x, count_if(grp = 'G1') AS c1, count_if(grp = 'G2') AS c2 FROM pg WHERE x IS NOT NULL GROUP BY x)"""
+nv AS (SELECT x, CAST(count_if(grp = 'G1') AS BIGINT) AS c1, CAST(count_if(grp = 'G2') AS BIGINT) AS c2
+        FROM pg WHERE x IS NOT NULL GROUP BY x)"""
 
 
 def ranksum_sql(base_ctes: str, col: str) -> str:
     return f"""{_numeric_pg(base_ctes, col)},
 rk AS (SELECT *, c1 + c2 AS c, sum(c1 + c2) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM nv)
-SELECT '{col}' AS covariate, sum(c1) AS rs_n1, sum(c2) AS rs_n2,
+SELECT '{col}' AS covariate, CAST(sum(c1) AS BIGINT) AS rs_n1, CAST(sum(c2) AS BIGINT) AS rs_n2,
        round(sum(c1 * (cum - c + (c + 1) / 2.0)), 6) AS rs_r1,
        round(sum(CAST(c AS DOUBLE) * c * c - c), 6) AS rs_ties, max(c > 1) AS rs_has_ties FROM rk"""
 
@@ -374,7 +375,7 @@ def contingency_sql(base_ctes: str, col: str, p: str | None = None) -> str:
     """Test inputs of one categorical covariate; ``p``: 'chisq_df4' or 'fisher' adds a p-value column."""
     sql = f"""WITH {base_ctes},
 {_pairs_ctes([(col, 'categorical', [])], True)},
-ct AS (SELECT value AS level, count_if(grp = 'G1') AS n1, count_if(grp = 'G2') AS n2
+ct AS (SELECT value AS level, CAST(count_if(grp = 'G1') AS BIGINT) AS n1, CAST(count_if(grp = 'G2') AS BIGINT) AS n2
        FROM pg WHERE value IS NOT NULL GROUP BY value),
 tot AS (SELECT count(*) AS r, CAST(sum(n1) AS BIGINT) AS C1, CAST(sum(n2) AS BIGINT) AS C2, min(least(n1, n2)) AS min_cell,
                arg_min(n1, level) AS a, arg_min(n2, level) AS b, arg_max(n1, level) AS c, arg_max(n2, level) AS d

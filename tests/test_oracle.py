@@ -13,6 +13,7 @@ from conftest import SF_SMALL  # noqa: E402
 from oracle_check import TABLES, _rows  # noqa: E402
 
 QUERIES = E.queries()
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 ORACLES = E.oracle_sql()
 
 
@@ -40,6 +41,8 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.sql(ORACLES[name])
     orows = [dict(zip(rel.columns, r)) for r in rel.fetchall()]
     assert sorted(sdf.columns) == sorted(rel.columns)
+    duck = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert {f.name: f.dataType.simpleString() for f in sdf.schema.fields} == duck
     cols = sorted(sdf.columns)
     assert _rows(srows, cols) == _rows(orows, cols)
 
