@@ -88,10 +88,10 @@ def dataset_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_columns"))
 
 
-def subject_pairs(subjects: DataFrame, source: DataFrame, column: str, via: str = "id",
-                  on: str = "dst_id", name: str | None = None, subject_key: str = "id") -> DataFrame:
-    """Distinct ``(id, covariate, value)`` of one covariate for every subject, read from
-    the frame that holds it instead of from the merged table.
+def subject_pairs(subjects: DataFrame, source: DataFrame, columns: str | Sequence[str], via: str = "id",
+                  on: str = "dst_id", subject_key: str = "id") -> DataFrame:
+    """Distinct ``(id, covariate, value)`` for every subject and each of ``columns``,
+    read from the frame that holds them instead of from the merged table.
 
     ``via``/``on`` give the link: an entity pointing at subjects is ``via="id",
     on="dst_id"`` (the default); the person frame is ``via="dst_id", on="id"``; a
@@ -99,15 +99,21 @@ def subject_pairs(subjects: DataFrame, source: DataFrame, column: str, via: str
     linked row get a NULL value. The pairs equal the distinct (id, column) pairs of
     the merged table - its left joins only duplicate rows - but the per-subject
     product of several entities is never built, and the value side is de-duplicated
-    (with map-side partial aggregation) before the join, so a subject with very many
-    records costs its distinct values only.
+    (with map-side partial aggregation) before the one join per source, so a subject
+    with very many records costs its distinct values only.
     """
-    vals = source.select(F.col(f"`{on}`").cast("string").alias("_k"),
-                         F.col(f"`{column}`").cast("string").alias("value")).distinct()
+    cols = [columns] if isinstance(columns, str) else list(columns)
+    vals = (source.select(F.col(f"`{on}`").cast("string").alias("_k"),
+                          *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+            .unpivot(["_k"], cols, "covariate", "value").distinct())
     subj = subjects.select(F.col(f"`{subject_key}`").cast("string").alias("id"),
                            F.col(f"`{via}`").cast("string").alias("_v")).distinct()
     j = subj.join(vals, subj["_v"].eqNullSafe(vals["_k"]), "left")
-    return j.select("id", F.lit(name or column).alias("covariate"), "value").distinct()
+    matched = j.where(F.col("covariate").isNotNull()).select("id", "covariate", "value")
+    unmatched = j.where(F.col("covariate").isNull()).select(
+        "id", F.explode(F.array(*[F.lit(c) for c in cols])).alias("covariate"),
+        F.lit(None).cast("string").alias("value"))
+    return matched.unionByName(unmatched)
 
 
 def union_pairs(parts: Sequence[DataFrame]) -> DataFrame:

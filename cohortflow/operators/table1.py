@@ -51,15 +51,14 @@ def table1(df: DataFrame | None, covariates: Sequence[Covariate], ids: DataFrame
            group_label: str | None = None, id_col: str = "id", seed: int = 42,
            replicates: int = DEFAULT_REPLICATES, grouping: Grouping | None = None,
            with_p: bool = True, pairs: DataFrame | None = None) -> DataFrame:
-    """Table 1 from a subject table ``df`` (e.g. the merged table), or from ``pairs``
-    (``id, covariate, value`` covering every subject, see ``merge.subject_pairs``)."""
+    """Table 1 from a subject table ``df`` holding the covariate columns (e.g. the merged
+    table), or from ``pairs`` (``id, covariate, value`` for every subject and requested
+    covariate, see ``merge.subject_pairs``) with ``df`` then only the subject table
+    (its ``id_col`` gives the group counts)."""
     if pairs is not None:
         spark = pairs.sparkSession
-        present = {r["covariate"] for r in pairs.select("covariate").distinct().collect()}  # <= #covariates
-        covs = [c for c in covariates if c.column in present]
-        subjects = pairs.select(F.col("id")).distinct()
-        grouping = grouping or assign_groups(subjects, ids, group_label, "id")
-        id_col = "id"
+        covs = [c for c in covariates if c.column]
+        grouping = grouping or assign_groups(df, ids, group_label, id_col)
     else:
         spark = df.sparkSession
         covs = [c for c in covariates if c.column and c.column in df.columns]

@@ -131,18 +131,24 @@ def entity_pairs(s, d, column):
                          via="dst_id", on="id")
 
 
+def customer_subjects(s, d):
+    return si.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+
+
 def customer_pairs(s, d):
     """Covariate pairs of the customer cohort read from each source frame (no fan-out)."""
     from ..operators.merge import subject_pairs, union_pairs
-    coh = si.customer_cohort(s, d)
-    subj = coh.select("id").distinct()
-    cust = coh.select("id", "c_acctbal", "c_mktsegment", "nation").distinct()
+    c = si.table(s, d, "customer")
+    n = si.table(s, d, "nation").select("n_nationkey", "n_name")
+    cust = c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+        F.col("c_custkey").cast("string").alias("id"), si._txt("c_acctbal").alias("c_acctbal"),
+        "c_mktsegment", F.col("n_name").alias("nation"))
+    subj = customer_subjects(s, d)
     orders = si.table(s, d, "orders").select(
         F.col("o_custkey").cast("string").alias("dst_id"), "o_orderpriority", "o_orderstatus",
         si._txt("o_totalprice").alias("o_totalprice"))
-    parts = [subject_pairs(subj, cust, c, via="id", on="id") for c in ("c_acctbal", "c_mktsegment", "nation")]
-    parts += [subject_pairs(subj, orders, c) for c in ("o_orderpriority", "o_orderstatus", "o_totalprice")]
-    return union_pairs(parts)
+    return union_pairs([subject_pairs(subj, cust, ["c_acctbal", "c_mktsegment", "nation"], via="id", on="id"),
+                        subject_pairs(subj, orders, ["o_orderpriority", "o_orderstatus", "o_totalprice"])])
 
 
 def _t1_labels(s, d, with_p=True):
@@ -196,7 +202,7 @@ TABLE1 = {
     "table1_customers_counts": lambda s, d: _t1_customers(s, d, with_p=False).drop("P_value"),
     "table1_customers_single": lambda s, d: _t1_customers(s, d, two=False),
     "table1_customers_counts_from_pairs": lambda s, d: table1(
-        None, CUSTOMER_COVARIATES, si.region_ids(s, d), REGION_LABEL, with_p=False,
+        customer_subjects(s, d), CUSTOMER_COVARIATES, si.region_ids(s, d), REGION_LABEL, with_p=False,
         pairs=customer_pairs(s, d)).drop("P_value"),
     "table1_labels_two_group": lambda s, d: _t1_labels(s, d),
     "table1_labels_counts": lambda s, d: _t1_labels(s, d, with_p=False).drop("P_value"),

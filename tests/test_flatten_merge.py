@@ -116,3 +116,7 @@ def test_subject_pairs_equal_merged_distinct_pairs(spark):
     for col, src, via, on in [("sex", person, "dst_id", "id"), ("v", lab, "id", "dst_id"), ("w", vis, "id", "dst_id")]:
         got |= {tuple(r) for r in subject_pairs(subject, src, col, via=via, on=on).collect()}
     assert got == want
+    both = merge_entities(subject, person, [("lab", lab.withColumn("u", lab.v))])
+    want2 = {tuple(r) for r in covariate_pairs(both, ["v", "u"]).collect()}
+    got2 = {tuple(r) for r in subject_pairs(subject, lab.withColumn("u", lab.v), ["v", "u"]).collect()}
+    assert got2 == want2
