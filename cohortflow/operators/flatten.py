@@ -191,3 +191,9 @@ def flatten_entity(envelope: DataFrame, entity_name: str | None = None, decode:
 def flatten_summary(envelope: DataFrame) -> DataFrame:
     """Records per entity type."""
     return envelope.groupBy("name").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def flatten_status(flat: DataFrame, entity_names: list[str]) -> str:
+    """'Flattened N records for a, b' (one count job on the flattened frame)."""
+    n = flat.agg(F.count(F.lit(1))).first()[0]
+    return f"Flattened {n} records for {', '.join(entity_names)}"

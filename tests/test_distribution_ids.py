@@ -40,3 +40,15 @@ def test_read_subject_ids(spark, tmpdir_path):
         f.write("\n  \n")
     assert subject_id_upload(spark, empty) == (None, None)
     assert group_label("/x/y/my_ids.txt") == "my_ids"
+
+
+def test_distribution_input_checks_and_flatten_status(spark):
+    import pytest
+    from cohortflow.errors import CohortError, MissingColumn
+    from cohortflow.operators.flatten import flatten_status
+    df = spark.createDataFrame([("1", 2.0)], "id string, x double")
+    with pytest.raises(MissingColumn):
+        percentage_distribution(df, "nope")
+    with pytest.raises(CohortError):
+        percentage_distribution(df, "x")
+    assert flatten_status(df, ["person"]) == "Flattened 1 records for person"
