@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import distribution as ds
+from ..operators import stats as st
 from ..operators import survival as sv
 from ..operators.flatten import flatten_entity, flatten_summary
-from ..operators.merge import column_types, dataset_shape, merge_entities
+from ..operators.merge import column_types, dataset_shape, merge_entities, subject_pairs, union_pairs
+from ..operators.montecarlo import monte_carlo_p
+from ..operators.table1 import Covariate, table1
 from ..sources.envelope import entity_types, optional_entities
 from . import standins as si
 
@@ -99,9 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**SURVIVAL, **FL
 
 
 # ------------------------------------------------------------------ Table 1 and group tests
-from ..operators import stats as st  # noqa: E402
-from ..operators.montecarlo import monte_carlo_p  # noqa: E402
-from ..operators.table1 import Covariate, table1  # noqa: E402
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 CUSTOMER_COVARIATES = [
@@ -125,7 +125,6 @@ def _t1_customers(s, d, two=True, with_p=True):
 
 def entity_pairs(s, d, column):
     """``column`` of the person frame for every subject of the merged-with-lineitem table."""
-    from ..operators.merge import subject_pairs
     env = si.envelope(s, d)
     return subject_pairs(flatten_entity(env, "subject"), flatten_entity(env, "person"), column,
                          via="dst_id", on="id")
@@ -137,16 +136,15 @@ def customer_subjects(s, d):
 
 def customer_pairs(s, d):
     """Covariate pairs of the customer cohort read from each source frame (no fan-out)."""
-    from ..operators.merge import subject_pairs, union_pairs
     c = si.table(s, d, "customer")
     n = si.table(s, d, "nation").select("n_nationkey", "n_name")
     cust = c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
-        F.col("c_custkey").cast("string").alias("id"), si._txt("c_acctbal").alias("c_acctbal"),
+        F.col("c_custkey").cast("string").alias("id"), si.txt("c_acctbal").alias("c_acctbal"),
         "c_mktsegment", F.col("n_name").alias("nation"))
     subj = customer_subjects(s, d)
     orders = si.table(s, d, "orders").select(
         F.col("o_custkey").cast("string").alias("dst_id"), "o_orderpriority", "o_orderstatus",
-        si._txt("o_totalprice").alias("o_totalprice"))
+        si.txt("o_totalprice").alias("o_totalprice"))
     return union_pairs([subject_pairs(subj, cust, ["c_acctbal", "c_mktsegment", "nation"], via="id", on="id"),
                         subject_pairs(subj, orders, ["o_orderpriority", "o_orderstatus", "o_totalprice"])])
 

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.flatten import fmt_double
+from ..operators.merge import left_join_suffixed
 from ..operators.survival import DIAGNOSIS_PHASE, EVENT_STATUS, valid_survival_rows
 
 EPOCH = "1990-01-01"
@@ -128,23 +130,22 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Table 1 cohorts
-def _txt(c):
-    from ..operators.flatten import fmt_double
+def txt(c: str):
+    """A numeric column as flattened text."""
     return fmt_double(F.col(c).cast("double"))
 
 
 def customer_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects = customers (text columns, as after flattening), left-joined to their
     orders, so order-level covariates fan out per subject."""
-    from ..operators.merge import left_join_suffixed
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     subj = c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
-        F.col("c_custkey").cast("string").alias("id"), _txt("c_acctbal").alias("c_acctbal"),
+        F.col("c_custkey").cast("string").alias("id"), txt("c_acctbal").alias("c_acctbal"),
         "c_mktsegment", F.col("n_name").alias("nation"))
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("dst_id"),
-        "o_orderpriority", "o_orderstatus", _txt("o_totalprice").alias("o_totalprice"))
+        "o_orderpriority", "o_orderstatus", txt("o_totalprice").alias("o_totalprice"))
     return left_join_suffixed(subj, o, "id", "dst_id", ("", "_orders"))
 
 
