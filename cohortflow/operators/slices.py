@@ -44,7 +44,8 @@ def _orderable(dt) -> bool:
 
 def top1_per_key(df: DataFrame, key: str | Sequence[str], order: str | None = None,
                  tiebreak: str | None = None) -> DataFrame:
-    """One row per ``key``: largest ``order`` (NULLs last), ties to the smallest ``tiebreak``.
+    """One row per ``key``: largest ``order`` (NULLs last), ties to the smallest ``tiebreak``,
+    remaining ties to the smallest whole row (in column order).
 
     ``order=None`` keeps the first row by ``tiebreak`` (the "first record" rule).
     A group whose ``order`` is NULL everywhere still yields one row.
@@ -60,9 +61,11 @@ def top1_per_key(df: DataFrame, key: str | Sequence[str], order: str | None = No
     rest = [c for c in df.columns if c not in keys]
     if tiebreak is not None and tiebreak not in keys:
         parts.append(_q(tiebreak).alias("t"))
-    else:
-        # no usable tiebreak: the smallest whole row wins, so the pick is still deterministic
-        parts.append(F.struct(*[_q(c) for c in rest if _orderable(df.schema[c].dataType)]).alias("t"))
+    # last resort: the smallest whole row (in column order) wins, so the pick is deterministic
+    # even when the tiebreak itself repeats
+    row_key = [_q(c) for c in rest if _orderable(df.schema[c].dataType)]
+    if row_key:
+        parts.append(F.struct(*row_key).alias("row"))
     packed = F.struct(*[_q(c) for c in rest]) if rest else F.lit(None)
     agg = df.groupBy(*[_q(k) for k in keys]).agg(F.min_by(packed, F.struct(*parts)).alias("_top"))
     return agg.select(*[_q(k) for k in keys], *[F.col(f"_top.`{c}`").alias(c) for c in rest]) \

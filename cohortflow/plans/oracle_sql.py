@@ -422,3 +422,27 @@ def table1_oracles(customer_covs, customer_kinds, label_covs, region_label, lang
         "contingency_nation_sparse": contingency_sql(cust_base, "nation"),
         "fisher_toxicity": contingency_sql(LABELS_COHORT, "toxicity", p="fisher"),
     }
+
+
+def slices_groups_oracles(customer_covs) -> dict[str, str]:
+    covs = [(c.column, "categorical", []) for c in customer_covs]
+    return {
+        "latest_order_per_customer": """SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS rn
+  FROM orders) WHERE rn = 1""",
+        "first_line_per_order": """SELECT l_orderkey, l_linenumber, l_quantity FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS rn
+  FROM lineitem) WHERE rn = 1""",
+        "group_counts_region_ids": f"""WITH {CUSTOMER_COHORT},
+{REGION_IDS}
+SELECT CASE WHEN id IN (SELECT id FROM ids) THEN 'G1' ELSE 'G2' END AS grp, count(*) AS n
+FROM (SELECT DISTINCT id FROM cohort) GROUP BY 1""",
+        "covariate_kinds_customers": f"""WITH {CUSTOMER_COHORT},
+{_pairs_ctes(covs, False)}
+SELECT covariate, CAST(count_if(value IS NOT NULL AND trim(value) <> '') AS BIGINT) AS n_nonblank,
+       CAST(count_if(value IS NOT NULL AND trim(value) <> '' AND x IS NOT NULL) AS BIGINT) AS n_numeric,
+       CASE WHEN count_if(value IS NOT NULL AND trim(value) <> '') = 0 THEN false
+            ELSE count_if(value IS NOT NULL AND trim(value) <> '' AND x IS NOT NULL)
+                 / count_if(value IS NOT NULL AND trim(value) <> '') >= 0.9 END AS is_numeric
+FROM pg GROUP BY covariate""",
+    }

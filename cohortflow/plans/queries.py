@@ -14,6 +14,8 @@ from ..operators import distribution as ds
 from ..operators import stats as st
 from ..operators import survival as sv
 from ..operators.flatten import flatten_entity, flatten_summary
+from ..operators.groups import group_counts
+from ..operators.slices import first_per_key, latest_per_key
 from ..operators.merge import column_types, dataset_shape, merge_entities, subject_pairs, union_pairs
 from ..operators.montecarlo import monte_carlo_p
 from ..operators.table1 import Covariate, table1
@@ -220,3 +222,23 @@ TABLE1 = {
 TABLE1["distribution_segment_from_pairs"] = lambda s, d: r9(ds.percentage_distribution(
     None, "c_mktsegment", pairs=entity_pairs(s, d, "c_mktsegment")))
 QUERIES.update(TABLE1)
+
+
+def _latest_order(s, d):
+    o = si.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    return latest_per_key(o, "o_custkey", "o_orderdate", "o_orderkey")
+
+
+def _first_line(s, d):
+    li = si.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return first_per_key(li, "l_orderkey", "l_linenumber")
+
+
+SLICES_GROUPS = {
+    "latest_order_per_customer": _latest_order,
+    "first_line_per_order": _first_line,
+    "group_counts_region_ids": lambda s, d: group_counts(si.customer_cohort(s, d), si.region_ids(s, d)),
+    "covariate_kinds_customers": lambda s, d: st.covariate_kinds(
+        st.value_counts_long(si.customer_cohort(s, d), [c.column for c in CUSTOMER_COVARIATES])),
+}
+QUERIES.update(SLICES_GROUPS)
