@@ -13,7 +13,8 @@ from conftest import SF_SMALL  # noqa: E402
 from oracle_check import TABLES, _rows  # noqa: E402
 
 QUERIES = E.queries()
-DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+              "TIMESTAMP": "timestamp_ntz"}
 ORACLES = E.oracle_sql()
 
 
