@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Fixed value: replicates per table.
 DEFAULT_REPLICATES = 5000
 ALMOST_ONE = 1 - 64 * 2.220446049250313e-16
@@ -109,12 +111,14 @@ def monte_carlo_p(ct: DataFrame, tests: DataFrame, replicates: int = DEFAULT_REP
     ``ct``: ``covariate, level, n1, n2``; ``tests``: ``covariate, test, stat, r, C1, C2``
     (one row per covariate, so broadcasting it is bounded by the covariate count).
     """
-    sel = tests.where(F.col("test") == "chisq_mc").select(
-        "covariate", "stat", "r", "C1", "C2", (F.col("C1") + F.col("C2")).alias("N"))
+    # both inputs are reused by several branches below: materialise them once (one row per
+    # covariate, and one row per level of the simulated covariates)
+    sel = materialize(tests.where(F.col("test") == "chisq_mc").select(
+        "covariate", "stat", "r", "C1", "C2", (F.col("C1") + F.col("C2")).alias("N")))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("r") / F.lit(float(levels_per_block)))).cast("int")
-    lv = (ct.join(F.broadcast(sel), "covariate")
-          .withColumn("block", F.pmod(F.xxhash64("level"), n_blocks.cast("long")).cast("int"))
-          .select("covariate", "block", "level", "n1", "n2", "C1", "C2", "N", "r"))
+    lv = materialize(ct.join(F.broadcast(sel), "covariate")
+                     .withColumn("block", F.pmod(F.xxhash64("level"), n_blocks.cast("long")).cast("int"))
+                     .select("covariate", "block", "level", "n1", "n2", "C1", "C2", "N", "r"))
     totals = lv.groupBy("covariate", "block").agg(F.sum(F.col("n1") + F.col("n2")).alias("t"))
     # one row per covariate with its block totals: at most r / levels_per_block entries
     per_cov = (totals.groupBy("covariate")

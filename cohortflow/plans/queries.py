@@ -20,6 +20,7 @@ from ..operators.merge import column_types, dataset_shape, merge_entities, subje
 from ..operators.montecarlo import monte_carlo_p
 from ..operators.table1 import Covariate, table1
 from ..sources.envelope import entity_types, optional_entities
+from ..session import materialize
 from . import standins as si
 
 RISK_BREAKS = [float(b) for b in range(0, 11)]
@@ -186,7 +187,7 @@ def _contingency(cohort, col, ids, p=None):
 
 
 def _monte_carlo(s, d, col):
-    ct = st.contingency(st.value_counts_long(si.customer_cohort(s, d), [col], si.region_ids(s, d)))
+    ct = materialize(st.contingency(st.value_counts_long(si.customer_cohort(s, d), [col], si.region_ids(s, d))))
     tests = st.contingency_tests(ct)
     return monte_carlo_p(ct, tests).select("covariate", F.round("p_mc", 9).alias("p_mc"))
 
