@@ -9,13 +9,14 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
+from cohortflow.plans.queries import QUERIES as LIBRARY_QUERIES  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
 from oracle_check import TABLES, _rows  # noqa: E402
 
-QUERIES = E.queries()
+QUERIES = dict(LIBRARY_QUERIES)
 DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
               "TIMESTAMP": "timestamp_ntz"}
-ORACLES = E.oracle_sql()
+ORACLES = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
