@@ -23,6 +23,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed public tokenizer files are, for callers that name no path of their own."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder all executors share; a fresh one only where none is configured."""
     return (ensure_checkpoint_dir(spark)

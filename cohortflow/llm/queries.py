@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortflow.llm.common import read_table
+from cohortflow.llm.common import read_table, tokenizer_file
 from cohortflow.llm.license_scan import license_report
+from cohortflow.llm.packing import pack_documents
 from cohortflow.llm.quality import quality_report
+from cohortflow.llm.simhash import near_duplicates
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +21,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_quality_rules)
+    f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_simhash, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
