@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortflow.llm.common import read_table, tokenizer_file
+from cohortflow.llm.language import identify_languages
 from cohortflow.llm.license_scan import license_report
 from cohortflow.llm.packing import pack_documents
 from cohortflow.llm.quality import quality_report
@@ -25,12 +26,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_simhash, op10_best_fit_packing)
+    f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_simhash, op9_language_id, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
