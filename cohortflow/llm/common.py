@@ -46,3 +46,26 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def running_spans(steps: Column) -> Column:
+    """Spans from steps (gap before, size) of consecutive pieces: array of (start, stop), from 0.
+
+    Spans are built 256 at a time, so that a text with very many pieces is not copied once per piece.
+    """
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+
+    def step(a, s):
+        start = a["at"] + s["gap"]
+        return F.struct((start + s["size"]).alias("at"), F.concat(a["out"], F.array(F.struct(
+            start.alias("start"), (start + s["size"]).alias("stop")))).alias("out"))
+
+    def chunk(a, c):
+        done = F.aggregate(F.slice(steps, c * 256 + 1, 256), zero(a["at"]), step)
+        return F.aggregate(F.array(done), a, lambda b, d: F.struct(
+            d["at"].alias("at"), F.concat(b["out"], F.array(d["out"])).alias("out")))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / 256).cast("int"))
+    nested = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,stop:int>>>")
+                                          .alias("out")), chunk, lambda a: F.flatten(a["out"]))
+    return F.when(F.size(steps) > 0, nested)

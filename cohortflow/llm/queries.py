@@ -10,6 +10,7 @@ from cohortflow.llm.common import read_table, tokenizer_file
 from cohortflow.llm.language import identify_languages
 from cohortflow.llm.license_scan import license_report
 from cohortflow.llm.packing import pack_documents
+from cohortflow.llm.pii import personal_data_report
 from cohortflow.llm.quality import quality_report
 from cohortflow.llm.simhash import near_duplicates
 
@@ -22,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
@@ -35,7 +40,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_simhash, op9_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_personal_data, op4_simhash, op9_language_id, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
