@@ -13,6 +13,7 @@ from cohortflow.llm.packing import pack_documents
 from cohortflow.llm.pii import personal_data_report
 from cohortflow.llm.quality import quality_report
 from cohortflow.llm.simhash import near_duplicates
+from cohortflow.llm.suffix_dedup import repeats_report
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_personal_data, op4_simhash, op9_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_personal_data, op4_simhash, op8_suffix_dedup, op9_language_id, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
