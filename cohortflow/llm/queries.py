@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortflow.llm.ann import nearest
 from cohortflow.llm.common import read_table, tokenizer_file
 from cohortflow.llm.language import identify_languages
 from cohortflow.llm.license_scan import license_report
@@ -32,6 +34,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_report(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_personal_data, op4_simhash, op8_suffix_dedup, op9_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_personal_data, op4_simhash, op6_nearest_neighbours, op8_suffix_dedup, op9_language_id, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
