@@ -14,8 +14,10 @@ from cohortflow.llm.license_scan import license_report
 from cohortflow.llm.packing import pack_documents
 from cohortflow.llm.pii import personal_data_report
 from cohortflow.llm.quality import quality_report
+from cohortflow.llm.sentencepiece_codec import codec_report
 from cohortflow.llm.simhash import near_duplicates
 from cohortflow.llm.suffix_dedup import repeats_report
+from cohortflow.llm.token_counts import count_tokens
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +36,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_report(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_report(read_table(spark, sf_dir, "documents"))
 
@@ -51,7 +61,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_personal_data, op4_simhash, op6_nearest_neighbours, op8_suffix_dedup, op9_language_id, op10_best_fit_packing)
+    f.__name__: f for f in (
+        op1_license_scan, op2_quality_rules, op3_personal_data, op4_simhash, op5_sentencepiece, op6_nearest_neighbours,
+        op7_token_counts, op8_suffix_dedup, op9_language_id, op10_best_fit_packing)
 }
 
+# None of the operators' whole results can be said in SQL; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {}

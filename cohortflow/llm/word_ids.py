@@ -1,89 +1,61 @@
 """Token ids of whole texts by a word-level BPE tokenizer file, one tokenizer call per new word.
 
 The tokenizer drops white space and never merges across it, so a text's ids are the ids of
-its white-space separated chunks, and a chunk that ends in a letter or digit followed by ASCII
-punctuation is the ids of both parts. Chunks are kept in a bounded table per Python
-worker; numpy gathers the ids of a batch from it.
+its white-space separated chunks, and a chunk that ends in a letter followed by ASCII
+punctuation is the ids of both parts.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
 
 import numpy as np
 
-MAX_WORDS = 1_000_000       # chunks kept by one worker; then the table starts anew
+from cohortflow.llm.chunks import ChunkTable
+
 TAIL = b".,!?;:*&%$#|"
 
 _tables: dict[str, "WordIds"] = {}
 
 
 def word_ids(path: str) -> "WordIds":
+    """The worker's table of a tokenizer file."""
     if path not in _tables:
         _tables[path] = WordIds(path)
     return _tables[path]
 
 
 class WordIds:
-    def __init__(self, path: str, end_id: int = 0, max_words: int = MAX_WORDS):
+    def __init__(self, path: str, end_id: int = 0, **limits):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.max_words = Tokenizer.from_file(path), end_id, max_words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[bytes, int] = {b"": 0}          # the empty chunk stands for the end of a text
-        self.starts, self.lengths, self.ids = array("q", [0]), array("q", [1]), array("I", [self.end_id])
-
-    def _add(self, key: bytes, ids: list[int]) -> None:
-        self.place[key] = len(self.starts)
-        self.starts.append(len(self.ids))
-        self.lengths.append(len(ids))
-        self.ids.extend(ids)
+        self.tokenizer = Tokenizer.from_file(path)
+        # the empty chunk stands for the end of a text
+        self.table = ChunkTable(self._learn, "I", {b"": [end_id]}, **limits)
 
-    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
-        batch = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [e.ids for e in batch]
+    def _ids(self, chunks: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks],
+                                                                add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.place) + len(words) > self.max_words:
-            self._clear()
-        split = {}
-        for w in words:
+    def _learn(self, chunks: list[bytes]) -> list[list[int]]:
+        parts = []
+        for w in chunks:
             core = w.rstrip(TAIL)
-            if len(core) < len(w) and core and core.decode("utf-8", "replace")[-1].isalpha():
-                split[w] = (core, w[len(core):])
-        parts = {p for pair in split.values() for p in pair} | (words - split.keys())
-        fresh = [p for p in parts if p not in self.place]
-        for at in range(0, len(fresh), 4096):
-            for p, ids in zip(fresh[at:at + 4096], self._encode(fresh[at:at + 4096])):
-                self._add(p, ids)
-        view = lambda p: self.ids[self.starts[self.place[p]]:self.starts[self.place[p]] + self.lengths[self.place[p]]]
-        for w, (core, tail) in split.items():
-            self._add(w, [*view(core), *view(tail)])
+            whole = len(core) == len(w) or not core or not core.decode("utf-8", "replace")[-1].isalpha()
+            parts.append((w, b"") if whole else (core, w[len(core):]))
+        fresh = list({p for pair in parts for p in pair if p and p not in self.table.place})
+        known = dict(zip(fresh, self._ids(fresh)))
+        get = lambda p: (known[p] if p in known else list(self.table.get(p))) if p else []
+        return [get(core) + get(tail) for core, tail in parts]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row (uint32, each followed by the end id) and the number of each text."""
-        words, counts = [], np.empty(len(texts), dtype=np.int64)
+        """Ids of all texts in a row (uint32, each text followed by the end id) and the number of each text."""
+        chunks, counts = [], np.empty(len(texts), dtype=np.int64)
         for k, t in enumerate(texts):
             # lower case here saves chunks; marks and special tokens need the text as it is
             own = (t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split()
             counts[k] = len(own) + 1
-            words += own
-            words.append(b"")
-        missing = set(words) - self.place.keys()
-        if missing:
-            self._learn(missing)
-            missing = set(words) - self.place.keys()     # the table was cleared under them
-            if missing:
-                self._learn(missing)
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
-        lengths = np.frombuffer(self.lengths, dtype=np.int64)[at]
-        starts = np.frombuffer(self.starts, dtype=np.int64)[at]
-        ends = np.cumsum(lengths)
-        source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
-        ids = np.frombuffer(self.ids, dtype=np.uint32)[source]
-        last = np.cumsum(counts) - 1
-        return ids, np.diff(ends[last], prepend=0) if len(last) else np.empty(0, np.int64)
+            chunks += own
+            chunks.append(b"")
+        return self.table.gather_texts(chunks, counts)
