@@ -44,7 +44,8 @@ class Counter:
         crossing = any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         exact = all(float(s).is_integer() for s in model.scores)
         # without byte fallback a run of unknown characters may go on behind a line end
-        self.split = (re.compile(rb" *[^ ]+| +").findall if not crossing and exact else lambda t: [t] if t else [])
+        words = re.compile(rb" *[^ \n]+| +|\n" if self.bytes else rb" *[^ ]+| +")
+        self.split = words.findall if not crossing and exact else lambda t: [t] if t else []
         self.table = ChunkTable(lambda chunks: [self.best(c.decode("utf-8", "replace").replace(" ", MARK)) for c in chunks],
                                 "d", **limits)
 
@@ -52,21 +53,36 @@ class Counter:
         """Number of pieces and score of the best path."""
         n = len(text)
         score, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        single = [False] * n
-        for last, (size, s) in self.automaton.iter(text):
-            ends[last + 1].append((last + 1 - size, s))
+        top, pieces, single, at = None, 0, False, 1     # best piece that ends at ``at``, so far
+
+        def unknown_before(e: int) -> None:
+            """Settle position e where no one-character piece ends: the character may be unknown."""
+            last = score[e - 1] + self.unknown
+            if top is None or last > top:
+                size = len(text[e - 1].encode("utf-8", "replace")) if self.bytes else not unknown[e - 1]
+                score[e], count[e], unknown[e] = last, count[e - 1] + size, True
+            else:
+                score[e], count[e] = top, pieces
+
+        for last, (size, s) in self.automaton.iter(text):       # by end, then longest first
+            while at <= last:
+                if single:
+                    score[at], count[at] = top, pieces
+                else:
+                    unknown_before(at)
+                at, top, single = at + 1, None, False
+            start = last + 1 - size
+            gain = score[start] + s
+            if top is None or gain > top:
+                top, pieces = gain, count[start] + 1
             if size == 1:
-                single[last] = True
-        for e in range(1, n + 1):
-            found, top, pieces, was = False, 0.0, 0, False
-            for start, s in sorted(ends[e]):
-                if not found or score[start] + s > top:
-                    found, top, pieces = True, score[start] + s, count[start] + 1
-            if not single[e - 1] and (not found or score[e - 1] + self.unknown > top):
-                top, was = score[e - 1] + self.unknown, True
-                pieces = count[e - 1] + (len(text[e - 1].encode("utf-8", "replace")) if self.bytes else not unknown[e - 1])
-            score[e], count[e], unknown[e] = top, pieces, was
+                single = True
+        while at <= n:
+            if single:
+                score[at], count[at] = top, pieces
+            else:
+                unknown_before(at)
+            at, top, single = at + 1, None, False
         return float(count[n]), score[n]
 
     def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
