@@ -91,7 +91,6 @@ def base_failed() -> Column:
 def default_rules() -> tuple[QualityRule, ...]:
     """Rejection rules over ``text_counts`` columns; thresholds leave ordinary prose alone."""
     n, text = F.col("n_words"), F.col("text")
-    mean = F.col("word_chars") / n
     capitals = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
     letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
     digits = F.length(F.regexp_replace(text, r"[^0-9]+", ""))
@@ -102,7 +101,7 @@ def default_rules() -> tuple[QualityRule, ...]:
     braces = F.length(text) - F.length(F.regexp_replace(text, r"[{}]+", ""))
     bangs = F.length(text) - F.length(F.regexp_replace(text, "!+", ""))
     return (
-        QualityRule("mean_word_length", (mean < 1.5) | (mean > 25)),
+        QualityRule("mean_word_length", (F.col("word_chars") < 1.5 * n) | (F.col("word_chars") > 25 * n)),
         QualityRule("symbols", F.col("n_symbols") > 0.4 * n),
         QualityRule("duplicate_lines", F.col("n_dup_lines") > 0.3 * lines),
         QualityRule("capitals", capitals > 0.7 * letters),
