@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,9 +44,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     above, and rows numbered or hashed once keep their numbers on every later read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema, path = df.schema, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()        # executors drop a plan's shuffle files once the driver has collected it
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def running_spans(steps: Column) -> Column:

@@ -13,10 +13,10 @@ phrases (``kappa``); equal phrase texts are one dictionary entry with a count. W
 equal if their phrases agree in kappa. So the corpus falls into
   - phrases whose kappa occurs once: no window of theirs repeats;
   - dictionary entries that occur twice or more: all their windows repeat;
-  - single entries under a kappa that others share ("open"): these, with one occurrence of each
-    repeated entry beside them, are cut into pieces of 16 windows. A piece's core (the bytes that all
-    its windows share) is compared first; where cores repeat, the
-    bytes around them decide each window.
+  - single entries under a kappa that others share: their windows are compared with those of the kappa's
+    other entries (one occurrence of each). The entries of a kappa meet in one task, sorted by kappa, unless
+    they are many: then they are cut into pieces of 16 windows, a piece's core (the bytes that all its
+    windows share) is counted first, and where unequal pieces share a core the bytes around it decide each window.
 Only equality of ``length`` bytes matters here, so classes of equal strings stand in for the order that
 suffix arrays of dictionary and parse would give; no global sort of suffixes is needed.
 
@@ -32,7 +32,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,6 +42,7 @@ from cohortflow.llm.common import settle
 
 GRAM = 16
 PIECE = 16
+CROWD = 256                 # dictionary entries of one kappa from which they are compared in pieces
 MAX_BITS = 28               # bit sets hold at most 2**28 bits (32 MB)
 BATCH_BYTES = 4 << 20
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -105,23 +105,26 @@ def _kappa(raw, triggers, width: int) -> np.ndarray:
     return np.fromiter((digest(view[a:a + width]) for a in triggers.tolist()), np.uint64, len(triggers))
 
 
-def _in_bits(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+def _in_bits(bits: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
+    slot = (hashes >> np.uint64(64 - width)).astype(np.int64)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def _place_slots(key: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+def _places(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One mixed 64-bit number of a phrase's text and place."""
     x = (key.view(np.uint64) ^ (at.view(np.uint64) * _C1)) * _C2
-    return ((x ^ (x >> np.uint64(31))) * _C3 >> np.uint64(64 - width)).astype(np.int64)
+    return (x ^ (x >> np.uint64(31))) * _C3
 
 
-def _bit_set(slots: DataFrame, width: int):
-    """Bit set of the long column ``slot`` (below 2**width), built by Spark in pages of 32,768 bits."""
+def _bit_set(hashes: DataFrame, width: int):
+    """Bit set of the leading ``width`` bits of a long column, built by Spark in pages of 32,768 bits."""
+    slots = hashes.select(F.shiftrightunsigned(hashes.columns[0], 64 - width).alias("slot"))
     pages = slots.groupBy(F.shiftright("slot", 15).alias("page")).agg(
         F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits")).collect()
     bits = np.zeros(max(1 << width, 32768) >> 3, dtype=np.uint8)
     for p in pages:
         bits[p["page"] << 12:(p["page"] + 1) << 12] = np.frombuffer(p["bits"], dtype=np.uint8)
-    return slots.sparkSession.sparkContext.broadcast(bits)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
 
 
 def _width(n: int) -> int:
@@ -159,7 +162,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, text_col: str = "text") ->
     shared = settle(texts.select("bytes").mapInArrow(kappas, _schema("kappa")).groupBy("kappa")
                     .agg(F.count("*").alias("n")).where("n > 1").select("kappa"), "kappas")
     bits = _width(shared.count())
-    seen = _bit_set(shared.select(F.shiftrightunsigned("kappa", 64 - bits).alias("slot")), bits)
+    seen = _bit_set(shared, bits)
 
     def candidates(batches):
         for batch in batches:
@@ -167,71 +170,169 @@ def repeated_runs(docs: DataFrame, length: int = 200, text_col: str = "text") ->
             for rows, part in _parts(batch, 2):
                 raw, text, trigger, first, last, offsets = _phrases(part, length)
                 kappa = _kappa(raw, trigger, width_kappa)
-                hit = np.nonzero(_in_bits(seen.value, (kappa >> np.uint64(64 - bits)).astype(np.int64)))[0]
+                hit = np.nonzero(_in_bits(seen.value, kappa, bits))[0]
                 text, trigger, first, last = text[hit], trigger[hit], first[hit], last[hit]
                 view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
                 entry = np.fromiter((digest(view[s:e + length], a - s) for a, s, e in
                                      zip(trigger.tolist(), first.tolist(), last.tolist())), np.uint64, len(hit))
-                row = rows[text]
+                key, at = keys[rows[text]], _packed(first - offsets[text], last - first, tags[rows[text]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (kappa[hit].view(np.int64), entry.view(np.int64), keys[row],
-                                           _packed(first - offsets[text], last - first, tags[row]))],
-                    names=["kappa", "entry", "key", "at"])
+                    [pa.array(x.view(np.int64)) for x in (kappa[hit], entry, _places(key, at), key, at)],
+                    names=["kappa", "entry", "place", "key", "at"])
 
-    parse = settle(texts.mapInArrow(candidates, _schema("kappa", "entry", "key", "at")), "parse")
-    dictionary = settle(parse.groupBy("kappa", "entry", "key", "at").agg(F.count("*").alias("n"))
-                        .groupBy("kappa", "entry").agg(F.sum("n").alias("n"), F.min(F.struct("key", "at")).alias("rep")),
+    parse = settle(texts.mapInArrow(candidates, _schema("kappa", "entry", "place", "key", "at")), "parse")
+    dictionary = settle(parse.groupBy("kappa", "entry").agg(F.count("*").alias("n"), F.min("place").alias("place")),
                         "dictionary")
-    repeated = (parse.join(dictionary.where("n > 1").select("kappa", "entry"), ["kappa", "entry"])
-                .select("key", "at").distinct())
-    mixed = dictionary.groupBy("kappa").agg(F.count("*").alias("entries")).where("entries > 1").select("kappa")
-    sources = settle(dictionary.join(mixed, "kappa").select("rep.key", "rep.at"), "sources")
-    slot_bits = _width(sources.count())
-
-    @F.pandas_udf("long")
-    def place_slot(key: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series(_place_slots(key.to_numpy(), at.to_numpy(), slot_bits))
-
-    wanted = _bit_set(sources.select(place_slot("key", "at").alias("slot")), slot_bits)
-    names = ("core1", "core2", "left", "right", "key", "tag", "base", "low", "high")
-
-    def pieces(batches):
+    repeated = parse.join(dictionary.where("n > 1").select("kappa", "entry"), ["kappa", "entry"]).select("key", "at")
+    mixed = dictionary.groupBy("kappa").agg(F.count("*").alias("entries")).where("entries > 1")
+    sources = settle(dictionary.join(mixed, "kappa").select("kappa", "place", "entries"), "sources")
+    crowded = sources.where(F.col("entries") > CROWD).select("kappa").distinct()
+    n_sources, n_crowded = sources.count(), crowded.count()
+    if not n_sources:
+        return repeated
+    place_bits, crowd_bits = _width(n_sources), _width(n_crowded)
+    wanted = _bit_set(sources.select("place"), place_bits)
+    crowds = _bit_set(crowded, crowd_bits)
+
+    def sources_of(batches, in_crowd: bool):
+        """Phrases of the sources, one of each per task: buffer, then row, trigger, first, last, offset, kappa arrays."""
+        told: set[int] = set()
         for batch in batches:
             keys, tags = (batch.column(i).to_numpy() for i in (0, 1))
             for rows, part in _parts(batch, 2):
                 raw, text, trigger, first, last, offsets = _phrases(part, length)
-                row = rows[text]
-                at = _packed(first - offsets[text], last - first, tags[row])
-                hit = np.nonzero(_in_bits(wanted.value, _place_slots(keys[row], at, slot_bits)))[0]
-                out: list[list] = [[] for _ in names]
-                for k, a, s, e, o in zip(row[hit].tolist(), trigger[hit].tolist(), first[hit].tolist(), last[hit].tolist(),
-                                         offsets[text[hit]].tolist()):
-                    for t in range((a - e) // PIECE, (a - s) // PIECE + 1):
-                        p = a - PIECE * t                     # last window start of the whole piece
-                        core = xxhash.xxh3_128_intdigest(raw[p:p + length - PIECE + 1])
-                        values = (core >> 64, core & (2 ** 64 - 1), raw[max(p - PIECE + 1, 0):p].rjust(PIECE - 1, b"\0"),
-                                  raw[p + length - PIECE + 1:p + length], keys[k], tags[k], p - o,
-                                  p - min(e, p), p - max(s, p - PIECE + 1))
-                        for column, v in zip(out, values):
-                            column.append(v)
-                longs = [pa.array(np.array(c, dtype=np.uint64 if i < 2 else np.int64).view(np.int64)) if i not in (2, 3)
-                         else pa.array(c, pa.binary()) for i, c in enumerate(out)]
-                yield pa.RecordBatch.from_arrays(longs, names=list(names))
+                at = _packed(first - offsets[text], last - first, tags[rows[text]])
+                place = _places(keys[rows[text]], at)
+                hit = np.nonzero(_in_bits(wanted.value, place, place_bits))[0]
+                kappa = _kappa(raw, trigger[hit], width_kappa)
+                hit, kappa = (x[_in_bits(crowds.value, kappa, crowd_bits) == in_crowd] for x in (hit, kappa))
+                new = [i for i, p in enumerate(place[hit].tolist()) if p not in told and not told.add(p)]
+                hit, kappa = hit[new], kappa[new]
+                t = text[hit]
+                yield raw, kappa, trigger[hit], first[hit], last[hit], offsets[t], keys[rows[t]], tags[rows[t]]
+
+    def phrase_texts(batches):
+        for raw, kappa, _, first, last, offset, key, tag in sources_of(batches, False):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kappa.view(np.int64)), pa.array([raw[s:e + length] for s, e in zip(first.tolist(), last.tolist())], pa.binary()),
+                 pa.array(key), pa.array(_packed(first - offset, last - first, tag))], names=["kappa", "text", "key", "at"])
+
+    local = (texts.mapInArrow(phrase_texts, T.StructType([*_schema("kappa"), T.StructField("text", T.BinaryType()),
+                                                          *_schema("key", "at")]))
+             .repartition("kappa").sortWithinPartitions("kappa")
+             .mapInArrow(lambda batches: _twice_in_groups(batches, length), _schema("key", "at")))
+    if not n_crowded:
+        return repeated.unionAll(local)
+
+    names = ("core1", "core2", "left", "right", "key", "tag", "base", "low", "high")
+
+    def pieces(batches):
+        for raw, _, trigger, first, last, offset, key, tag in sources_of(batches, True):
+            out: list[list] = [[] for _ in names]
+            for a, s, e, o, *own in zip(*(x.tolist() for x in (trigger, first, last, offset, key, tag))):
+                for t in range((a - e) // PIECE, (a - s) // PIECE + 1):
+                    p = a - PIECE * t                     # last window start of the whole piece
+                    core = xxhash.xxh3_128_intdigest(raw[p:p + length - PIECE + 1])
+                    values = (core >> 64, core & (2 ** 64 - 1), raw[max(p - PIECE + 1, 0):p].rjust(PIECE - 1, b"\0"),
+                              raw[p + length - PIECE + 1:p + length], *own, p - o, p - min(e, p), p - max(s, p - PIECE + 1))
+                    for column, v in zip(out, values):
+                        column.append(v)
+            longs = [pa.array(np.array(c, dtype=np.uint64 if i < 2 else np.int64).view(np.int64)) if i not in (2, 3)
+                     else pa.array(c, pa.binary()) for i, c in enumerate(out)]
+            yield pa.RecordBatch.from_arrays(longs, names=list(names))
 
     cut = settle(texts.mapInArrow(pieces, _schema(*names)), "pieces")
     cores = cut.groupBy("core1", "core2").agg(F.count("*").alias("n")).where("n > 1").select("core1", "core2")
+    # pieces equal with all that surrounds them repeat as a whole; the windows of one of them meet the others'
+    whole = ["core1", "core2", "left", "right", "low", "high"]
+    ranked = settle(cut.join(cores, ["core1", "core2"])
+                    .withColumn("mix", F.xxhash64("key", "tag", "base")), "shared")
+    kinds = settle(ranked.groupBy(*whole).agg(F.count("*").alias("n"), F.min("mix").alias("first")), "kinds")
+    equal = ranked.join(kinds.where("n > 1").select(*whole), whole).select(
+        "key", F.shiftleft(F.col("base") - F.col("high"), 24).bitwiseOR(F.shiftleft(F.col("high") - F.col("low"), 16))
+        .bitwiseOR(F.col("tag")).alias("at"))
+    others = kinds.groupBy("core1", "core2").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core1", "core2")
     back = F.explode(F.sequence(F.col("low").cast("int"), F.col("high").cast("int"))).alias("back")
-    around = lambda c, at, n: F.substring(c, at, n)
-    windows = (cut.join(cores, ["core1", "core2"]).select("*", back)
-               .select("core1", "core2", "back", around(F.col("left"), F.lit(PIECE) - F.col("back"), F.col("back")).alias("left"),
-                       around(F.col("right"), F.lit(1), F.lit(PIECE - 1) - F.col("back")).alias("right"),
-                       "key", "tag", (F.col("base") - F.col("back")).alias("start")))
-    windows = settle(windows, "windows")
     same = ["core1", "core2", "back", "left", "right"]
-    twice = windows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same)
-    single = windows.join(twice, same).select(
-        "key", F.shiftleft("start", 24).bitwiseOR(F.col("tag")).alias("at")).distinct()
-    return repeated.unionAll(single)
+
+    def windows(rows: DataFrame, *columns) -> DataFrame:
+        return rows.join(others, ["core1", "core2"]).select("*", back).select(
+            "core1", "core2", "back", F.substring("left", F.lit(PIECE) - F.col("back"), F.col("back")).alias("left"),
+            F.substring("right", F.lit(1), F.lit(PIECE - 1) - F.col("back")).alias("right"), *columns)
+
+    twice = windows(kinds).groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same)
+    lone = ranked.join(kinds.where("n = 1").select(*whole), whole)
+    single = windows(lone, "key", "tag", (F.col("base") - F.col("back")).alias("start")).join(twice, same).select(
+        "key", F.shiftleft("start", 24).bitwiseOR(F.col("tag")).alias("at"))
+    return repeated.unionAll(local).unionAll(equal).unionAll(single)
+
+
+def _window_hashes(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two polynomial hashes (modulo 2**64) of every window, from prefix sums."""
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+            inverse = pow(base, -1, 1 << 64)
+            n = len(raw)
+            up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, inverse, np.uint64)
+            up[0] = down[0] = 1
+            up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            letters = (raw.astype(np.uint64) + np.uint64(1)) * _C2
+            letters ^= letters >> np.uint64(29)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * down[:n])])
+            out.append((sums[length:] - sums[:-length]) * up[:n + 1 - length])
+    return out[0], out[1]
+
+
+def _twice_in_groups(batches, length: int):
+    """Runs of windows that occur twice among the phrase texts of one kappa; rows come sorted by kappa."""
+    kept = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+        kappa = table.column(0).to_numpy()
+        whole = int(np.searchsorted(-(kappa == kappa[-1]).astype(int), -1)) if len(kappa) else 0
+        kept = table.slice(whole)           # the last kappa may go on in the next batch
+        if whole:
+            yield _runs_twice(table.slice(0, whole), length)
+    if kept is not None and kept.num_rows:
+        yield _runs_twice(kept, length)
+
+
+def _runs_twice(table: pa.Table, length: int) -> pa.RecordBatch:
+    keys, ats, out = table.column(2).to_numpy(), table.column(3).to_numpy(), ([], [])
+    texts = table.column(1).to_pylist()
+    kappa = table.column(0).to_numpy()
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ends, cuts = np.cumsum(sizes), [0]
+    for i in np.nonzero(kappa[1:] != kappa[:-1])[0] + 1:        # parts of whole kappas, of some megabytes
+        if ends[i - 1] - (ends[cuts[-1] - 1] if cuts[-1] else 0) >= BATCH_BYTES:
+            cuts.append(int(i))
+    cuts.append(len(texts))
+    for a, b in zip(cuts, cuts[1:]):
+        raw = np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8)
+        h1, h2 = _window_hashes(raw, length)
+        stops = np.cumsum(sizes[a:b])
+        counts = sizes[a:b] - length + 1
+        row = np.repeat(np.arange(a, b), counts)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = place + np.repeat(stops - sizes[a:b], counts)
+        one, two = h1[start], h2[start]
+        order = np.lexsort((two, one))
+        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        twice = np.zeros(len(row), dtype=bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        hit = np.nonzero(twice)[0]
+        if len(hit):
+            new = np.ones(len(hit), dtype=bool)
+            new[1:] = (row[hit][1:] != row[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)
+            first = np.nonzero(new)[0]
+            size = np.diff(np.append(first, len(hit)))
+            r, p = row[hit[first]], place[hit[first]]
+            out[0].append(keys[r])
+            out[1].append(_packed((ats[r] >> 24) + p, size - 1, ats[r] & 0xFFFF))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out],
+                                      names=["key", "at"])
 
 
 def _covered(n: int, runs: list[int], length: int) -> np.ndarray:
@@ -252,7 +353,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_cols: tuple[str, ...]
     that occurs twice repeats as a whole (from ``length`` bytes on). Repeated rows repeat.
     """
     runs = (repeated_runs(docs, length, text_col).withColumn("tag", F.col("at").bitwiseAND(F.lit(0xFFFF)))
-            .groupBy("key", "tag").agg(F.collect_list("at").alias("runs")))
+            .groupBy("key", "tag").agg(F.collect_set("at").alias("runs")))
     texts = _keyed(docs, text_col, *id_cols)
     joined = texts.join(runs, ["key", "tag"], "left").select(*id_cols, "bytes", "runs")
     schema = T.StructType([*(docs.schema[c] for c in id_cols),
