@@ -31,20 +31,39 @@ def _nan(x) -> bool:
     return x is None or (isinstance(x, float) and math.isnan(x))
 
 
-def norm_cdf(z: float) -> float:
-    return 0.5 * math.erfc(-z / math.sqrt(2.0))
+def norm_two_sided(z: float) -> float:
+    """P(|Z| >= |z|), without loss in the far tail."""
+    return math.erfc(abs(z) / math.sqrt(2.0))
 
 
 # ------------------------------------------------------------- incomplete gamma / beta
+MAX_STEPS = 200_000          # the fractions need about the square root of their largest argument
+LARGE_SHAPE = 1e5            # from here on the uniform expansion below is exact to 1e-9
+
+
+def _gamma_large(a: float, x: float) -> float:
+    """Q(a, x) for large a: Temme's uniform expansion, first two terms."""
+    mu = x / a - 1.0
+    if abs(mu) < 1e-3:       # mu - log(1 + mu) without cancellation
+        half = mu * mu * (0.5 - mu * (1 / 3 - mu * (0.25 - mu * (0.2 - mu / 6))))
+    else:
+        half = mu - math.log1p(mu)
+    eta = math.copysign(math.sqrt(2.0 * half), mu)
+    first = -1 / 3 + eta / 12 - 2 * eta * eta / 135 + eta ** 3 / 864 if abs(eta) < 0.05 else 1.0 / mu - 1.0 / eta
+    return 0.5 * math.erfc(eta * math.sqrt(a / 2.0)) + math.exp(-a * half) / math.sqrt(2.0 * math.pi * a) * first
+
+
 def _gamma_series(a: float, x: float) -> float:
     s = term = 1.0 / a
     ap = a
-    for _ in range(10000):
+    for _ in range(MAX_STEPS):
         ap += 1.0
         term *= x / ap
         s += term
         if abs(term) < abs(s) * 1e-16:
             break
+    else:
+        raise ArithmeticError("incomplete gamma series did not converge")
     return s * math.exp(-x + a * math.log(x) - math.lgamma(a))
 
 
@@ -54,7 +73,7 @@ def _gamma_cf(a: float, x: float) -> float:
     c = 1.0 / tiny
     d = 1.0 / b
     h = d
-    for i in range(1, 10000):
+    for i in range(1, MAX_STEPS):
         an = -i * (i - a)
         b += 2.0
         d = an * d + b
@@ -64,8 +83,10 @@ def _gamma_cf(a: float, x: float) -> float:
         d = 1.0 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1.0) < 1e-16:
+        if abs(delta - 1.0) < 4e-16:
             break
+    else:
+        raise ArithmeticError("incomplete gamma fraction did not converge")
     return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
 
 
@@ -73,6 +94,8 @@ def gamma_q(a: float, x: float) -> float:
     """Regularized upper incomplete gamma Q(a, x)."""
     if x <= 0:
         return 1.0
+    if a > LARGE_SHAPE:
+        return _gamma_large(a, x)
     if x < a + 1.0:
         return 1.0 - _gamma_series(a, x)
     return _gamma_cf(a, x)
@@ -92,7 +115,7 @@ def _beta_cf(a: float, b: float, x: float) -> float:
     d = tiny if abs(d) < tiny else d
     d = 1.0 / d
     h = d
-    for m in range(1, 10000):
+    for m in range(1, MAX_STEPS):
         m2 = 2 * m
         aa = m * (b - m) * x / ((qam + m2) * (a + m2))
         d = 1.0 + aa * d
@@ -109,8 +132,10 @@ def _beta_cf(a: float, b: float, x: float) -> float:
         d = 1.0 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1.0) < 1e-16:
+        if abs(delta - 1.0) < 4e-16:
             break
+    else:
+        raise ArithmeticError("incomplete beta fraction did not converge")
     return h
 
 
@@ -131,6 +156,8 @@ def t_two_sided(t: float, df: float) -> float:
         return float("nan")
     if math.isinf(t):
         return 0.0
+    if df > 1e9:             # normal up to a relative error of the order t^4 / df
+        return norm_two_sided(t)
     return betainc(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -175,40 +202,53 @@ def ranksum_p(n1: int, n2: int, r1: float, tie_sum: float, has_ties: bool) -> fl
     if sigma == 0:
         return float("nan")
     z = (z - corr) / sigma
-    return 2.0 * min(norm_cdf(z), 1.0 - norm_cdf(z))
+    return norm_two_sided(z)
 
 
 def welch_p(n1, m1, v1, n2, m2, v2) -> float:
     if any(_nan(x) for x in (n1, m1, v1, n2, m2, v2)) or n1 < 2 or n2 < 2:
         return float("nan")
     se2 = v1 / n1 + v2 / n2
-    stderr = math.sqrt(se2)
-    if stderr < 10 * EPS * max(abs(m1), abs(m2)):
-        return float("nan")  # data are essentially constant
-    if stderr == 0:
+    scale = max(abs(m1), abs(m2))
+    if se2 <= (10 * EPS * scale) ** 2:      # no spread beyond rounding: t is undefined
         return float("nan")
-    t = (m1 - m2) / stderr
+    t = (m1 - m2) / math.sqrt(se2)
     df = se2 ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1))
     return t_two_sided(t, df)
 
 
+def _log_weights(start: int, stop: int, m: int, n: int, k: int) -> np.ndarray:
+    """Log weights of tables start, start +- 1, ... stop, relative to ``start``, until they underflow."""
+    step = 1 if stop >= start else -1
+    parts, x, last = [np.zeros(1)], start, 0.0
+    while x != stop and last > -745.0:
+        size = min(abs(stop - x), 1 << 16)
+        at = x + step * np.arange(size, dtype=np.float64)
+        up = (m - at) * (k - at), (at + 1) * (n - k + at + 1)               # weight(at + 1) / weight(at)
+        down = at * (n - k + at), (m - at + 1) * (k - at + 1)               # weight(at - 1) / weight(at)
+        top, bottom = up if step > 0 else down
+        logs = last + np.cumsum(np.log(top) - np.log(bottom))
+        parts.append(logs)
+        x, last = x + step * size, float(logs[-1])
+    return np.concatenate(parts)
+
+
 def fisher_2x2_p(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided Fisher exact p for [[a, b], [c, d]]."""
+    """Two-sided Fisher exact p for [[a, b], [c, d]]: tables no likelier than the observed one.
+
+    Weights follow from one another by a ratio, outward from the likeliest table, and stop where they
+    underflow: the work grows with the spread of the distribution, not with the margins.
+    """
     a, b, c, d = int(a), int(b), int(c), int(d)
-    m, n, k = a + c, b + d, a + b  # column 1 total, column 2 total, row 1 total
+    m, n, k = a + c, b + d, a + b                     # column totals, first row total
     lo, hi = max(0, k - n), min(k, m)
-
-    def logp(x):
-        return (math.lgamma(m + 1) - math.lgamma(x + 1) - math.lgamma(m - x + 1)
-                + math.lgamma(n + 1) - math.lgamma(k - x + 1) - math.lgamma(n - k + x + 1)
-                - math.lgamma(m + n + 1) + math.lgamma(k + 1) + math.lgamma(m + n - k + 1))
-
-    xs = np.arange(lo, hi + 1)
-    lp = np.array([logp(int(x)) for x in xs])
-    dens = np.exp(lp - lp.max())
-    dens /= dens.sum()
-    obs = dens[a - lo]
-    return float(min(1.0, dens[dens <= obs * (1 + 1e-7)].sum()))
+    mode = min(max((k + 1) * (m + 1) // (m + n + 2), lo), hi)
+    right, left = _log_weights(mode, hi, m, n, k), _log_weights(mode, lo, m, n, k)
+    side, at = (right, a - mode) if a >= mode else (left, mode - a)
+    if at >= len(side):
+        return 0.0
+    weights = np.exp(np.concatenate([left[:0:-1], right]))
+    return float(min(1.0, weights[weights <= math.exp(side[at]) * (1 + 1e-7)].sum() / weights.sum()))
 
 
 def chisq_statistic(table: np.ndarray) -> float:

@@ -8,16 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TRIM_CHARS
-from ..session import fits
 
 G1, G2, ALL = "G1", "G2", "ALL"
 # Report labels.
 OTHERS_LABEL = "Everything else"
 SINGLE_LABEL = "Everything"
 DEFAULT_G1_LABEL = "Group 1"
-# IDs lists up to this many rows are broadcast to every task; longer lists are
-# shuffle-joined on the subject id.
-BROADCAST_MAX_IDS = 2_000_000
 
 
 @dataclass
@@ -40,14 +36,11 @@ def clean_ids(ids: DataFrame) -> DataFrame:
 def mark_groups(df: DataFrame, ids: DataFrame | None, id_col: str = "id") -> DataFrame:
     """Add ``grp``: G1 for subjects in ``ids``, G2 for the rest (NULL ids included).
 
-    The ID list is broadcast only behind a row-count check; a long list takes the
-    shuffle (sort-merge) path instead.
+    The join's strategy is left to the optimiser, which knows the list's measured size.
     """
     if ids is None:
         return df.withColumn("grp", F.lit(ALL))
     marker = clean_ids(ids).select(F.col("id").alias("_gid"), F.lit(True).alias("_in"))
-    if fits(marker, BROADCAST_MAX_IDS):
-        marker = F.broadcast(marker)
     key = F.col(f"`{id_col}`").cast("string")
     j = df.join(marker, key == F.col("_gid"), "left")
     return j.select(*[F.col(f"`{c}`") for c in df.columns],

@@ -7,18 +7,12 @@ binomial split.
 
     p = (1 + #{replicates with X2* >= X2_obs * (1 - 64 eps)}) / (B + 1)
 
-Distributed without gathering a table's levels anywhere:
-
-1. levels are hashed into blocks of about ``LEVELS_PER_BLOCK`` levels;
-2. per replicate, the group-1 total is split over the blocks (a multivariate
-   hypergeometric draw over the block totals; one small row per block);
-3. each block, in its own task (``cogroup`` of the block's levels with its
-   allocations), draws its levels level by level, vectorised over replicates,
-   and emits one partial statistic per replicate;
-4. partial statistics are summed per replicate and compared with the observed one.
-
-Random streams are seeded from (seed, covariate, block / replicate chunk), so the
-result does not depend on partitioning or executor count.
+Levels with one row total are exchangeable, so a table is its classes (row total, number of
+levels): at most sqrt(2 N) of them, however many levels there are. Replicates are cut into a
+fixed number of chunks, one small row each; a chunk simulates the classes in order of their
+row total, vectorised over its replicates. All levels of row total one (an ID-like
+covariate) are a single draw. Streams are seeded by (seed, covariate, chunk), so the p-value
+does not depend on partitions, executors or the number of levels.
 """
 
 from __future__ import annotations
@@ -35,103 +29,87 @@ from ..session import materialize
 # Fixed value: replicates per table.
 DEFAULT_REPLICATES = 5000
 ALMOST_ONE = 1 - 64 * 2.220446049250313e-16
-LEVELS_PER_BLOCK = 20_000
-ALLOC_CHUNKS = 16
+CHUNKS = 64
+# numpy's exact sampler takes arguments below this
+SAMPLER_LIMIT = 10 ** 9
 
 
-def _rng(seed: int, covariate: str, *parts: int) -> np.random.Generator:
+def _rng(seed: int, covariate: str, chunk: int) -> np.random.Generator:
     key = zlib.crc32(str(covariate).encode("utf-8"))
-    return np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, key, *parts])))
+    return np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, key, chunk])))
 
 
-def _allocate(it, seed: int, replicates: int):
-    """Rows (covariate, chunk, blocks, block_totals, C1, N, r) -> (covariate, block, rep, y)."""
-    for pdf in it:
-        out = []
-        for _, r in pdf.iterrows():
-            chunk = int(r["chunk"])
-            lo = replicates * chunk // ALLOC_CHUNKS
-            hi = replicates * (chunk + 1) // ALLOC_CHUNKS
-            k = hi - lo
-            if k <= 0:
-                continue
-            rng = _rng(seed, r["covariate"], 0, chunk)
-            blocks = np.asarray(r["blocks"], dtype=np.int64)
-            totals = np.asarray(r["block_totals"], dtype=np.int64)
-            if int(r["r"]) == 1:   # goodness of fit: fair split of all N observations
-                y = rng.binomial(int(r["N"]), 0.5, size=(k, 1))
-            else:
-                y = rng.multivariate_hypergeometric(totals, int(r["C1"]), size=k)
-            reps = np.arange(lo, hi)
-            for j, b in enumerate(blocks):
-                out.append(pd.DataFrame({"covariate": r["covariate"], "block": int(b), "rep": reps,
-                                         "y": y[:, j].astype(np.int64)}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
-
-
-def _block_stats(levels: pd.DataFrame, alloc: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """One block: draw each level's group-1 count for every replicate; partial X2 per replicate."""
-    if levels.empty or alloc.empty:
-        return pd.DataFrame({"covariate": [], "rep": [], "part": []})
-    levels = levels.sort_values("level")
-    alloc = alloc.sort_values("rep")
-    cov, block = levels["covariate"].iloc[0], int(levels["block"].iloc[0])
-    c1, c2, n, r = (float(levels[c].iloc[0]) for c in ("C1", "C2", "N", "r"))
-    y = alloc["y"].to_numpy(dtype=np.int64)
-    rows = (levels["n1"] + levels["n2"]).to_numpy(dtype=np.int64)
-    part = np.zeros(len(y))
-    if int(r) == 1:
-        h = n / 2.0
-        part += (y - h) ** 2 / h + ((n - y) - h) ** 2 / h
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: np.ndarray) -> np.ndarray:
+    """Good items among ``draws`` items taken from ``good + bad``, at any size.
+
+    Beyond the exact sampler's range: few good items are a binomial of the sampling fraction
+    (total variation at most good / total, kept below 1e-4); otherwise the variance is large and a rounded
+    normal is used (error of the order of one over the standard deviation).
+    """
+    total = good + bad
+    if good < SAMPLER_LIMIT and bad < SAMPLER_LIMIT:
+        return rng.hypergeometric(good, bad, draws)
+    share = draws / total
+    if good <= 1e-4 * total:
+        x = rng.binomial(good, share)
+    elif bad <= 1e-4 * total:
+        x = draws - rng.binomial(bad, share)
     else:
-        rng = _rng(seed, cov, 1, block)
-        remaining_draw = y.copy()
-        remaining_total = int(rows.sum())
-        for rj in rows:
-            rest = remaining_total - int(rj)
-            if rest == 0:
-                x = remaining_draw.copy()
-            else:
-                x = np.zeros_like(remaining_draw)
-                live = remaining_draw > 0
-                if live.any():
-                    x[live] = rng.hypergeometric(int(rj), rest, remaining_draw[live])
-            e1, e2 = rj * c1 / n, rj * c2 / n
-            part += (x - e1) ** 2 / e1 + ((rj - x) - e2) ** 2 / e2
-            remaining_draw = remaining_draw - x
-            remaining_total = rest
-    return pd.DataFrame({"covariate": cov, "rep": alloc["rep"].to_numpy(), "part": part})
-
-
-def monte_carlo_p(ct: DataFrame, tests: DataFrame, replicates: int = DEFAULT_REPLICATES,
-                  seed: int = 42, levels_per_block: int = LEVELS_PER_BLOCK) -> DataFrame:
+        spread = np.sqrt(draws * (good / total) * (bad / total) * ((total - draws) / max(total - 1, 1)))
+        x = np.rint(rng.normal(draws * (good / total), spread)).astype(np.int64)
+    return np.clip(x, np.maximum(0, draws - bad), np.minimum(good, draws))
+
+
+def simulate(rng: np.random.Generator, totals: list[int], levels: list[int], c1: int, n: int, replicates: int) -> np.ndarray:
+    """Pearson statistics of random tables with row-total classes (totals, levels) and group-1 total c1."""
+    c2 = n - c1
+    if sum(levels) == 1:                                # goodness of fit: fair split of all n observations
+        y = rng.binomial(n, 0.5, size=replicates)
+        return 2 * (y - n / 2.0) ** 2 / (n / 2.0)
+    stat = np.zeros(replicates)
+    left, rest = np.full(replicates, c1, dtype=np.int64), n
+    for t, m in zip(totals, levels):
+        e1, e2 = t * c1 / n, t * c2 / n
+        if t == 1:
+            x = hypergeometric(rng, m, rest - m, left) if rest > m else left
+            stat += x * ((1 - e1) ** 2 / e1 + e2) + (m - x) * (e1 + (1 - e2) ** 2 / e2)
+            left, rest = left - x, rest - m
+            continue
+        for _ in range(m):
+            x = hypergeometric(rng, t, rest - t, left) if rest > t else left
+            stat += (x - e1) ** 2 / e1 + (t - x - e2) ** 2 / e2
+            left, rest = left - x, rest - t
+    return stat
+
+
+def _chunk_hits(it, seed: int, replicates: int):
+    """Rows (covariate, totals, levels, C1, N, stat, chunk) -> (covariate, hits)."""
+    for pdf in it:
+        hits = []
+        for r in pdf.itertuples(index=False):
+            k = replicates * (r.chunk + 1) // CHUNKS - replicates * r.chunk // CHUNKS
+            sims = simulate(_rng(seed, r.covariate, r.chunk), [int(t) for t in r.totals], [int(m) for m in r.levels],
+                            int(r.C1), int(r.N), k)
+            hits.append(int((sims >= ALMOST_ONE * r.stat).sum()))
+        yield pd.DataFrame({"covariate": pdf["covariate"], "hits": hits})
+
+
+def monte_carlo_p(ct: DataFrame, tests: DataFrame, replicates: int = DEFAULT_REPLICATES, seed: int = 42) -> DataFrame:
     """``covariate, p_mc`` for covariates whose ``test`` is ``chisq_mc``.
 
     ``ct``: ``covariate, level, n1, n2``; ``tests``: ``covariate, test, stat, r, C1, C2``
-    (one row per covariate, so broadcasting it is bounded by the covariate count).
+    (one row per covariate).
     """
-    # both inputs are reused by several branches below: materialise them once (one row per
-    # covariate, and one row per level of the simulated covariates)
     sel = materialize(tests.where(F.col("test") == "chisq_mc").select(
-        "covariate", "stat", "r", "C1", "C2", (F.col("C1") + F.col("C2")).alias("N")))
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("r") / F.lit(float(levels_per_block)))).cast("int")
-    lv = materialize(ct.join(F.broadcast(sel), "covariate")
-                     .withColumn("block", F.pmod(F.xxhash64("level"), n_blocks.cast("long")).cast("int"))
-                     .select("covariate", "block", "level", "n1", "n2", "C1", "C2", "N", "r"))
-    totals = lv.groupBy("covariate", "block").agg(F.sum(F.col("n1") + F.col("n2")).alias("t"))
-    # one row per covariate with its block totals: at most r / levels_per_block entries
-    per_cov = (totals.groupBy("covariate")
-               .agg(F.sort_array(F.collect_list(F.struct("block", "t"))).alias("bt"))
-               .join(F.broadcast(sel), "covariate")
-               .select("covariate", F.col("bt.block").alias("blocks"), F.col("bt.t").alias("block_totals"),
-                       "C1", "N", "r",
-                       F.explode(F.sequence(F.lit(0), F.lit(ALLOC_CHUNKS - 1))).alias("chunk")))
-    alloc = per_cov.repartition(ALLOC_CHUNKS, "covariate", "chunk").mapInPandas(
-        lambda it: _allocate(it, seed, replicates), "covariate string, block int, rep int, y long")
-    parts = (lv.groupBy("covariate", "block").cogroup(alloc.groupBy("covariate", "block"))
-             .applyInPandas(lambda a, b: _block_stats(a, b, seed), "covariate string, rep int, part double"))
-    sims = parts.groupBy("covariate", "rep").agg(F.sum("part").alias("sim"))
-    hits = sims.join(F.broadcast(sel.select("covariate", "stat")), "covariate").groupBy("covariate").agg(
-        F.sum(F.when(F.col("sim") >= F.lit(ALMOST_ONE) * F.col("stat"), 1).otherwise(0)).alias("hits"))
+        "covariate", "stat", "C1", (F.col("C1") + F.col("C2")).alias("N")))
+    classes = (ct.join(sel.select("covariate"), "covariate", "left_semi")
+               .groupBy("covariate", (F.col("n1") + F.col("n2")).alias("total")).agg(F.count(F.lit(1)).alias("levels")))
+    # one row per covariate: its distinct row totals
+    per_cov = (classes.groupBy("covariate").agg(F.sort_array(F.collect_list(F.struct("total", "levels"))).alias("c"))
+               .join(sel, "covariate")
+               .select("covariate", F.col("c.total").alias("totals"), F.col("c.levels").alias("levels"), "C1", "N", "stat",
+                       F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk")))
+    hits = (per_cov.repartition(CHUNKS, "covariate", "chunk")
+            .mapInPandas(lambda it: _chunk_hits(it, seed, replicates), "covariate string, hits long")
+            .groupBy("covariate").agg(F.sum("hits").alias("hits")))
     return hits.select("covariate", ((F.col("hits") + 1) / F.lit(float(replicates + 1))).alias("p_mc"))

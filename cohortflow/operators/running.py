@@ -3,8 +3,7 @@
 ``Window.orderBy(t)`` with no partition key moves every row into one task. Here the
 ordered column is cut into ranges at approximate quantiles; each range computes its
 own running values in parallel (a window partitioned by range), and the totals of
-earlier ranges - one row per range, so a bounded, broadcastable frame - are added
-(or multiplied) back in. Results equal the single-window result up to
+earlier ranges (one row per partition key and range) are added (or multiplied) back in. Results equal the single-window result up to
 floating-point association.
 
 The input is expected to be an aggregate (one row per key and order value), small
@@ -14,6 +13,7 @@ job and the main job do not both recompute the upstream shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -29,29 +29,24 @@ def default_ranges(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-# An ordered frame up to this many rows is handled by one window task (its size is
-# counted on the materialised frame first); larger frames are cut into ranges.
-SINGLE_TASK_MAX_ROWS = 250_000
-
-
 def add_ranges(df: DataFrame, order: str, n_ranges: int | None = None,
                rel_err: float = 0.001) -> tuple[DataFrame, int]:
     """Materialise ``df`` and add a ``_range`` column cutting ``order`` at quantiles.
 
-    Returns the frame and its number of ranges. ``n_ranges=None`` chooses: one range
-    when the materialised frame has at most ``SINGLE_TASK_MAX_ROWS`` rows (a counted,
-    proven bound), else one range per shuffle partition.
+    Returns the frame and its number of ranges. ``n_ranges=None`` takes one range per shuffle
+    partition, at any size of the frame. Infinite and missing values go to the outer ranges; a
+    frame without a finite cut is one range.
     """
-    if n_ranges is not None and n_ranges <= 1:
+    n_ranges = n_ranges or default_ranges(df)
+    if n_ranges <= 1:
         return df, 1
     df = materialize(df)
-    if n_ranges is None:
-        if df.count() <= SINGLE_TASK_MAX_ROWS:
-            return df, 1
-        n_ranges = default_ranges(df)
     probs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = df.approxQuantile(order, probs, rel_err)
-    splits = [float("-inf")] + sorted({float(c) for c in cuts if c is not None}) + [float("inf")]
+    cuts = df.approxQuantile(order, probs, min(rel_err, 0.1 / n_ranges))
+    finite = sorted({float(c) for c in cuts if c is not None and math.isfinite(c)})
+    if not finite:
+        return df, 1
+    splits = [float("-inf"), *finite, float("inf")]
     tmp = "_range_input"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=RANGE, handleInvalid="keep")
     out = b.transform(df.withColumn(tmp, F.col(order).cast("double")))
@@ -63,8 +58,8 @@ def running(df: DataFrame, order: str, partition_by: Sequence[str] = (),
             products: Mapping[str, Column] | None = None, n_ranges: int = 1) -> DataFrame:
     """Add inclusive running ``sums`` / ``products`` ordered by ``order`` within ``partition_by``.
 
-    ``n_ranges`` comes from ``add_ranges``: with one range the frame's size is already
-    bounded and a plain window is used; with several, ``df`` carries ``_range``.
+    ``n_ranges`` comes from ``add_ranges``: with several, ``df`` carries ``_range``; one range is a
+    plain window per partition key.
     ``order`` must be unique within each partition key.
     """
     sums = dict(sums or {})
@@ -84,7 +79,7 @@ def running(df: DataFrame, order: str, partition_by: Sequence[str] = (),
 
     keys = list(partition_by) + [RANGE]
     out = base.select("*", *window_cols(keys, "_in_"))
-    # One row per (partition key, range): bounded by n_ranges x #keys, so broadcast.
+    # one row per (partition key, range)
     tot = base.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
                                   *[F.product(f"_v_{n}").alias(f"_t_{n}") for n in products])
     w_prev = Window.partitionBy(*partition_by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +87,11 @@ def running(df: DataFrame, order: str, partition_by: Sequence[str] = (),
                       *[F.coalesce(F.sum(f"_t_{n}").over(w_prev), F.lit(0)).alias(f"_o_{n}") for n in sums],
                       *[F.coalesce(F.product(f"_t_{n}").over(w_prev), F.lit(1.0)).alias(f"_o_{n}")
                         for n in products])
-    out = out.join(F.broadcast(offs), on=keys, how="inner")
+    same = F.lit(True)
+    for k in keys:                      # a missing order value or key has its own range
+        same = same & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
+    out = out.alias("a").join(offs.alias("b"), same, "inner").select(
+        "a.*", *[F.col(f"b._o_{n}") for n in names])
     for name in sums:
         out = out.withColumn(name, F.col(f"_o_{name}") + F.col(f"_in_{name}"))
     for name in products:

@@ -1,9 +1,10 @@
 """Top-1 per key (latest record per subject, first record per subject).
 
-Written as a grouped ``min_by`` over a packed row instead of
-``row_number().over(partitionBy(key))``: ``min_by`` aggregates partially on the
+Written as a grouped ``min`` over one struct (order, tiebreak, row) instead of
+``row_number().over(partitionBy(key))``: the minimum aggregates partially on the
 map side, so a subject holding a third of all rows is reduced to one candidate
-per map task before the shuffle, and no task ever sorts a whole hot key.
+per map task before the shuffle. Struct buffers plan as a sort aggregate: a map task sorts its own
+rows by key, the tasks after the shuffle one row per key and map task.
 """
 
 from __future__ import annotations
@@ -66,8 +67,14 @@ def top1_per_key(df: DataFrame, key: str | Sequence[str], order: str | None = No
     row_key = [_q(c) for c in rest if _orderable(df.schema[c].dataType)]
     if row_key:
         parts.append(F.struct(*row_key).alias("row"))
-    packed = F.struct(*[_q(c) for c in rest]) if rest else F.lit(None)
-    agg = df.groupBy(*[_q(k) for k in keys]).agg(F.min_by(packed, F.struct(*parts)).alias("_top"))
+    plain = len(row_key) == len(rest)
+    if plain:      # one struct holds the order and the row, which therefore travels once
+        best = F.min(F.struct(*parts))
+        agg = df.groupBy(*[_q(k) for k in keys]).agg(best.alias("_best")).select(
+            *[_q(k) for k in keys], F.col("_best.row").alias("_top"))
+    else:          # maps and variants cannot be compared
+        packed = F.struct(*[_q(c) for c in rest])
+        agg = df.groupBy(*[_q(k) for k in keys]).agg(F.min_by(packed, F.struct(*parts)).alias("_top"))
     return agg.select(*[_q(k) for k in keys], *[F.col(f"_top.`{c}`").alias(c) for c in rest]) \
         .select(*[_q(c) for c in df.columns])
 

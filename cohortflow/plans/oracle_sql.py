@@ -55,7 +55,7 @@ SURV_CHAR = """sc AS (
          CASE WHEN o_orderpriority = '1-URGENT' THEN 'Dead' ELSE 'Alive' END AS lkss,
          datediff('day', DATE '1990-01-01', o_orderdate) AS age_at_lkss,
          o_orderdate AS created_datetime
-  FROM orders WHERE o_orderstatus = 'P'),
+  FROM orders),
 lks AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY dst_id ORDER BY created_datetime DESC NULLS LAST, id) AS rn
@@ -81,7 +81,7 @@ subj AS (
                 ELSE 'Subject has not had an event' END AS censor_status,
            datediff('day', DATE '1990-01-01', o_orderdate) AS age_at_censor_status,
            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS rn
-    FROM orders WHERE o_orderstatus = 'O') WHERE rn = 1),
+    FROM orders) WHERE rn = 1),
 efs AS (
   SELECT * FROM (
     SELECT s.id AS subject_id,
