@@ -22,6 +22,8 @@ MEMBER_RE = re.compile(r"^member\d+$")
 LIST_SEP = ";"
 # Fixed value: the record field that is renamed to "<entity>_name".
 NAME_FIELD = "name"
+# Fixed value: the record field that may itself be a union.
+STATE_FIELD = "state"
 
 
 def fmt_double(c: Column) -> Column:
@@ -37,7 +39,7 @@ def fmt_double(c: Column) -> Column:
     s = F.format_string("%.15g", c)
     s = F.regexp_replace(s, r"\.?0+e", "e")                      # mantissa zeros before an exponent
     s = F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return (F.when(F.isnan(c), F.lit("NaN"))
+    return (F.when(c.isNull(), F.lit(None).cast("string")).when(F.isnan(c), F.lit("NaN"))
             .when(c == float("inf"), F.lit("Inf")).when(c == float("-inf"), F.lit("-Inf"))
             .when(fast_ok, fast).otherwise(s))
 
@@ -71,15 +73,34 @@ def scalarize(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
-def json_value(c: Column) -> Column:
-    """A JSON value kept as raw text -> scalar text: arrays and objects become their
-    leaves joined by ';' (one level), empty ones NULL; scalars stay as written."""
-    arr = F.array_join(F.from_json(c, "array<string>"), LIST_SEP)
-    obj = F.array_join(F.map_values(F.from_json(c, "map<string,string>")), LIST_SEP)
-    t = F.ltrim(c)
-    return (F.when(t.startswith("["), F.nullif(arr, F.lit("")))
-            .when(t.startswith("{"), F.nullif(obj, F.lit("")))
-            .otherwise(c))
+# one JSON scalar, or a key with its colon
+JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|-?[0-9][0-9.eE+-]*+|true|false|null'
+
+
+def json_value(raw: Column) -> Column:
+    """JSON text of one value -> the same text as ``scalarize`` gives for the typed value.
+
+    Leaves at any depth are joined by ';' (keys and nulls are left out); strings are unescaped,
+    booleans print TRUE/FALSE, numbers with a fraction or exponent print as doubles.
+    """
+    def leaf(t: Column) -> Column:
+        return (F.when(t.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), F.lit(0)))
+                .when(t == "true", F.lit("TRUE")).when(t == "false", F.lit("FALSE"))
+                .when(t.rlike("[.eE]"), fmt_double(t.cast("double"))).otherwise(t))
+
+    tokens = F.filter(F.regexp_extract_all(raw, F.lit(JSON_TOKEN), F.lit(0)), lambda t: ~t.endswith(":") & (t != "null"))
+    leaves = F.transform(tokens, leaf)
+    # an empty text is a value of its own, an empty list or object is none
+    return F.when(F.size(leaves) == 1, leaves[0]).when(F.size(leaves) > 1, F.nullif(F.array_join(leaves, LIST_SEP), F.lit("")))
+
+
+def state_member(n: str, c: Column, dt: T.DataType) -> Column:
+    """A field's text; of a ``state`` with a populated ``member0`` only that member counts."""
+    whole = scalarize(c, dt)
+    if n == STATE_FIELD and isinstance(dt, T.StructType) and "member0" in dt.fieldNames():
+        first = scalarize(c["member0"], dt["member0"].dataType)
+        return F.when(c["member0"].isNotNull(), first).otherwise(whole)
+    return whole
 
 
 def has_text(dt: T.DataType) -> bool:
@@ -103,29 +124,47 @@ def _is_union(dt: T.DataType) -> bool:
     return isinstance(dt, T.StructType) and len(dt.fields) > 0 and all(MEMBER_RE.match(f.name) for f in dt.fields)
 
 
-def _record_fields(df: DataFrame) -> tuple[DataFrame, list[tuple[str, Column, bool]]]:
+def _keys(df: DataFrame, obj: Column) -> list[str]:
+    """Keys that occur (one metadata job), ordered by their first position in a record."""
+    return [r["k"] for r in df.select(F.posexplode(F.map_keys(obj)).alias("p", "k"))
+            .groupBy("k").agg(F.min("p").alias("p")).orderBy("p", "k").collect()]
+
+
+def union_members(envelope: DataFrame) -> dict[str, list[str]] | None:
+    """Populated union members of every entity type, from one job; None for other payloads.
+
+    Pass the result to ``flatten_entity`` when several entities are flattened.
+    """
+    dt = envelope.schema["object"].dataType if "object" in envelope.columns else None
+    if dt is None or not _is_union(dt):
+        return None
+    names = dt.fieldNames()
+    rows = envelope.groupBy("name").agg(*[F.bool_or(F.col("object")[m].isNotNull()).alias(m) for m in names]).collect()
+    return {r["name"]: [m for m in names if r[m]] for r in rows}
+
+
+def _record_fields(df: DataFrame, used_members: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, Column, bool]]]:
     """(frame, [(field name, text column, may hold text)]) of the entity record inside ``object``."""
     if "object" not in df.columns:
         return df, []
     dt = df.schema["object"].dataType
     obj = F.col("object")
-    json_text = isinstance(dt, T.StringType)
-    if json_text:  # JSON text payload: keys and raw values, in document order
-        df = df.withColumn("object", F.from_json(obj, "map<string,string>"))
-        dt = df.schema["object"].dataType
+    if isinstance(dt, T.StringType):   # JSON text payload; values keep their JSON type as variants
+        df = df.withColumn("object", F.from_json(obj, "map<string,variant>"))
+        raw = lambda k: F.to_json(F.coalesce(
+            F.try_variant_get(obj[k], "$.member0", "variant"), obj[k]) if k == STATE_FIELD else obj[k])
+        return df, [(k, json_value(raw(k)), True) for k in _keys(df, obj)]
     if isinstance(dt, T.MapType):
-        # one metadata job: the union of keys, ordered by their first position in a record
-        keys = [r["k"] for r in df.select(F.posexplode(F.map_keys(obj)).alias("p", "k"))
-                .groupBy("k").agg(F.min("p").alias("p")).orderBy("p", "k").collect()]
-        conv = json_value if json_text else (lambda c: scalarize(c, dt.valueType))
-        return df, [(k, conv(obj[k]), json_text or has_text(dt.valueType)) for k in keys]
+        return df, [(k, scalarize(obj[k], dt.valueType), has_text(dt.valueType)) for k in _keys(df, obj)]
     if _is_union(dt):
         members = [f for f in dt.fields]
-        flags = df.agg(*[F.max(obj[m.name].isNotNull().cast("int")).alias(m.name) for m in members]).first()
-        used = [m for m in members if flags and flags[m.name]]
+        if used_members is None:
+            flags = df.agg(*[F.max(obj[m.name].isNotNull().cast("int")).alias(m.name) for m in members]).first()
+            used_members = [m.name for m in members if flags and flags[m.name]]
+        used = [m for m in members if m.name in used_members]
         if len(used) == 1:
             m = used[0]
-            return df, [(f.name, scalarize(obj[m.name][f.name], f.dataType), has_text(f.dataType))
+            return df, [(f.name, state_member(f.name, obj[m.name][f.name], f.dataType), has_text(f.dataType))
                         for f in m.dataType.fields]
         # several members in one entity type: per row, the first populated member wins
         names: list[str] = []
@@ -139,13 +178,13 @@ def _record_fields(df: DataFrame) -> tuple[DataFrame, list[tuple[str, Column, bo
             text = False
             for m in reversed(used):
                 fields = {f.name: f for f in m.dataType.fields}
-                val = scalarize(obj[m.name][n], fields[n].dataType) if n in fields else F.lit(None).cast("string")
+                val = state_member(n, obj[m.name][n], fields[n].dataType) if n in fields else F.lit(None).cast("string")
                 text = text or (n in fields and has_text(fields[n].dataType))
                 expr = F.when(obj[m.name].isNotNull(), val).otherwise(expr)
             out.append((n, expr, text))
         return df, out
     if isinstance(dt, T.StructType):
-        return df, [(f.name, scalarize(obj[f.name], f.dataType), has_text(f.dataType)) for f in dt.fields]
+        return df, [(f.name, state_member(f.name, obj[f.name], f.dataType), has_text(f.dataType)) for f in dt.fields]
     return df, []
 
 
@@ -163,11 +202,15 @@ def _first_relation(df: DataFrame) -> tuple[Column, Column]:
     return dst_id, dst_name
 
 
-def flatten_entity(envelope: DataFrame, entity_name: str | None = None, decode: bool = True) -> DataFrame:
-    """Flatten one entity type (``entity_name``) or an already filtered frame."""
+def flatten_entity(envelope: DataFrame, entity_name: str | None = None, decode: bool = True,
+                   members: dict[str, list[str]] | None = None) -> DataFrame:
+    """Flatten one entity type (``entity_name``) or an already filtered frame.
+
+    ``members`` (from ``union_members``) saves the metadata job of a union payload.
+    """
     df = envelope if entity_name is None else envelope.where(F.col("name") == entity_name)
     label = entity_name
-    df, fields = _record_fields(df)
+    df, fields = _record_fields(df, members.get(entity_name, []) if members is not None and entity_name is not None else None)
     if label is None:
         row = df.select("name").limit(1).collect()
         label = row[0]["name"] if row else "entity"

@@ -215,6 +215,9 @@ WHERE name NOT IN ('subject', 'person', 'timing', 'survival_characteristic', 'Me
         "flatten_person": FLAT_PERSON,
         "flatten_subject": FLAT_SUBJECT,
         "flatten_lineitem": FLAT_LINEITEM,
+        "flatten_json_person": FLAT_PERSON,
+        "flatten_json_subject": FLAT_SUBJECT,
+        "flatten_json_lineitem": FLAT_LINEITEM,
         "merge_subject_person": f"{MERGED} SELECT * FROM merged",
         "merge_with_lineitem": f"{MERGED_LI} SELECT * FROM merged_li",
         "dataset_shape": f"{MERGED_LI} SELECT count(*) AS n_rows, 26 AS n_columns FROM merged_li",

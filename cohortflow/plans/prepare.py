@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import MissingEntity
-from ..operators.flatten import flatten_entity
+from ..operators.flatten import flatten_entity, union_members
 from ..operators.merge import DISTRIBUTION_PREFIXES, analysis_columns, column_types, merge_entities
 from ..sources.envelope import (CORE_ENTITIES, IGNORED_ENTITIES, entity_names, read_entities,
                                 require_entities)
@@ -43,9 +43,10 @@ def prepare(spark: SparkSession, source: str | DataFrame, selected: Sequence[str
     if unknown:
         raise MissingEntity(f"Selected entities not found: {unknown}")
     out = Prepared(entity_types=names)
+    members = union_members(env)       # one job for all entities
     for n in ["subject", "person", "timing", "survival_characteristic", *selected]:
         if n in names and n not in out.flattened:
-            out.flattened[n] = flatten_entity(env, n)
+            out.flattened[n] = flatten_entity(env, n, members=members)
     out.merged = merge_entities(out.flattened["subject"], out.flattened["person"],
                                 [(n, out.flattened[n]) for n in selected])
     if classify:

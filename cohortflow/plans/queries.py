@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..operators import distribution as ds
 from ..operators import stats as st
 from ..operators import survival as sv
-from ..operators.flatten import flatten_entity, flatten_summary
+from ..operators.flatten import flatten_entity, flatten_summary, union_members
 from ..operators.groups import group_counts
 from ..operators.slices import first_per_key, latest_per_key
 from ..operators.merge import column_types, dataset_shape, merge_entities, subject_pairs, union_pairs
@@ -72,8 +72,9 @@ def flat(spark, d, name):
 
 def merged(spark, d, with_lineitem=False):
     env = si.envelope(spark, d)
-    ents = [("lineitem", flatten_entity(env, "lineitem"))] if with_lineitem else []
-    return merge_entities(flatten_entity(env, "subject"), flatten_entity(env, "person"), ents)
+    members = union_members(env)
+    subject, person, line = (flatten_entity(env, n, members=members) for n in ("subject", "person", "lineitem"))
+    return merge_entities(subject, person, [("lineitem", line)] if with_lineitem else [])
 
 
 FLATTEN = {
@@ -83,6 +84,9 @@ FLATTEN = {
     "flatten_person": lambda s, d: flat(s, d, "person"),
     "flatten_subject": lambda s, d: flat(s, d, "subject"),
     "flatten_lineitem": lambda s, d: flat(s, d, "lineitem"),
+    "flatten_json_person": lambda s, d: flatten_entity(si.json_envelope(s, d), "person"),
+    "flatten_json_subject": lambda s, d: flatten_entity(si.json_envelope(s, d), "subject"),
+    "flatten_json_lineitem": lambda s, d: flatten_entity(si.json_envelope(s, d), "lineitem"),
     "merge_subject_person": lambda s, d: merged(s, d),
     "merge_with_lineitem": lambda s, d: merged(s, d, True),
     "dataset_shape": lambda s, d: dataset_shape(merged(s, d, True)),

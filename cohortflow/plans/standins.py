@@ -129,6 +129,14 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrap(p, 0).unionByName(wrap(s, 1)).unionByName(wrap(e, 2))
 
 
+def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same envelope with the payload as JSON text, as JSON files and Avro text give it."""
+    env = envelope(spark, sf_dir)
+    options = {"timestampFormat": "yyyy-MM-dd HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+    members = env.schema["object"].dataType.fieldNames()
+    return env.withColumn("object", F.coalesce(*[F.to_json(F.col("object")[m], options) for m in members]))
+
+
 # ---------------------------------------------------------------- Table 1 cohorts
 def txt(c: str):
     """A numeric column as flattened text."""

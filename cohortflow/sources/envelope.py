@@ -22,9 +22,9 @@ IGNORED_ENTITIES = ["Metadata", "program", "project"]
 REQUIRED_ENTITIES = ["subject", "person"]
 
 
-# Envelope schema for the Avro JSON text fallback: the record payload stays raw JSON text
-# (each record carries exactly its own fields) and is parsed per entity by the flatten.
-AVRO_TEXT_SCHEMA = ("id string, name string, object string, "
+# Envelope schema of JSON text (files, or the Avro fallback): the record payload stays raw JSON
+# text, so each record carries exactly its own fields, and is parsed per entity by the flatten.
+TEXT_SCHEMA = ("id string, name string, object string, "
                     "relations array<struct<dst_id: string, dst_name: string>>")
 
 
@@ -61,7 +61,21 @@ def _read_avro(spark: SparkSession, path: str) -> DataFrame:
     sc = spark.sparkContext
     rdd = sc.hadoopFile(path, "org.apache.avro.mapred.AvroAsTextInputFormat",
                         "org.apache.hadoop.io.Text", "org.apache.hadoop.io.Text")
-    return spark.read.schema(AVRO_TEXT_SCHEMA).json(rdd.map(lambda kv: kv[0]))
+    return spark.read.schema(TEXT_SCHEMA).json(rdd.map(lambda kv: kv[0]))
+
+
+# records whose keys decide whether a JSON file is an envelope
+HEADER_RECORDS = 1000
+
+
+def _read_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines with the payload as text; the columns are checked on the first records."""
+    head = spark.read.text(path).limit(HEADER_RECORDS)
+    keys = head.select(F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("k")).distinct().collect()
+    missing = [c for c in ENVELOPE_COLUMNS if c not in {r["k"] for r in keys}]
+    if missing:
+        raise InvalidEnvelope(missing)
+    return spark.read.schema(TEXT_SCHEMA).json(path)
 
 
 def read_entities(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -70,7 +84,7 @@ def read_entities(spark: SparkSession, path: str, fmt: str | None = None) -> Dat
     if fmt == "avro":
         df = _read_avro(spark, path)
     elif fmt in ("json", "jsonl", "ndjson"):
-        df = spark.read.json(path)
+        df = _read_json(spark, path)
     else:
         df = spark.read.parquet(path)
     return validate_envelope(df)
@@ -102,7 +116,7 @@ def entity(df: DataFrame, name: str) -> DataFrame:
 def require_entities(names: list[str], needed: list[str] = REQUIRED_ENTITIES) -> None:
     missing = [n for n in needed if n not in names]
     if missing:
-        raise MissingEntity("Required entities 'subject' and 'person' not found."
+        raise MissingEntity("the envelope holds no subject or no person records"
                             if set(missing) & set(REQUIRED_ENTITIES) else f"Missing entities: {missing}")
 
 

@@ -2,10 +2,11 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cohortflow.errors import InvalidEnvelope, MissingEntity
-from cohortflow.operators.flatten import flatten_entity, flatten_summary
+from cohortflow.operators.flatten import flatten_entity, flatten_summary, union_members
 from cohortflow.operators.merge import analysis_columns, column_types, left_join_suffixed, merge_entities
 from cohortflow.sources.envelope import (entity_names, optional_entities, read_entities, require_entities,
                                          stage_envelope, read_staged, validate_envelope)
@@ -120,3 +121,41 @@ def test_subject_pairs_equal_merged_distinct_pairs(spark):
     want2 = {tuple(r) for r in covariate_pairs(both, ["v", "u"]).collect()}
     got2 = {tuple(r) for r in subject_pairs(subject, lab.withColumn("u", lab.v), ["v", "u"]).collect()}
     assert got2 == want2
+
+
+def test_json_and_typed_payloads_flatten_alike(spark):
+    record = {"d": 23.0, "b": True, "n": [{"a": 1}, {"b": [2, 3.5, None]}], "s": 'q"u\\o, [x] {y}: true', "t": "true", "e": "",
+              "z": None, "l": [], "i": 7, "x": 1e-9, "state": {"member0": "a", "member1": "b"}}
+    typed = spark.createDataFrame([Row(id="1", name="lab", relations=None)], "id string, name string, relations string").selectExpr(
+        "id", "name", "named_struct('d', 23.0D, 'b', true, 'n', array(named_struct('a', 1, 'b', cast(null as array<double>)),"
+        " named_struct('a', cast(null as int), 'b', array(2D, 3.5D, null))), 's', 'q\"u\\\\o, [x] {y}: true', 't', 'true', 'e', '',"
+        " 'z', cast(null as string), 'l', cast(array() as array<int>), 'i', 7, 'x', 1e-9D, 'state',"
+        " named_struct('member0', 'a', 'member1', 'b')) AS object", "relations")
+    text = spark.createDataFrame([("1", "lab", json.dumps(record), None)], "id string, name string, object string, relations string")
+    a, b = (flatten_entity(x, "lab").first().asDict() for x in (typed, text))
+    assert a == b
+    assert (b["d"], b["b"], b["n"], b["t"], b["z"], b["l"], b["state"]) == ("23", "TRUE", "1;2;3.5", "true", None, None, "a")
+
+
+def test_json_files_keep_each_entitys_own_columns(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "own.json")
+    with open(path, "w") as f:
+        for n, o in (("subject", {"a": 1}), ("person", {"p": "x", "q": [1, 2]}), ("lab", {"v": 2.0})):
+            f.write(json.dumps({"id": n, "name": n, "object": o, "relations": [{"dst_id": "1", "dst_name": "m"}]}) + "\n")
+    env = read_entities(spark, path)
+    assert flatten_entity(env, "subject").columns == ["id", "name", "a", "dst_id", "dst_name"]
+    assert flatten_entity(env, "person").first().q == "1;2" and flatten_entity(env, "lab").first().v == "2"
+    with open(path, "w") as f:
+        f.write('{"id": "1", "name": "x"}\n')
+    with pytest.raises(InvalidEnvelope):
+        read_entities(spark, path)
+
+
+def test_union_members_is_one_job_for_all_entities(spark):
+    env = spark.range(2).selectExpr(
+        "cast(id as string) id", "if(id = 0, 'person', 'lab') name", "array(named_struct('dst_id', '1', 'dst_name', 'm')) relations",
+        "named_struct('member0', if(id = 0, named_struct('p', 1), null), 'member1', if(id = 1, named_struct('v', 2), null)) object")
+    members = union_members(env)
+    assert members == {"person": ["member0"], "lab": ["member1"]}
+    for n in members:
+        assert flatten_entity(env, n, members=members).collect() == flatten_entity(env, n).collect()
