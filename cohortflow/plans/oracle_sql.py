@@ -259,6 +259,20 @@ SELECT {by}round(CASE WHEN t_half IS NULL THEN NULL
     return {
         "overall_survival": f"{OS} SELECT subject_id, {r9('time_years')} AS time_years, event FROM os",
         "event_free_survival": f"{EFS} SELECT subject_id, {r9('time_years')} AS time_years, event FROM efs",
+        "overall_survival_text_dates": f"{OS} SELECT subject_id, {r9('time_years')} AS time_years, event FROM os",
+        "overall_survival_without_dates":
+            OS.replace("ORDER BY created_datetime DESC NULLS LAST, id) AS rn\n    FROM timing",
+                       "ORDER BY age_at_disease_phase DESC NULLS LAST, id) AS rn\n    FROM timing")
+            .replace("ORDER BY created_datetime DESC NULLS LAST, id) AS rn\n    FROM sc",
+                     "ORDER BY age_at_lkss DESC NULLS LAST, id) AS rn\n    FROM sc")
+            + f" SELECT subject_id, {r9('time_years')} AS time_years, event FROM os",
+        "event_free_survival_without_dates":
+            EFS.replace("ORDER BY o_orderdate DESC NULLS LAST, o_orderkey", "ORDER BY o_orderkey")
+            + f" SELECT subject_id, {r9('time_years')} AS time_years, event FROM efs",
+        "km_efs_uploaded_ids": f"""{EFS},
+{REGION_IDS},
+sub AS (SELECT * FROM efs WHERE subject_id IN (SELECT CAST(id AS BIGINT) FROM ids)),
+{km_ctes('sub')} {km_select()}""",
         "km_overall_survival": f"{OS}, {km_ctes('os')} {km_select()}",
         "km_event_free_survival": f"{EFS}, {km_ctes('efs')} {km_select()}",
         "km_ship_delay": f"{SHIP}, {km_ctes('ship')} {km_select()}",

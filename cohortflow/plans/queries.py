@@ -49,7 +49,28 @@ def os_grouped(spark, d):
                          F.when(F.col("_gid").isNotNull(), "G1").otherwise("G2").alias("grp"))
 
 
+def os_text_dates(spark, d):
+    """Overall survival from create dates kept as text."""
+    text = lambda df: df.withColumn("created_datetime", F.date_format("created_datetime", "yyyy/MM/dd'T'HH:mm:ss'Z'"))
+    return sv.overall_survival(text(si.timing(spark, d)), text(si.survival_characteristic(spark, d)))
+
+
+def os_without_dates(spark, d):
+    """Overall survival from records without create dates: the highest ages are taken."""
+    return sv.overall_survival(*[f(spark, d).drop("created_datetime") for f in (si.timing, si.survival_characteristic)])
+
+
+def efs_without_dates(spark, d):
+    """Event-free survival where subject records carry no date: the first record is taken."""
+    return sv.event_free_survival(si.efs_subject(spark, d).drop("created_datetime"), si.timing(spark, d),
+                                  subject_tiebreak="record_key")
+
+
 SURVIVAL = {
+    "overall_survival_text_dates": lambda s, d: r9(os_text_dates(s, d)),
+    "overall_survival_without_dates": lambda s, d: r9(os_without_dates(s, d)),
+    "event_free_survival_without_dates": lambda s, d: r9(efs_without_dates(s, d)),
+    "km_efs_uploaded_ids": lambda s, d: r9(sv.kaplan_meier(sv.restrict_to_ids(efs_frame(s, d), si.region_ids(s, d)))),
     "overall_survival": lambda s, d: r9(os_frame(s, d)),
     "event_free_survival": lambda s, d: r9(efs_frame(s, d)),
     "km_overall_survival": lambda s, d: r9(sv.kaplan_meier(os_frame(s, d))),
