@@ -13,6 +13,7 @@ import numpy as np
 
 from cohortflow.llm.chunks import ChunkTable
 
+GROUP = 64          # words of letters in one tokenizer call
 TAIL = b".,!?;:*&%$#|"
 
 _tables: dict[str, "WordIds"] = {}
@@ -31,12 +32,30 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)       # tokens that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         # the empty chunk stands for the end of a text
         self.table = ChunkTable(self._learn, "I", {b"": [end_id]}, **limits)
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _ids(self, chunks: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks],
-                                                                add_special_tokens=False)]
+        """Ids of each chunk. Words of letters go to the tokenizer many at a time, cut again at word ends."""
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        out: list[list[int] | None] = [None] * len(texts)
+        words = [i for i, t in enumerate(texts) if t.isalpha()]
+        groups = [words[k:k + GROUP] for k in range(0, len(words), GROUP)]
+        for group, ids in zip(groups, self._encode([" ".join(texts[i] for i in g) for g in groups])):
+            stops = np.nonzero(self.ends[ids])[0] + 1
+            if len(stops) == len(group):        # else some letters were no single word after normalisation
+                for i, a, b in zip(group, [0, *stops[:-1].tolist()], stops.tolist()):
+                    out[i] = ids[a:b]
+        rest = [i for i, o in enumerate(out) if o is None]
+        for i, ids in zip(rest, self._encode([texts[i] for i in rest])):
+            out[i] = ids
+        return out
 
     def _learn(self, chunks: list[bytes]) -> list[list[int]]:
         parts = []
