@@ -1,11 +1,11 @@
-from .datetime import ensure_datetime_col, find_datetime_col, parse_datetime
-from .format import count_label, fmt_num, fmt_p, fmt_value, mean_sd, n_pct, pct, pct_label
+from .datetime import find_datetime_col, parse_datetime
+from .format import fmt_num, fmt_p, mean_sd, n_pct, pct, pct_label
 from .numeric import df_num, round_r, to_num
-from .text import clean_string, is_blank, is_missing_categorical, non_blank
+from .text import clean_string, is_missing_categorical, non_blank
 
 __all__ = [
-    "clean_string", "is_blank", "non_blank", "is_missing_categorical",
+    "clean_string", "non_blank", "is_missing_categorical",
     "to_num", "df_num", "round_r",
-    "fmt_num", "fmt_value", "pct", "n_pct", "fmt_p", "pct_label", "count_label", "mean_sd",
-    "find_datetime_col", "parse_datetime", "ensure_datetime_col",
+    "fmt_num", "pct", "n_pct", "fmt_p", "pct_label", "mean_sd",
+    "find_datetime_col", "parse_datetime",
 ]

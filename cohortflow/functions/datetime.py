@@ -97,8 +97,3 @@ def parse_datetime(df: DataFrame, name: str) -> DataFrame:
     hits = df.agg(*[F.count(x).alias(f"h{i}") for i, x in enumerate(cands)]).first()
     chosen = next((x for i, x in enumerate(cands) if hits[f"h{i}"] > 0), cands[0])
     return df.withColumn(name, chosen)
-
-
-def ensure_datetime_col(df: DataFrame) -> tuple[DataFrame, str | None]:
-    name = find_datetime_col(df)
-    return parse_datetime(df, name), name

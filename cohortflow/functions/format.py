@@ -26,11 +26,6 @@ def fmt_num(c: Column | str, digits: int = 2) -> Column:
     return F.regexp_replace(s, r"\.?0+$", "") if digits > 0 else s
 
 
-def fmt_value(c: Column | str) -> Column:
-    """Shortest text of a double (``18.0`` -> ``18``, ``0.125`` -> ``0.125``)."""
-    return F.regexp_replace(_col(c).cast("double").cast("string"), r"\.0$", "")
-
-
 def pct(n: Column | str, d: Column | str) -> Column:
     """R-rounded percentage ``100 n / d`` (2 decimals); NULL when d is 0 or NULL."""
     n, d = _col(n), _col(d)
@@ -56,10 +51,6 @@ def pct_label(p: Column | str) -> Column:
     return F.concat(fmt_num(p), F.lit("%"))
 
 
-def count_label(n: Column | str) -> Column:
-    return F.concat(_col(n).cast("string"), F.lit(COUNT_SUFFIX))
-
-
 def mean_sd(mean: Column | str, sd: Column | str) -> Column:
     """``"mean (sd)"`` with both rounded to 2; em dash when there is no value."""
     m, s = _col(mean), _col(sd)

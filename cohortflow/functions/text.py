@@ -49,11 +49,6 @@ def clean_string(c: Column | str) -> Column:
     return F.when(_changes(src), F.btrim(col, F.lit(TRIM_CHARS))).otherwise(src)
 
 
-def is_blank(c: Column) -> Column:
-    """NULL or empty after trimming (the 'non-blank' test negated)."""
-    return c.isNull() | (F.btrim(c, F.lit(TRIM_CHARS)) == "")
-
-
 def non_blank(c: Column) -> Column:
     return c.isNotNull() & (F.btrim(c, F.lit(TRIM_CHARS)) != "")
 

@@ -50,6 +50,16 @@ def merge_entities(subject: DataFrame, person: DataFrame,
                   entities, merged)
 
 
+def card_candidates(columns: Sequence[str]) -> list[str]:
+    """Columns that a Table 1 card may be opened for (C3: by name prefix)."""
+    return analysis_columns(columns, CARD_PREFIXES)
+
+
+def covariate_candidates(columns: Sequence[str]) -> list[str]:
+    """Columns of the refreshed Table 1 list (C4: by exact name)."""
+    return analysis_columns(columns, IGNORED_COVARIATES, mode="exact")
+
+
 def analysis_columns(columns: Sequence[str], names: Sequence[str] = DISTRIBUTION_PREFIXES,
                      mode: str = "prefix") -> list[str]:
     """Columns left after dropping ignored ones (by name prefix or exact name)."""

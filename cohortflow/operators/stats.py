@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import to_num
-from ..functions.text import TRIM_CHARS
+from ..functions.text import non_blank
 from . import finishers as fin
 from .groups import G1, G2, mark_groups
 from .running import add_ranges, running
@@ -45,7 +45,7 @@ def value_counts_long(df: DataFrame | None, covariates: Sequence[str], ids: Data
 def covariate_kinds(vc: DataFrame) -> DataFrame:
     """Numeric when >= 90% of non-blank distinct values parse as numbers."""
     v = F.col("value")
-    nb = v.isNotNull() & (F.btrim(v, F.lit(TRIM_CHARS)) != "")
+    nb = non_blank(v)
     agg = vc.groupBy("covariate").agg(
         F.sum(F.when(nb, F.col("n")).otherwise(0)).alias("n_nonblank"),
         F.sum(F.when(nb & to_num(v).isNotNull(), F.col("n")).otherwise(0)).alias("n_numeric"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.format import COUNT_SUFFIX, fmt_num, fmt_p, mean_sd, n_pct
 from ..functions.numeric import round_r, to_num
+from ..functions.text import is_missing_categorical
 from ..session import materialize
 from . import stats as st
 from .flatten import fmt_double
@@ -110,7 +111,7 @@ def table1(df: DataFrame | None, covariates: Sequence[Covariate], ids: DataFrame
     per = vc.groupBy("covariate", "grp").agg(
         F.sum("n").alias("tot"),
         F.sum(F.when(v.isNotNull() & (v != ""), F.col("n")).otherwise(0)).alias("den"),
-        F.sum(F.when(v.isNull() | v.isin("None", ""), F.col("n")).otherwise(0)).alias("mis_cat"),
+        F.sum(F.when(is_missing_categorical(v), F.col("n")).otherwise(0)).alias("mis_cat"),
         F.sum(F.when(to_num(v).isNull(), F.col("n")).otherwise(0)).alias("mis_num"))
     num = st.numeric_summary(vc).select("covariate", "grp", "mean", "mode", "n_values", "sd")
     lvl_counts = vc.where(v.isNotNull()).select("covariate", "grp", F.col("value").alias("level"), "n")

@@ -63,9 +63,3 @@ def materialize(df: DataFrame) -> DataFrame:
         cached.unpersist()
         return out
     return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Size check before a broadcast: stops reading after ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-

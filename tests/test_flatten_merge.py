@@ -159,3 +159,10 @@ def test_union_members_is_one_job_for_all_entities(spark):
     assert members == {"person": ["member0"], "lab": ["member1"]}
     for n in members:
         assert flatten_entity(env, n, members=members).collect() == flatten_entity(env, n).collect()
+
+
+def test_card_and_covariate_candidates():
+    from cohortflow.operators.merge import card_candidates, covariate_candidates
+    names = ["id", "identity", "dst_id_lab", "created_datetime", "created_datetime_x", "sex"]
+    assert card_candidates(names) == ["created_datetime", "created_datetime_x", "sex"]
+    assert covariate_candidates(names) == ["identity", "dst_id_lab", "created_datetime_x", "sex"]
