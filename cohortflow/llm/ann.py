@@ -51,9 +51,9 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def vector_classes(rows: DataFrame, k: int) -> DataFrame:
     """Distinct vectors with their k + 1 smallest ids (no query needs more) in order."""
-    rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
+    rank = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("id"))     # repeated rows count once
     return (rows.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("h1", "h2")
-            .agg(F.min_by("vec", "id").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids")))
+            .agg(F.min_by("vec", "id").alias("vec"), F.sort_array(F.collect_set("id")).alias("ids")))
 
 
 def _matrix(column) -> np.ndarray:
@@ -161,7 +161,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
 
     ``is_query`` is a condition on ``id``; ``probes`` None measures how many are needed. Ties go to the smaller id; a query's own row is no
     candidate (other rows of an equal vector are). Fewer than k candidates are returned all. Vectors that are null, zero, not
-    finite, hold nulls or have another dimension than most take no part, nor do null ids.
+    finite, hold nulls or have another dimension than most take no part, nor do null ids. Repeated rows
+    count once.
     """
     spark = vectors.sparkSession
     rows = valid_vectors(vectors, id_col, vec_col)
@@ -226,7 +227,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     kept = hits.withColumn("r", best).where(F.col("r") <= k + 1).drop("r")
     spread = kept.join(classes.select(F.col("ids")[0].alias("rep"), "ids"), "rep").select(
         "h1", "h2", "score", F.explode("ids").alias("vec_id"))
-    queries = rows.where(is_query).select(F.col("id").alias("query_id"), "h1", "h2")
+    queries = rows.where(is_query).select(F.col("id").alias("query_id"), "h1", "h2").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (queries.join(spread, ["h1", "h2"]).where("query_id <> vec_id").withColumn("rank", rank)
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -46,7 +46,7 @@ def test_unequal_norms_ties_copies_and_invalid_vectors(spark):
     rows = [(i, [float(v) for v in r], "x") for i, r in enumerate(x)]
     bad = [(100, None, "x"), (120, [0.0] * 5, "x"), (140, [1.0, None, 1.0, 1.0, 1.0], "x"), (160, [float("nan")] * 5, "x"),
            (180, [float("inf")] * 5, "x"), (200, [1.0, 2.0], "x"), (None, [9.0] * 5, "x"), (220, [], "x")]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, rank string")
+    df = spark.createDataFrame(rows + rows[:25] + bad, "vec_id long, embedding array<float>, rank string")
     got = by_query(nearest(df, F.col("id") % 20 == 0, k=20).collect())
     ids, wide = np.arange(60), x.astype(float)
     assert sorted(got) == [0, 20, 40]
