@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-MAX_CHUNKS = 1_000_000      # chunks that one Python worker keeps; then the table starts anew
+MAX_CHUNKS = 300_000      # chunks that one Python worker keeps; then the table starts anew
 
 
 class ChunkTable:

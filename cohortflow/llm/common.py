@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def text_slices(column, most: int):
+    """Consecutive slices of an Arrow column of text or bytes: (first row, list of bytes), each of about ``most`` bytes.
+
+    Only one slice at a time becomes Python objects; nulls are empty.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("int64")
+    group = sizes.cumsum() // most
+    first = 0
+    while first < len(sizes):
+        stop = int(group.searchsorted(group[first], side="right"))
+        yield first, [t.encode() if isinstance(t, str) else t or b"" for t in column.slice(first, stop - first).to_pylist()]
+        first = stop
+
+
 def running_spans(steps: Column) -> Column:
     """Spans from steps (gap before, size) of consecutive pieces: array of (start, stop), from 0.
 

@@ -17,17 +17,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortflow.llm.common import text_slices
+
 TRAIN_DOCS = 5000       # labelled documents of one language that the model is fitted on, at most (expected)
 BUCKETS = 1 << 15       # hashed n-grams of one language
 ORDERS = (2, 3, 4)
 PENALTY = 15.0          # nats that a change of language costs
 SCRIPT_SHARE = 0.001    # share of a language's letters from which it counts as written in a script
-MAX_WORDS = 400_000     # scored words that a worker keeps
+MAX_WORDS = 200_000     # scored words that a worker keeps
 UNKNOWN = "und"
-BATCH_CHARS = 6_000_000
+BATCH_BYTES = 2 << 20
 
 WORD = re.compile(r"[^\W\d_]+")
 # first code points of the ranges that tell scripts apart; a range ends where the next begins
@@ -232,13 +235,14 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     """The input with lang_pred and score added (columns of these names must not exist)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)     # BUCKETS numbers of each language
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: pd.Series) -> pd.DataFrame:
-        sizes = batches.str.len().fillna(0).cumsum() // BATCH_CHARS
-        found = [x for _, part in batches.groupby(sizes) for x in detect(list(part), shared.value)]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [x for _, part in text_slices(texts, BATCH_BYTES)
+                 for x in detect([t.decode("utf-8", "replace") for t in part], shared.value)]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()),
+                                           pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
 
-    return docs.withColumn("__found", predict(F.col(text_col))).withColumns(
+    return docs.withColumn("__found", predict(F.col(text_col).cast("binary"))).withColumns(
         {"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
 
 

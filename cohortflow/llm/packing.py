@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.llm.common import settle
+from cohortflow.llm.common import settle, text_slices
 from cohortflow.llm.word_ids import word_ids
 
 ROUNDS = 400        # pricing rounds of the linear program
 RATE = 20.0         # how strongly open demand raises a price
 REST = 0.02         # share of the tokens that the program may leave to best fit
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id",
@@ -40,14 +40,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_
     def cut(batches):
         table = word_ids(tokenizer_path)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            groups = np.cumsum([len(t) for t in texts]) // BATCH_BYTES
-            for g in np.unique(groups):
-                rows = np.nonzero(groups == g)[0]
-                ids, counts = table.encode([texts[r] for r in rows])
+            for first, texts in text_slices(batch.column(1), BATCH_BYTES):
+                ids, counts = table.encode(texts)
                 raw, ends = memoryview(ids.astype("<u4").view(np.uint8)), np.cumsum(counts)
                 out = [(r, p, s, min(capacity, n - s), zlib.crc32(raw[4 * (e - n + s):4 * (e - n + min(s + capacity, n))]))
-                       for r, n, e in zip(rows.tolist(), counts.tolist(), ends.tolist())
+                       for r, (n, e) in enumerate(zip(counts.tolist(), ends.tolist()), first)
                        for p, s in enumerate(range(0, n, capacity))]
                 row, piece, start, length, crc = zip(*out)
                 yield pa.RecordBatch.from_arrays(

@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortflow.llm.chunks import ChunkTable
+from cohortflow.llm.common import text_slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)     # fixed values: piece types
 UNIGRAM, BPE = 1, 2                                                    # fixed values: model types
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 THREADS = 2
 
 
@@ -203,11 +204,6 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _batches(texts: list[bytes]):
-    groups = np.cumsum([len(t) for t in texts]) // BATCH_BYTES
-    return [np.nonzero(groups == g)[0] for g in np.unique(groups)]
-
-
 def encode_documents(docs: DataFrame, model_path: str, id_cols: tuple[str, ...] = ("doc_id",),
                      text_col: str = "text") -> DataFrame:
     """The id columns and ``ids`` (array of int) of every text; null texts have none."""
@@ -216,12 +212,11 @@ def encode_documents(docs: DataFrame, model_path: str, id_cols: tuple[str, ...]
     def run(batches):
         c = codec(model_path)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(len(id_cols)).to_pylist()]
-            for rows in _batches(texts):
-                ids, counts = c.encode([texts[r] for r in rows])
+            for first, texts in text_slices(batch.column(len(id_cols)), BATCH_BYTES):
+                ids, counts = c.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
                                                  pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(len(id_cols))), lists],
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in range(len(id_cols))), lists],
                                                  names=schema.names)
 
     return docs.select(*id_cols, F.col(text_col).cast("binary")).mapInArrow(run, schema)
@@ -258,9 +253,7 @@ def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
         c = codec(model_path)
         drop = int(c.model.dummy_prefix)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for rows in _batches(texts):
-                own = [texts[r] for r in rows]
+            for first, own in text_slices(batch.column(1), BATCH_BYTES):
                 c.verify(own[:1])
                 ids, counts = c.encode(own)
                 raw, ends = memoryview(ids.astype("<u4").view(np.uint8)), 4 * np.cumsum(counts)
@@ -268,7 +261,7 @@ def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
                 back = c.decode(ids, counts)
                 same = [b == c.normalise(t)[drop:] for b, t in zip(back, own)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(counts), pa.array(crc, pa.int64()),
+                    [batch.column(0).slice(first, len(own)), pa.array(counts), pa.array(crc, pa.int64()),
                      pa.array([len(b) for b in back], pa.int64()), pa.array(same)], names=schema.names)
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)

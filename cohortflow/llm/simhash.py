@@ -23,17 +23,19 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import settle
+from cohortflow.llm.common import settle, text_slices
 from cohortflow.llm.components import connected_components
 
 SEED = 42
 SEGMENTS = 32
 LOW = 0x5555555555555555
 CROWD = 48          # members from which a cell is tiled
+BATCH_BYTES = 2 << 20
 TILE = 512          # members of each side of a tile
 
 
@@ -46,9 +48,10 @@ def _majority(hashes: np.ndarray) -> int:
     return int(packed.view(np.int64)[0])
 
 
-def text_fingerprint(text: str | None, shingle: int = 3) -> int:
+def text_fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
     """Signed 64-bit fingerprint; zero for null texts and texts without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    words = raw.lower().split()
     if not words:
         return 0
     n = max(len(words) - shingle + 1, 1)
@@ -58,11 +61,11 @@ def text_fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    @F.pandas_udf("long")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_fingerprint(t, shingle) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def fingerprint(texts: pa.Array) -> pa.Array:
+        return pa.array([text_fingerprint(t, shingle) for _, part in text_slices(texts, BATCH_BYTES) for t in part], pa.int64())
 
-    return docs.select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col), fingerprint(F.col(text_col).cast("binary")).alias("fp"))
 
 
 def unary_counts(fp: Column) -> Column:

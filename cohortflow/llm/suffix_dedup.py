@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.llm.common import settle
+from cohortflow.llm.common import settle, text_slices
 
 GRAM = 16
 PIECE = 16
 CROWD = 256                 # dictionary entries of one kappa from which they are compared in pieces
 MAX_BITS = 28               # bit sets hold at most 2**28 bits (32 MB)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -93,11 +93,8 @@ def _phrases(texts: list[bytes], length: int):
 
 def _parts(batch, column: int):
     """Row numbers and texts of an Arrow batch, a few megabytes at a time."""
-    texts = [t or b"" for t in batch.column(column).to_pylist()]
-    groups = np.cumsum([len(t) for t in texts]) // BATCH_BYTES
-    for g in np.unique(groups):
-        rows = np.nonzero(groups == g)[0]
-        yield rows, [texts[r] for r in rows]
+    for first, texts in text_slices(batch.column(column), BATCH_BYTES):
+        yield np.arange(first, first + len(texts)), texts
 
 
 def _kappa(raw, triggers, width: int) -> np.ndarray:

@@ -19,15 +19,16 @@ import re
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm.chunks import ChunkTable
+from cohortflow.llm.common import text_slices
 from cohortflow.llm.sentencepiece_codec import MARK, Normaliser, PieceModel, read_model
 
 UNKNOWN_PENALTY = 10.0
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 class Counter:
@@ -115,12 +116,10 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     Null and empty texts have no tokens and score 0. Repeated rows repeat; other columns are not read.
     """
 
-    @F.pandas_udf("n_tokens long, path_score double")
-    def count(texts: pd.Series) -> pd.DataFrame:
-        own = [t or b"" for t in texts]
-        groups = np.cumsum([len(t) for t in own]) // BATCH_BYTES
-        parts = [counter(model_path).count([own[r] for r in np.nonzero(groups == g)[0]]) for g in np.unique(groups)]
-        return pd.DataFrame({"n_tokens": np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64),
-                             "path_score": np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)})
+    @F.arrow_udf("struct<n_tokens:bigint,path_score:double>")
+    def count(texts: pa.Array) -> pa.Array:
+        parts = [counter(model_path).count(part) for _, part in text_slices(texts, BATCH_BYTES)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([p[i] for p in parts]) if parts else [], t)
+                                           for i, t in ((0, pa.int64()), (1, pa.float64()))], names=["n_tokens", "path_score"])
 
     return docs.select(F.col(id_col), count(F.col(text_col).cast("binary")).alias("c")).select(id_col, "c.*")
