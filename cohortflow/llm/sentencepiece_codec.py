@@ -3,8 +3,10 @@
 The model file (a protobuf) is read field by field and rebuilt: normaliser (character map, extra
 spaces), space marker, unigram scores or the merges that a BPE model's scores stand for, and byte
 fallback. If no piece continues behind a space marker, a text's ids are those of its words, so
-words are encoded once, in batches, on several threads, and kept in a bounded table. Part of the texts is
-compared with the sentencepiece library while a job runs; a difference stops it.
+words are encoded once, in batches, on several threads, and kept in a bounded table. Of pairs with equal
+scores sentencepiece merges the leftmost, a list of merges cannot: words in which such pairs can meet are
+merged here. While a job runs, the normalised form of every text and the ids of every word that
+enters the table are compared with the sentencepiece library; a difference stops it.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ import os
 import re
 import struct
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)     # fixed v
 UNIGRAM, BPE = 1, 2                                                    # fixed values: model types
 BATCH_BYTES = 2 << 20
 THREADS = 2
+# fixed value: appended to a model file it leaves out character map, dummy prefix and squeezing (fields of a repeated
+# message merge, the last value counts)
+NO_NORMALISER = b"\x1a\x08\x12\x00\x18\x00\x20\x00\x28\x01"
 
 
 class ParityError(RuntimeError):
@@ -113,6 +121,25 @@ def bpe_merges(m: PieceModel) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
+def leftmost_merges(text: str, scores: dict[str, float]) -> list[str]:
+    """Symbols of a text as sentencepiece merges them: the best score first, of equal ones the leftmost pair."""
+    parts: list[str | None] = list(text)
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap = [(-scores[text[i:i + 2]], i, i + 1, text[i:i + 2]) for i in range(len(parts) - 1) if text[i:i + 2] in scores]
+    heapify(heap)
+    while heap:
+        _, i, j, whole = heappop(heap)
+        if parts[i] is None or j >= len(parts) or parts[j] is None or after[i] != j or parts[i] + parts[j] != whole:
+            continue
+        parts[i], parts[j], after[i] = whole, None, after[j]
+        if after[i] < len(parts):
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < len(parts) and parts[a] + parts[b] in scores:
+                heappush(heap, (-scores[parts[a] + parts[b]], a, b, parts[a] + parts[b]))
+    return [p for p in parts if p is not None]
+
+
 def build_tokenizer(m: PieceModel):
     """tokenizers.Tokenizer on texts whose spaces are already markers."""
     from tokenizers import Tokenizer, models
@@ -151,6 +178,14 @@ class Codec:
         self.normalise = Normaliser(self.model)
         self.tokenizer = build_tokenizer(self.model)
         self.split = re.compile(rb" *[^ \n]+| +|\n").findall if self.model.by_words else (lambda t: [t] if t else [])
+        self.merged = {p: (i, s) for i, (p, s, t) in enumerate(zip(self.model.pieces, self.model.scores, self.model.types))
+                       if t == NORMAL} if self.model.kind == BPE else {}
+        self.scores = {p: s for p, (_, s) in self.merged.items()}
+        self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.model.pieces, self.model.types)) if t == BYTE}
+        long = [p for p in self.merged if len(p) > 1]
+        count = Counter(self.scores[p] for p in long)
+        tied = sorted((p for p in long if count[self.scores[p]] > 1), key=len)
+        self.tied = re.compile("|".join(map(re.escape, tied))).search if tied else lambda _: None
         self.table = ChunkTable(self._learn, "I", **limits)
         values = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode()
                   for p, t in zip(self.model.pieces, self.model.types)]
@@ -160,13 +195,53 @@ class Codec:
 
     def _learn(self, chunks: list[bytes]) -> list[list[int]]:
         texts = [c.decode("utf-8", "replace").replace(" ", MARK) for c in chunks]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for k, t in enumerate(texts):
+            if self.merged and self._ties(t):
+                out[k] = self._leftmost(t)
+        for t, mine, theirs in zip(texts, out, self.peers[1].encode(texts, num_threads=1)):
+            if mine != theirs:
+                raise ParityError(f"ids differ on a word of {len(t)} characters: {t[:80]!r}")
+        return out
+
+    def _ties(self, text: str) -> bool:
+        """Whether equal scores can meet: pieces that share a score, or a piece of several cuts, hence of three characters
+        or more, at two places (then three characters are)."""
+        return len(text) > 3 and len(set(zip(text, text[1:], text[2:]))) < len(text) - 2 or self.tied(text) is not None
+
+    def _leftmost(self, text: str) -> list[int]:
+        ids: list[int] = []
+        for p in leftmost_merges(text, self.scores):
+            if p in self.merged:
+                ids.append(self.merged[p][0])
+            elif self.model.byte_fallback:
+                ids += [self.bytes[b] for b in p.encode()]
+            elif ids[-1:] != [self.model.unknown_id]:
+                ids.append(self.model.unknown_id)
+        return ids
+
+    @cached_property
+    def peers(self):
+        """The sentencepiece library on the model file, and on texts that are normalised already."""
+        import sentencepiece
+
+        with open(self.path, "rb") as f:
+            raw = f.read()
+        return (sentencepiece.SentencePieceProcessor(model_proto=raw),
+                sentencepiece.SentencePieceProcessor(model_proto=raw + NO_NORMALISER))
+
+    def _normalised(self, texts: list[bytes]) -> list[bytes]:
+        out = [self.normalise(t) for t in texts]
+        for t, mine, theirs in zip(texts, out, self.peers[0].normalize([t.decode("utf-8", "replace") for t in texts])):
+            if mine.decode("utf-8", "replace").replace(" ", MARK) != theirs:
+                raise ParityError(f"normalised forms differ on a text of {len(t)} bytes: {t[:80]!r}")
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each text."""
         chunks, counts = [], np.empty(len(texts), dtype=np.int64)
-        for k, t in enumerate(texts):
-            own = self.split(self.normalise(t))
+        for k, t in enumerate(self._normalised(texts)):
+            own = self.split(t)
             counts[k] = len(own)
             chunks += own
         return self.table.gather_texts(chunks, counts)
@@ -183,13 +258,9 @@ class Codec:
 
     def verify(self, texts: list[bytes]) -> None:
         """Raise ParityError unless the sentencepiece library gives the same ids."""
-        import sentencepiece
-
-        if not hasattr(self, "_peer"):
-            self._peer = sentencepiece.SentencePieceProcessor(model_file=self.path)
         ids, counts = self.encode(texts)
         own = np.split(ids, np.cumsum(counts)[:-1]) if texts else []
-        for t, mine, theirs in zip(texts, own, self._peer.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)):
+        for t, mine, theirs in zip(texts, own, self.peers[0].encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)):
             if mine.tolist() != theirs:
                 raise ParityError(f"ids differ on a text of {len(t)} bytes: {t[:80]!r}")
 
@@ -243,7 +314,8 @@ def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
     """Per document: doc_id, n_ids, ids_crc32 (little-endian uint32), n_bytes decoded, round_trip.
 
     ``round_trip``: the decoded ids are the normalised text, byte for byte. Null texts count as empty: no ids,
-    round trip true. One text of each batch of some megabytes is compared with the sentencepiece library.
+    round trip true. Every text is compared with the sentencepiece library: its normalised form, and its words as
+    they enter the table; one text of each batch of some megabytes also as a whole.
     Repeated rows repeat; only doc_id and text are read.
     """
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()),

@@ -41,6 +41,25 @@ def test_ids_and_round_trip_against_the_library(peer, texts):
     assert split(*small.encode(own[-14:])) == peer.encode(HARD)
 
 
+def test_equal_scores_merge_leftmost(peer):
+    """Runs of the space marker share one score; so do the cuts of a piece that stands at two places."""
+    runs = [a + " " * n + b for n in range(2, 65) for a in ("", "x", "x\n") for b in ("", "x", "\n")]
+    again = ["a" * n for n in range(2, 40)] + ["ab" * 9, "-=" * 20, "banana" * 3, "é日" * 9, "\t" * 9, "/" * 33 + "x"]
+    c = Codec(PATH)
+    assert split(*c.encode([t.encode() for t in runs + again])) == peer.encode(runs + again)
+
+
+def test_every_word_is_compared(monkeypatch):
+    c = Codec(PATH)
+    monkeypatch.setattr(c, "_ties", lambda t: False)        # merges in list order, wrong on runs of 17 spaces
+    with pytest.raises(ParityError):
+        c.encode([b"first text", b"second", b"x" + b" " * 17])
+    c = Codec(PATH)
+    monkeypatch.setattr(c, "normalise", lambda t: t)        # no dummy prefix
+    with pytest.raises(ParityError):
+        c.encode([b"first text"])
+
+
 def test_parity_check_notices(monkeypatch):
     c = Codec(PATH)
     c.verify([b"fine text"])
