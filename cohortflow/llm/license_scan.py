@@ -2,7 +2,8 @@
 
 A text is lower-cased (A-Z), cut into words and joined again with single spaces, so every
 signature is one regular expression over plain words. A rule runs only on texts that hold
-all of its keywords (a hash intersection of the text's words with the rule keywords).
+all of its keywords (a hash intersection of the text's words with the rule keywords). Keywords are words
+that every match holds: a signature whose alternatives share none has one rule per keyword set.
 Its hits become word intervals; an interval inside one of the same or a better priority is
 suppressed. Base phrases are always reported.
 
@@ -13,6 +14,7 @@ repeated rows; other columns of the input are not read, so clashing names do not
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -171,6 +173,35 @@ _SINGLES = [
 ]
 
 
+# words that stand in too many texts to be keywords of their own, if a signature has others
+_COMMON = set("the of and or under by to in is as be for any with this that terms released distributed available covered "
+              "software public version without source new original do what you".split())
+
+
+def _variants(regex: str) -> set[str]:
+    """Alternatives of a signature without its optional parts; words that are not sure to stand whole hold a mark."""
+    found = re.search(r"\(\?:([^()]*)\)(\??)", regex)
+    if found:
+        options = found[1].split("|")
+        apart = all(o.endswith(" ") for o in options) or all(o.startswith(" ") for o in options)
+        swap = ["" if apart else "~"] if found[2] else options
+        return set().union(*[_variants(regex[:found.start()] + o + regex[found.end():]) for o in swap])
+    found = re.search(r"\[([a-z]+)\]", regex)
+    if found:
+        return set().union(*[_variants(regex[:found.start()] + o + regex[found.end():]) for o in found[1]])
+    return set(re.sub(r"(\S*) \?", r"~\1~", regex).split("|"))
+
+
+def keyword_sets(regex: str, wanted: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Keyword sets of which every match holds one: of each alternative the wanted words, else its rarest looking word."""
+    out = set()
+    for v in _variants(regex):
+        words = [w for w in v.split() if re.fullmatch("[a-z0-9]+", w)]
+        own = tuple(w for w in wanted if w in words)
+        out.add(own or (min(words, key=lambda w: (w in _COMMON, w.isdigit(), w.startswith("licen"), -len(w), w)),))
+    return sorted(s for s in out if not any(set(o) < set(s) for o in out))
+
+
 def _rules() -> tuple[Rule, ...]:
     out = []
     for label, spdx, keyword, full, bare in _FAMILIES:
@@ -182,7 +213,7 @@ def _rules() -> tuple[Rule, ...]:
             out.append(Rule(label, NAMED, (bare.split()[0],) if bare[0].isalpha() and "|" not in bare
                             else (keyword,), bare))
     out += [Rule(label, p, tuple(k.split()), rx) for label, p, k, rx in _SINGLES]
-    return tuple(out)
+    return tuple(Rule(r.label, r.priority, k, r.regex) for r in out for k in keyword_sets(r.regex, r.keywords))
 
 
 RULES = _rules()

@@ -38,6 +38,35 @@ def check(rows, by_id):
         assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(base or kept)
 
 
+UNGATED = ["released under GPL v2", "GPL v3", "expat license", "zero clause BSD", "ASL 2.0", "CC zero", "end user license agreement",
+           "licenced under", "Creative Commons Attribution Share Alike", "Creative Commons Attribution NoDerivs",
+           "Creative Commons Attribution non commercial share alike", "PNG reference library license",
+           "Boost Software License version 1.0", "unauthorised copying of this file", "released under the expat licence"]
+
+
+def test_keywords_never_hide_a_match(spark, texts):
+    """Every signature on every text without its keywords finds what the gated scan finds."""
+    signatures = tuple(Rule(r.label, r.priority, (), r.regex) for r in dict.fromkeys((Rule(r.label, r.priority, (), r.regex) for r in RULES)))
+    plain = sorted({v for r in RULES for v in expanded(r.regex)})
+    own = UNGATED + plain + [t for t in list(texts.values())[:150] if t]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in license_report(df).collect()}
+    for k, t in enumerate(own):
+        _, base, kept = brute(t, signatures)
+        assert got[k] == {b for _, b in base} | {s[4] for s in kept}, t
+        assert got[k] or k >= len(UNGATED), t
+
+
+def expanded(regex):
+    """Texts that a signature matches: every alternative and class, optional parts left out and put in."""
+    m = re.search(r"\(\?:([^()]*)\)(\??)", regex) or re.search(r"\[([a-z]+)\]()", regex) or re.search(r"(.)(\?)", regex)
+    if not m:
+        return {v.replace(r"\d", "2") for v in regex.split("|")}
+    options = m[1].split("|") if m[0].startswith("(") else list(m[1])
+    options = [options[0], options[-1], *([""] if m[2] else [])] if "(" in regex[m.end():] else [*options, *([""] if m[2] else [])]
+    return set().union(*[expanded(regex[:m.start()] + o + regex[m.end():]) for o in options])
+
+
 def test_hundreds_of_rules():
     assert len(RULES) >= 200 and {r.priority for r in RULES} == {0, 1, 2, 3}
 
