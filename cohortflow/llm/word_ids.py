@@ -2,7 +2,8 @@
 
 The tokenizer drops white space and never merges across it, so a text's ids are the ids of
 its white-space separated chunks, and a chunk that ends in a letter followed by ASCII
-punctuation is the ids of both parts.
+punctuation is the ids of both parts. The letter has to be one in lower case too: that of a capital I with a
+dot ends in a mark, which joins the punctuation.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ class WordIds:
         parts = []
         for w in chunks:
             core = w.rstrip(TAIL)
-            whole = len(core) == len(w) or not core or not core.decode("utf-8", "replace")[-1].isalpha()
+            whole = len(core) == len(w) or not core or not core.decode("utf-8", "replace")[-1:].lower()[-1:].isalpha()
             parts.append((w, b"") if whole else (core, w[len(core):]))
         fresh = list({p for pair in parts for p in pair if p and p not in self.table.place})
         known = dict(zip(fresh, self._ids(fresh)))

@@ -78,6 +78,13 @@ def test_word_table_gives_the_tokenizers_ids(tokenizer):
         assert ids.tolist() == [i for t in texts for i in ids_of(tokenizer, t)]
 
 
+def test_capital_i_with_dot_before_punctuation(tokenizer):
+    """Its lower case ends in a mark, and the tokenizer keeps a mark and the punctuation behind it together."""
+    for t in ["HAKKI VE DENİZİ, SON", "İ. İ, İ? aİ! xİ;.", "İ̇, É, é. ß!", "DENİZ, DENİZİ."]:
+        ids, _ = WordIds(PATH).encode([t.encode()])
+        assert ids.tolist() == ids_of(tokenizer, t), t
+
+
 def test_knapsack_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(20):
