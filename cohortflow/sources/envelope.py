@@ -64,15 +64,21 @@ def _read_avro(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TEXT_SCHEMA).json(rdd.map(lambda kv: kv[0]))
 
 
-# records whose keys decide whether a JSON file is an envelope
+# records that are tried first: if they hold every column, the rest need not be read for the check
 HEADER_RECORDS = 1000
 
 
+def _missing_keys(lines: DataFrame) -> list[str]:
+    """Envelope columns that no JSON line holds (writers leave null fields out of single records)."""
+    keys = lines.select(F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("k"))
+    found = {r["k"] for r in keys.where(F.col("k").isin(ENVELOPE_COLUMNS)).distinct().collect()}
+    return [c for c in ENVELOPE_COLUMNS if c not in found]
+
+
 def _read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with the payload as text; the columns are checked on the first records."""
-    head = spark.read.text(path).limit(HEADER_RECORDS)
-    keys = head.select(F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("k")).distinct().collect()
-    missing = [c for c in ENVELOPE_COLUMNS if c not in {r["k"] for r in keys}]
+    """JSON lines with the payload as text; a column is missing if no record of the file holds it."""
+    lines = spark.read.text(path)
+    missing = _missing_keys(lines.limit(HEADER_RECORDS)) and _missing_keys(lines)
     if missing:
         raise InvalidEnvelope(missing)
     return spark.read.schema(TEXT_SCHEMA).json(path)

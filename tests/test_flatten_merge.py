@@ -137,6 +137,14 @@ def test_json_and_typed_payloads_flatten_alike(spark):
     assert (b["d"], b["b"], b["n"], b["t"], b["z"], b["l"], b["state"]) == ("23", "TRUE", "1;2;3.5", "true", None, None, "a")
 
 
+def test_json_columns_may_first_appear_in_late_records(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "late.json")
+    rows = [{"name": "x", "object": {"a": 1}} for _ in range(1500)] + [{"id": "1", "name": "x", "relations": []}]
+    with open(path, "w") as f:
+        f.writelines(json.dumps(r) + "\n" for r in rows)
+    assert read_entities(spark, path).where("id = '1'").count() == 1
+
+
 def test_json_files_keep_each_entitys_own_columns(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, "own.json")
     with open(path, "w") as f:
