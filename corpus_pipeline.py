@@ -34,8 +34,11 @@ def _restored(carried: DataFrame, docs: DataFrame, text: str = "__row.text") ->
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language (null texts, no letters) go."""
-    found = predict_languages(_carried(docs), fit_on_documents(docs))
+    """Documents without a recognised language (null texts, no letters) go; without labels to learn from only these."""
+    model = fit_on_documents(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = predict_languages(_carried(docs), model)
     return _restored(found.where(F.col("lang_pred") != UNKNOWN), docs)
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cohortflow.llm.common import settle
 from cohortflow.llm.pii import personal_data_report
@@ -31,6 +33,12 @@ def test_stages_take_effect(spark, documents):
     assert sorted({r["doc_id"] for r in packed.collect()}) == ids("personal_data")
 
 
+def test_tables_without_labels_keep_texts_with_letters(spark, awkward):
+    rows = awkward.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_stage(spark, rows, SF)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 6, 7, 8, 8, 9, 10, None], key=str)
+
+
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
