@@ -8,14 +8,13 @@ graph for a few rounds: a pattern's is the trusted share of all its places, an u
 identifier's is the mean of its patterns'. Words that follow a high-confidence pattern
 are reported with the pattern's kind, unless a base span covers them.
 
-A pattern must precede at least SUPPORT_SHARE of its kind's seed entities, hence at most
-1 / SUPPORT_SHARE patterns of a kind exist at any corpus size. Only these reach the driver.
+A pattern must precede MIN_SUPPORT different seed entities in MIN_SUPPORT different texts, whatever the size of
+the corpus and however often a text is copied. Patterns stay DataFrames: the optimiser sends small tables to
+all tasks and deals large ones out by pattern.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +30,12 @@ FORMS = {
 }
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 
-MIN_SUPPORT = 5             # different seed entities that a pattern precedes, at least
-SUPPORT_SHARE = 0.005       # and at least this share of its kind's seed mentions
+MIN_SUPPORT = 5             # different seed entities that a pattern precedes, and different texts, at least
 CONFIDENCE = 0.5            # reliability from which a pattern is used
 ROUNDS = 3
 IDENTIFIER_CHARS = 5        # shortest unseen identifier
 NO_SPANS = "array<struct<start:int,kind_no:int,stop:int>>"
+PATTERNS = "pattern string, kind string, trust double"
 
 
 def _digits(c: Column) -> Column:
@@ -88,66 +87,55 @@ def _before(words: Column, i: Column) -> Column:
 
 
 def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Identifier-like words with their patterns: pattern, kind (null: unseen), instance."""
+    """Identifier-like words with their patterns: pattern, kind (null: unseen), instance, page (of the text)."""
     words = docs.where(F.col(text_col).rlike("[0-9@]")).select(
-        F.regexp_extract_all(text_col, F.lit(NON_SPACE), F.lit(0)).alias("words"))
+        F.regexp_extract_all(text_col, F.lit(NON_SPACE), F.lit(0)).alias("words"),
+        F.xxhash64(text_col).alias("page"))
     marked = F.filter(F.transform("words", lambda w, i: F.struct(
         F.when(w.rlike(r"^\+[0-9]"), F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2)))
         .when(w.rlike("[0-9@]"), _trimmed(w)).alias("instance"), F.when(w.rlike("[0-9@]"), _before(F.col("words"), i))
         .alias("pattern"))), lambda x: x["pattern"].isNotNull())
-    rows = words.select(F.explode(marked).alias("x")).select("x.pattern", "x.instance")
-    return rows.select("pattern", _word_kind(F.col("instance")).alias("kind"), "instance").where(
+    rows = words.select("page", F.explode(marked).alias("x")).select("x.pattern", "x.instance", "page")
+    return rows.select("pattern", _word_kind(F.col("instance")).alias("kind"), "instance", "page").where(
         F.col("kind").isNotNull() | (F.length("instance") >= IDENTIFIER_CHARS) & F.col("instance").rlike("[0-9]"))
 
 
 def pattern_places(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
-    """How often each of the (few) patterns stands before any word, over all texts."""
+    """How often each of the patterns stands before any word, over all texts."""
     words = docs.select(F.regexp_extract_all(text_col, F.lit(NON_SPACE), F.lit(0)).alias("words"))
     at = words.select(F.explode(F.transform("words", lambda w, i: _before(F.col("words"), i))).alias("pattern"))
-    return at.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("places"))
+    return at.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("places"))
 
 
-def bootstrap_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> list[tuple[str, str, float]]:
-    """High-confidence patterns (pattern, kind, reliability), at most 1 / SUPPORT_SHARE of a kind."""
-    spark = docs.sparkSession
-    edges = settle(mentions(docs).groupBy("pattern", "kind", "instance").agg(F.count("*").alias("n")), "mentions")
-    seeds = edges.where("kind IS NOT NULL")
-    totals = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return []
-    least = F.greatest(F.lit(MIN_SUPPORT), F.ceil(F.lit(SUPPORT_SHARE) * F.element_at(
-        F.create_map(*[F.lit(x) for kv in totals.items() for x in kv]), F.col("kind"))))
-    support = [(r["pattern"], r["kind"]) for r in seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-               .where(F.col("seeds") >= least).select("pattern", "kind").collect()]
-    if not support:
-        return []
-    frame = spark.createDataFrame(support, "pattern string, kind string")
-    places = {r["pattern"]: r["places"] for r in
-              pattern_places(docs, frame.select("pattern").distinct()).collect()}
+def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
+    """High-confidence patterns: pattern, kind, trust; of a pattern's kinds the most trusted."""
+    places_of = settle(mentions(docs).groupBy("pattern", "kind", "instance", "page").agg(F.count("*").alias("n")), "mentions")
+    support = settle(places_of.where("kind IS NOT NULL").groupBy("pattern", "kind")
+                     .agg(F.countDistinct("instance").alias("seeds"), F.countDistinct("page").alias("pages"))
+                     .where(F.least("seeds", "pages") >= MIN_SUPPORT).select("pattern", "kind"), "support")
+    places = settle(pattern_places(docs, support.select("pattern").distinct()), "places")
     # the graph: a pattern of a kind, its seeds of this kind and its unseen identifiers
-    other = edges.withColumnRenamed("kind", "seed_kind")
-    graph = settle(other.join(F.broadcast(frame), "pattern").where("seed_kind IS NULL OR seed_kind = kind")
+    other = places_of.groupBy("pattern", F.col("kind").alias("seed_kind"), "instance").agg(F.sum("n").alias("n"))
+    graph = settle(other.join(support, "pattern").where("seed_kind IS NULL OR seed_kind = kind")
                    .select("pattern", "kind", "instance", F.col("seed_kind").isNotNull().alias("seed"), "n"), "graph")
-    trust = {}
+    trust = support.withColumn("trust", F.lit(0.0))
     for _ in range(rounds):
-        known = spark.createDataFrame([(p, k, trust.get((p, k), 0.0)) for p, k in support],
-                                      "pattern string, kind string, trust double")
-        instances = (graph.join(F.broadcast(known), ["pattern", "kind"]).groupBy("kind", "instance")
+        instances = (graph.join(trust, ["pattern", "kind"]).groupBy("kind", "instance")
                      .agg(F.when(F.max("seed"), 1.0).otherwise(F.sum(F.col("n") * F.col("trust")) / F.sum("n")).alias("trust")))
-        found = (graph.join(instances, ["kind", "instance"]).groupBy("pattern", "kind")
-                 .agg(F.sum(F.col("n") * F.col("trust")).alias("trusted")).collect())
-        trust = {(r["pattern"], r["kind"]): r["trusted"] / max(places.get(r["pattern"], 0), 1) for r in found}
-    best: dict[str, tuple[float, str]] = {}
-    for (p, k), t in trust.items():
-        if t >= confidence:
-            best[p] = max(best.get(p, (0.0, "")), (t, k))
-    return sorted((p, k, t) for p, (t, k) in best.items())
-
-
-def _discovered(text: Column, base: Column, patterns: list[tuple[str, str, float]]) -> Column:
-    """Identifier-like words after a high-confidence pattern, as spans like the base ones."""
-    table = F.from_json(F.lit(json.dumps([{"p": p, "k": KINDS.index(k)} for p, k, _ in patterns])),
-                        "array<struct<p:string,k:int>>")
+        trust = settle(graph.join(instances, ["kind", "instance"]).groupBy("pattern", "kind")
+                       .agg(F.sum(F.col("n") * F.col("trust")).alias("trusted")).join(places, "pattern")
+                       .select("pattern", "kind", (F.col("trusted") / F.col("places")).alias("trust")), "trust")
+    best = trust.where(F.col("trust") >= confidence).groupBy("pattern").agg(F.max(F.struct("trust", "kind")).alias("best"))
+    return settle(best.select("pattern", "best.kind", "best.trust"), "patterns")
+
+
+def bootstrap_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> list[tuple[str, str, float]]:
+    """``learn_patterns`` as a sorted list, to look at; jobs pass the DataFrame on."""
+    return sorted(tuple(r) for r in learn_patterns(docs, rounds, confidence).collect())
+
+
+def _candidates(text: Column, base: Column) -> Column:
+    """Identifier-like words that no base span touches: array of (pattern, start, stop), or null for none."""
     words = F.regexp_extract_all(text, F.lit(NON_SPACE), F.lit(0))
     packed = F.array(F.struct(words.alias("w"), F.split(text, NON_SPACE, -1).alias("gaps")))
 
@@ -155,32 +143,46 @@ def _discovered(text: Column, base: Column, patterns: list[tuple[str, str, float
         steps = F.transform(x["w"], lambda w, i: F.struct(F.length(F.get(x["gaps"], i)).alias("gap"), F.length(w).alias("size")))
         rows = F.transform(running_spans(steps), lambda s, i: F.struct(
             s["start"].alias("start"), F.get(x["w"], i).alias("w"), F.when(
-                F.get(x["w"], i).rlike("[0-9]"),
-                F.get(F.filter(table, lambda t: t["p"] == _before(x["w"], i)), F.lit(0))["k"]).alias("k")))
-        hits = F.filter(rows, lambda r: r["k"].isNotNull() & (F.length(_trimmed(r["w"])) >= IDENTIFIER_CHARS))
-        return F.transform(hits, lambda r: F.aggregate(F.array(
-            r["start"] + F.length(r["w"]) - F.length(F.regexp_replace(r["w"], r"^[(\[<\"']++", ""))),
-            F.struct(F.lit(0).alias("start"), F.lit(0).alias("kind_no"), F.lit(0).alias("stop")),
-            lambda _, s: F.struct(s.alias("start"), r["k"].alias("kind_no"), (s + F.length(_trimmed(r["w"]))).alias("stop"))))
+                F.get(x["w"], i).rlike("[0-9]"), _before(x["w"], i)).alias("pattern")))
+        hits = F.filter(rows, lambda r: r["pattern"].isNotNull() & (F.length(_trimmed(r["w"])) >= IDENTIFIER_CHARS))
+        placed = F.transform(hits, lambda r: F.struct(
+            r["pattern"].alias("pattern"),
+            (r["start"] + F.length(r["w"]) - F.length(F.regexp_replace(r["w"], r"^[(\[<\"']++", ""))).alias("start"),
+            F.length(_trimmed(r["w"])).alias("size")))
+        return F.transform(placed, lambda r: F.struct(r["pattern"].alias("pattern"), r["start"].alias("start"),
+                                                      (r["start"] + r["size"]).alias("stop")))
 
     free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    gate = F.exists(table, lambda t: F.contains(F.lower(F.regexp_replace(text, r"[\x20\x09-\x0D]++", " ")), t["p"]))
-    return F.when(text.rlike("[0-9]") & gate, F.filter(F.transform(packed, spans)[0], free))
+    return F.when(text.rlike("[0-9]"), F.filter(F.transform(packed, spans)[0], free))
+
 
+def _discovered(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
+    """Words after a pattern, by text: page (the text's hash) and more (spans like the base ones)."""
+    text = F.col(text_col)
+    words = docs.where(text.rlike("[0-9]")).select(
+        F.sha2(text, 256).alias("page"), F.explode(_candidates(text, base_spans(text))).alias("x")).select("page", "x.*")
+    kinds = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
+    found = words.join(patterns.select("pattern", F.element_at(kinds, F.col("kind")).alias("kind_no")), "pattern")
+    return settle(found.groupBy("page").agg(F.collect_set(F.struct("start", "kind_no", "stop")).alias("more")), "found")
 
-def find_personal_data(docs: DataFrame, patterns: list[tuple[str, str, float]] | None = None,
+
+def find_personal_data(docs: DataFrame, patterns: DataFrame | list[tuple[str, str, float]] | None = None,
                        text_col: str = "text") -> DataFrame:
     """The input with ``base`` and ``spans``: sorted arrays of (start, kind number, stop), in code points.
 
-    ``patterns`` come from ``bootstrap_patterns``; null learns them from ``docs``.
+    ``patterns`` come from ``learn_patterns`` or ``bootstrap_patterns``; null learns them from ``docs``.
     """
-    learned = bootstrap_patterns(docs) if patterns is None else patterns
+    learned = learn_patterns(docs) if patterns is None else patterns
+    if isinstance(learned, list):
+        learned = docs.sparkSession.createDataFrame(learned, PATTERNS)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("base", base_spans(text))
-    if not learned:
-        return found.withColumn("spans", F.col("base"))
-    more = _discovered(text, F.col("base"), learned)
-    return found.withColumn("spans", F.array_sort(F.concat("base", F.coalesce(more, F.array().cast(NO_SPANS)))))
+    more = _discovered(docs, learned, text_col)
+    none = F.array().cast(NO_SPANS)
+    # a text is joined with what was found in it by its hash
+    joined = docs.withColumn("__page", F.sha2(text, 256)).join(more.select(F.col("page").alias("__page"), F.col("more").alias(
+        "__more")), "__page", "left")
+    found = joined.withColumn("base", base_spans(text))
+    return found.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("__more", none)))).drop("__page", "__more")
 
 
 def _listed(spans: Column) -> Column:

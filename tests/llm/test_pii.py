@@ -74,6 +74,17 @@ def test_patterns_learned_from_seeds_find_unseen_identifiers(spark):
     assert all(found[1000 + i]["m"] == found[1000 + i]["text"] for i in range(60))
 
 
+def test_support_does_not_grow_with_the_corpus_or_with_copies(spark):
+    rare = [f"ask our desk {i} write to u{i}@rare.org ok" for i in range(8)] + ["ask our desk write to AB-12345 ok"]
+    many = [f"common mail v{i}@x.org ok" for i in range(2500)] + ["one page mail w@x.org ok"] * 1500
+    copied = ["".join(f" see page w{i}@copy.org" for i in range(9))] * 50
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rare + many + copied)], "doc_id long, text string")
+    patterns = {(p, k) for p, k, _ in bootstrap_patterns(df)}
+    assert patterns == {("write to", "email"), ("common mail", "email")}
+    spans = {r["doc_id"]: r["spans"] for r in personal_data_report(df).collect()}
+    assert spans[8] == "email:22:30" and len(spans) == df.count()
+
+
 def test_mask_overlaps_and_nulls(spark):
     df = spark.createDataFrame([(1, "call +1 555 555 55.10.0.0 now"), (2, None), (3, "plain")], "doc_id long, text string")
     rows = {r["doc_id"]: r["m"] for r in find_personal_data(df, []).withColumn("m", mask(F.col("text"), F.col("spans"))).collect()}
