@@ -287,7 +287,7 @@ def _twice_in_groups(batches, length: int):
     for batch in batches:
         table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
         kappa = table.column(0).to_numpy()
-        whole = int(np.searchsorted(-(kappa == kappa[-1]).astype(int), -1)) if len(kappa) else 0
+        whole = int((kappa != kappa[-1]).sum()) if len(kappa) else 0
         kept = table.slice(whole)           # the last kappa may go on in the next batch
         if whole:
             yield _runs_twice(table.slice(0, whole), length)

@@ -75,3 +75,15 @@ def test_places_are_the_same_in_any_batch():
     mine = among[1] == 2
     for a, b in zip(alone[2:5], among[2:5]):
         assert (a == b[mine] - 777).all()
+
+
+def test_groups_are_cut_between_whole_kappas(monkeypatch):
+    import pyarrow as pa
+
+    from cohortflow.llm import suffix_dedup
+
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "_runs_twice", lambda table, length: seen.append(table.column(0).to_pylist()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64())], names=["kappa"]) for k in ([1, 1, 2], [2, 2], [2, 3, 3, 4], [5])]
+    assert len(list(suffix_dedup._twice_in_groups(batches, 3))) == len(seen)
+    assert seen == [[1, 1], [2, 2, 2, 2, 3, 3], [4], [5]]
