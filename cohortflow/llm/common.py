@@ -38,14 +38,27 @@ def shared_dir(spark: SparkSession) -> str:
             or ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="cohortflow-", dir="/tmp")))
 
 
+def settled_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_settled(spark: SparkSession, path: str) -> None:
+    """Delete files of ``settled_path`` that no later job reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later jobs read the files, so a lost executor costs the tasks it ran and not the plan
     above, and rows numbered or hashed once keep their numbers on every later read.
     """
-    spark = df.sparkSession
-    schema, path = df.schema, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return settle_at(df, settled_path(df.sparkSession, name))
+
+
+def settle_at(df: DataFrame, path: str) -> DataFrame:
+    spark, schema = df.sparkSession, df.schema
     df.write.parquet(path)
     del df
     gc.collect()        # executors drop a plan's shuffle files once the driver has collected it
