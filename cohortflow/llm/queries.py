@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortflow.llm import sql
 from cohortflow.llm.ann import nearest
+from cohortflow.llm.centroids import clusters_report
 from cohortflow.llm.common import read_table, tokenizer_file
 from cohortflow.llm.language import identify_languages
 from cohortflow.llm.license_scan import license_report
 from cohortflow.llm.packing import pack_documents
+from cohortflow.llm.periodic_runs import runs_report
 from cohortflow.llm.pii import personal_data_report
 from cohortflow.llm.quality import quality_report
 from cohortflow.llm.sentencepiece_codec import codec_report
 from cohortflow.llm.simhash import near_duplicates
 from cohortflow.llm.suffix_dedup import repeats_report
 from cohortflow.llm.token_counts import count_tokens
+from cohortflow.llm.warc import archive_report
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +64,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters_report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_quality_rules, op3_personal_data, op4_simhash, op5_sentencepiece, op6_nearest_neighbours,
-        op7_token_counts, op8_suffix_dedup, op9_language_id, op10_best_fit_packing)
+        op7_token_counts, op8_suffix_dedup, op9_language_id, op10_best_fit_packing, op11_periodic_runs,
+        op12_centroid_clustering, op13_warc)
 }
 
-# None of the operators' whole results can be said in SQL; tests/llm compares them with brute force.
-ORACLE_SQL: dict[str, str] = {}
+# The other operators' whole results cannot be said in SQL; tests/llm compares them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op12_centroid_clustering": sql.centroid_clustering(),
+    "op13_warc": sql.archived_pages(),
+}
