@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from cohortflow.functions.datetime import find_datetime_col, parse_datetime
 from cohortflow.plans.prepare import prepare, status_text
 from cohortflow.plans import standins as si
-from conftest import SF_SMALL
+from fixture_paths import SF_SMALL
 
 
 def test_find_datetime_col_rules(spark):

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as E  # noqa: E402
 from cohortflow.plans.queries import QUERIES as LIBRARY_QUERIES  # noqa: E402
-from conftest import SF_SMALL  # noqa: E402
+from fixture_paths import SF_SMALL  # noqa: E402
 from oracle_check import TABLES, _rows  # noqa: E402
 
 QUERIES = dict(LIBRARY_QUERIES)
