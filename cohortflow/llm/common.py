@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cohortflow.session import ensure_checkpoint_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BATCH_CONF, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 # white space of the word rules, for Java and Python regular expressions alike
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -66,6 +67,15 @@ def settle_at(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes, not only the rows, that go to a Python worker at once, unless the session does so already.
+
+    Ten thousand long texts in one Arrow batch are held by the task, by the worker and by the buffers between them.
+    """
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(ARROW_BYTES))
+
+
 def text_slices(column, most: int):
     """Consecutive slices of an Arrow column of text or bytes: (first row, list of bytes), each of about ``most`` bytes.
 
@@ -80,24 +90,27 @@ def text_slices(column, most: int):
         first = stop
 
 
-def running_spans(steps: Column) -> Column:
-    """Spans from steps (gap before, size) of consecutive pieces: array of (start, stop), from 0.
+def scan_array(items: Column, zero: Column, move, out, kind: str) -> Column:
+    """Array of ``out(state, item)`` (type ``kind``) along ``items``, with ``move(state, item)`` as the next state; null if empty.
 
-    Spans are built 256 at a time, so that a text with very many pieces is not copied once per piece.
+    Results are gathered 256 at a time, so that a text with very many items is not copied once per item.
     """
-    zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-
-    def step(a, s):
-        start = a["at"] + s["gap"]
-        return F.struct((start + s["size"]).alias("at"), F.concat(a["out"], F.array(F.struct(
-            start.alias("start"), (start + s["size"]).alias("stop")))).alias("out"))
+    nothing = lambda deep: F.array().cast(f"array<{deep}>")
+    step = lambda a, x: F.struct(move(a["at"], x).alias("at"), F.concat(a["out"], F.array(out(a["at"], x))).alias("out"))
 
     def chunk(a, c):
-        done = F.aggregate(F.slice(steps, c * 256 + 1, 256), zero(a["at"]), step)
+        done = F.aggregate(F.slice(items, c * 256 + 1, 256), F.struct(a["at"].alias("at"), nothing(kind).alias("out")), step)
         return F.aggregate(F.array(done), a, lambda b, d: F.struct(
             d["at"].alias("at"), F.concat(b["out"], F.array(d["out"])).alias("out")))
 
-    chunks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / 256).cast("int"))
-    nested = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,stop:int>>>")
-                                          .alias("out")), chunk, lambda a: F.flatten(a["out"]))
-    return F.when(F.size(steps) > 0, nested)
+    chunks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / 256).cast("int"))
+    nested = F.aggregate(chunks, F.struct(zero.alias("at"), nothing(f"array<{kind}>").alias("out")), chunk,
+                         lambda a: F.flatten(a["out"]))
+    return F.when(F.size(items) > 0, nested)
+
+
+def running_spans(steps: Column) -> Column:
+    """Spans from steps (gap before, size) of consecutive pieces: array of (start, stop), from 0; null if there are none."""
+    start = lambda at, s: at + s["gap"]
+    return scan_array(steps, F.lit(0), lambda at, s: start(at, s) + s["size"], lambda at, s: F.struct(
+        start(at, s).alias("start"), (start(at, s) + s["size"]).alias("stop")), "struct<start:int,stop:int>")

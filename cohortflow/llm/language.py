@@ -21,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import text_slices
+from cohortflow.llm.common import bounded_batches, text_slices
 
 TRAIN_DOCS = 5000       # labelled documents of one language that the model is fitted on, at most (expected)
 BUCKETS = 1 << 15       # hashed n-grams of one language
 ORDERS = (2, 3, 4)
 PENALTY = 15.0          # nats that a change of language costs
 SCRIPT_SHARE = 0.001    # share of a language's letters from which it counts as written in a script
-MAX_WORDS = 200_000     # scored words that a worker keeps
+MAX_WORDS = 60_000      # scored words of one generation; a worker keeps two
 UNKNOWN = "und"
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 
 WORD = re.compile(r"[^\W\d_]+")
 # first code points of the ranges that tell scripts apart; a range ends where the next begins
@@ -76,6 +76,7 @@ class LanguageModel:
     penalty: float = PENALTY
     _known: dict = field(default_factory=dict, repr=False)
     _scores: list = field(default_factory=list, repr=False)
+    _old: tuple | None = field(default=None, repr=False)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
@@ -90,17 +91,26 @@ class LanguageModel:
 
     def _lookup(self, words: list[str]) -> np.ndarray:
         missing = list(set(words) - self._known.keys())
+        if missing and len(self._known) + len(missing) > MAX_WORDS:
+            # words met again move on to the next generation, the others are forgotten with the old one
+            self._old = (self._known, np.concatenate(self._scores)) if self._scores else None
+            self._known, self._scores, missing = {}, [], list(set(words))
         if missing:
-            if len(self._known) + len(missing) > MAX_WORDS:
-                self._known, self._scores, missing = {}, [], list(set(words))
-            base = len(self._known)
-            self._known.update(zip(missing, range(base, base + len(missing))))
-            self._scores.append(self.word_scores(missing).astype(np.float32))
+            if self._old:
+                again = [w for w in missing if w in self._old[0]]
+                self._add(again, self._old[1][np.fromiter(map(self._old[0].__getitem__, again), np.int64, len(again))])
+                missing = [w for w in missing if w not in self._known]
+            self._add(missing, self.word_scores(missing).astype(np.float32))
             if len(self._scores) > 8:
                 self._scores = [np.concatenate(self._scores)]
         at = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
         return np.concatenate(self._scores)[at].astype(np.float64) if self._scores else np.zeros((0, len(self.languages)))
 
+    def _add(self, words: list[str], scores: np.ndarray) -> None:
+        base = len(self._known)
+        self._known.update(zip(words, range(base, base + len(words))))
+        self._scores.append(scores)
+
     def label(self, word_lists: list[list[str]]) -> list[np.ndarray]:
         """Language number of every word of every text (texts without words: empty)."""
         sizes = np.array([len(w) for w in word_lists], dtype=np.int64)
@@ -233,6 +243,7 @@ def language_spans(text: str | None, model: LanguageModel) -> list[tuple[int, in
 
 def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The input with lang_pred and score added (columns of these names must not exist)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)     # BUCKETS numbers of each language
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import NON_SPACE, text_slices
+from cohortflow.llm.common import NON_SPACE, bounded_batches, text_slices
 
 MIN_WORDS = 6
 MIN_EXPONENT = 4            # three at least, see the block comparison
@@ -195,6 +195,7 @@ def periodic_runs(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col
     """
     if min_exponent < 3:
         raise ValueError("min_exponent is three at least")
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), F.col(text_col).cast("binary").alias("text"))
 
     def scan(batches):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import settle, text_slices
+from cohortflow.llm.common import bounded_batches, settle, text_slices
 from cohortflow.llm.components import connected_components
 
 SEED = 42
@@ -61,6 +61,7 @@ def text_fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    bounded_batches(docs.sparkSession)
     @F.arrow_udf("long")
     def fingerprint(texts: pa.Array) -> pa.Array:
         return pa.array([text_fingerprint(t, shingle) for _, part in text_slices(texts, BATCH_BYTES) for t in part], pa.int64())

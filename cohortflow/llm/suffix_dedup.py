@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.llm.common import settle, text_slices
+from cohortflow.llm.common import bounded_batches, settle, text_slices
 
 GRAM = 16
 PIECE = 16
@@ -130,6 +130,7 @@ def _width(n: int) -> int:
 
 def _keyed(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
     """Text bytes with the key of their content: 64 bits, and 16 more in ``tag``."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(*more, F.xxhash64(text).alias("key"), F.hash(text).cast("long").bitwiseAND(F.lit(0xFFFF)).alias("tag"),
                        text.cast("binary").alias("bytes"))

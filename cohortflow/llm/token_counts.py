@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm.chunks import ChunkTable
-from cohortflow.llm.common import text_slices
+from cohortflow.llm.common import bounded_batches, text_slices
 from cohortflow.llm.sentencepiece_codec import MARK, Normaliser, PieceModel, read_model
 
 UNKNOWN_PENALTY = 10.0
@@ -116,6 +116,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     Null and empty texts have no tokens and score 0. Repeated rows repeat; other columns are not read.
     """
 
+    bounded_batches(docs.sparkSession)
     @F.arrow_udf("struct<n_tokens:bigint,path_score:double>")
     def count(texts: pa.Array) -> pa.Array:
         parts = [counter(model_path).count(part) for _, part in text_slices(texts, BATCH_BYTES)]
