@@ -1,9 +1,10 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from cohortflow.llm.pii import KINDS, bootstrap_patterns, find_personal_data, mask, personal_data_report
+from cohortflow.llm.pii import KINDS, _possible, bootstrap_patterns, find_personal_data, mask, personal_data_report
 
 
 def luhn(s):
@@ -74,6 +75,29 @@ def test_patterns_learned_from_seeds_find_unseen_identifiers(spark):
     assert all(found[1000 + i]["m"] == found[1000 + i]["text"] for i in range(60))
 
 
+def test_seeds_and_identifiers_of_several_words(spark):
+    card = lambda i: next(f"4111 1111 {i:04d} {k:04d}" for k in range(10000) if luhn(f"41111111{i:04d}{k:04d}"))
+    seen = [f"please charge my card {card(i)} today and ring the office on +49 (30) 1234-{1000 + i} or write to the box u{i}@x.org soon"
+            for i in range(12)]
+    seen[3] = seen[3].replace(card(3), card(3).replace(" ", "-"))
+    more = ["charge my card 4111 1111 1111 1112, thanks", "the office on 030 1234567 ok", "the office on (555) 123 - 4567.",
+            "to the box jane.doe@localhost please", "charge my card", "rows 1 2 3 4 5 6 7 of the table 12345 at home@work"]
+    df = spark.createDataFrame(list(enumerate(seen + more)), "doc_id long, text string")
+    assert {(p, k) for p, k, _ in bootstrap_patterns(df)} == {("my card", "card"), ("office on", "phone"), ("the box", "email")}
+    rows = {r["doc_id"]: r["spans"] for r in personal_data_report(df).collect()}
+    assert [rows[12 + i] for i in range(6)] == ["card:15:34", "phone:14:25", "phone:14:30", "email:11:29", "", ""]
+
+
+def test_common_words_are_ruled_out_by_a_part_of_the_texts(spark):
+    rng = random.Random(2)
+    fill = lambda: " ".join(rng.choice(["of the", "in a", "to it"]) for _ in range(60))
+    rows = [f"{fill()} of the u{i}@x.org {fill()} reach me at v{i}@y.org" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    support = spark.createDataFrame([("of the", "email", 300), ("me at", "email", 300)], "pattern string, kind string, most long")
+    assert [r["pattern"] for r in _possible(df, support, 0.5, 8).collect()] == ["me at"]
+    assert bootstrap_patterns(df) == [("me at", "email", 1.0)]
+
+
 def test_support_does_not_grow_with_the_corpus_or_with_copies(spark):
     rare = [f"ask our desk {i} write to u{i}@rare.org ok" for i in range(8)] + ["ask our desk write to AB-12345 ok"]
     many = [f"common mail v{i}@x.org ok" for i in range(2500)] + ["one page mail w@x.org ok"] * 1500
