@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.llm.common import settle, text_slices
+from cohortflow.llm.common import bounded_batches, settle, text_slices
 from cohortflow.llm.word_ids import word_ids
 
 ROUNDS = 400        # pricing rounds of the linear program
@@ -32,13 +32,17 @@ BATCH_BYTES = 2 << 20
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """Pieces of every document: id, piece, start, length, ids_crc32 (ids as little-endian uint32)."""
+                 text_col: str = "text", **limits) -> DataFrame:
+    """Pieces of every document: id, piece, start, length, ids_crc32 (ids as little-endian uint32).
+
+    ``limits`` are those of a worker's table of words (``max_chunks``, ``max_bytes`` of a generation).
+    """
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()),
                            *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
 
     def cut(batches):
-        table = word_ids(tokenizer_path)
+        table = word_ids(tokenizer_path, **limits)
         for batch in batches:
             for first, texts in text_slices(batch.column(1), BATCH_BYTES):
                 ids, counts = table.encode(texts)
@@ -166,12 +170,12 @@ def _ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
             .withColumn("rank", F.col("before") + F.col("own") - 1).drop("salt", "own", "before"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, **limits) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. For ``limits`` see ``token_pieces``.
 
     Null and empty texts are one piece that holds the end id alone. Repeated rows are packed one
     by one; null ids stay null. An empty table gives no rows. Other columns are not read.
     """
-    pieces = settle(token_pieces(docs, tokenizer_path, capacity).withColumn("row", F.monotonically_increasing_id()),
+    pieces = settle(token_pieces(docs, tokenizer_path, capacity, **limits).withColumn("row", F.monotonically_increasing_id()),
                     "pieces")
     return pack(pieces, capacity)

@@ -61,7 +61,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048)
+    # alone in its workers, packing can keep more words than as a stage of the pipeline
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048,
+                          max_chunks=600_000, max_bytes=96 << 20)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ dot ends in a mark, which joins the punctuation.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -17,14 +18,15 @@ from cohortflow.llm.chunks import ChunkTable
 GROUP = 64          # words of letters in one tokenizer call
 TAIL = b".,!?;:*&%$#|"
 
-_tables: dict[str, "WordIds"] = {}
+_tables: dict[tuple, "WordIds"] = {}
 
 
-def word_ids(path: str) -> "WordIds":
-    """The worker's table of a tokenizer file."""
-    if path not in _tables:
-        _tables[path] = WordIds(path)
-    return _tables[path]
+def word_ids(path: str, **limits) -> "WordIds":
+    """The worker's table of a tokenizer file, with the limits of a ChunkTable."""
+    key = (path, *sorted(limits.items()))
+    if key not in _tables:
+        _tables[key] = WordIds(path, **limits)
+    return _tables[key]
 
 
 class WordIds:
@@ -59,15 +61,14 @@ class WordIds:
         return out
 
     def _learn(self, chunks: list[bytes]) -> list[list[int]]:
-        parts = []
-        for w in chunks:
-            core = w.rstrip(TAIL)
-            whole = len(core) == len(w) or not core or not core.decode("utf-8", "replace")[-1:].lower()[-1:].isalpha()
-            parts.append((w, b"") if whole else (core, w[len(core):]))
-        fresh = list({p for pair in parts for p in pair if p and p not in self.table.place})
-        known = dict(zip(fresh, self._ids(fresh)))
-        get = lambda p: (known[p] if p in known else list(self.table.get(p))) if p else []
-        return [get(core) + get(tail) for core, tail in parts]
+        split = {}
+        for w, core in zip(chunks, [w.rstrip(TAIL) for w in chunks]):
+            if len(core) < len(w) and core and core.decode("utf-8", "replace")[-1:].lower()[-1:].isalpha():
+                split[w] = (core, w[len(core):])
+        known = {p: self.table.find(p) for p in set(chain.from_iterable(split.values()))}
+        fresh = list({p for p, ids in known.items() if ids is None}.union(w for w in chunks if w not in split))
+        known.update(zip(fresh, self._ids(fresh)))
+        return [[*known[split[w][0]], *known[split[w][1]]] if w in split else known[w] for w in chunks]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32, each text followed by the end id) and the number of each text."""
