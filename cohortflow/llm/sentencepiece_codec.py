@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortflow.llm.chunks import ChunkTable
-from cohortflow.llm.common import text_slices
+from cohortflow.llm.common import bounded_batches, text_slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)     # fixed values: piece types
@@ -265,6 +265,25 @@ class Codec:
                 raise ParityError(f"ids differ on a text of {len(t)} bytes: {t[:80]!r}")
 
 
+    def encode_checked(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """As ``encode``, and whether each text agrees with the library; one that does not gets the library's ids."""
+        try:
+            self.verify(texts[:1])
+            return *self.encode(texts), [True] * len(texts)
+        except ParityError:
+            pass
+        lists, parity = [], []
+        for t in texts:
+            try:
+                self.verify([t])
+                lists.append(self.encode([t])[0])
+                parity.append(True)
+            except ParityError:
+                lists.append(np.array(self.peers[0].encode(t.decode("utf-8", "replace")), dtype=np.uint32))
+                parity.append(False)
+        return np.concatenate(lists), np.array([len(x) for x in lists], dtype=np.int64), parity
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -290,6 +309,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_cols: tuple[str, ...]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in range(len(id_cols))), lists],
                                                  names=schema.names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(*id_cols, F.col(text_col).cast("binary")).mapInArrow(run, schema)
 
 
@@ -311,29 +331,29 @@ def decode_documents(encoded: DataFrame, model_path: str, id_cols: tuple[str, ..
 
 
 def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
-    """Per document: doc_id, n_ids, ids_crc32 (little-endian uint32), n_bytes decoded, round_trip.
+    """Per document: doc_id, n_ids, ids_crc32 (little-endian uint32), n_bytes decoded, round_trip, parity.
 
     ``round_trip``: the decoded ids are the normalised text, byte for byte. Null texts count as empty: no ids,
     round trip true. Every text is compared with the sentencepiece library: its normalised form, and its words as
-    they enter the table; one text of each batch of some megabytes also as a whole.
-    Repeated rows repeat; only doc_id and text are read.
+    they enter the table; one text of each batch of some megabytes also as a whole. A text that differs has ``parity`` false
+    and the library's ids. An empty table gives an empty result, a very long text is worked on whole. Repeated rows repeat; only doc_id and text are read.
     """
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()),
-                           T.StructField("n_bytes", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+                           T.StructField("n_bytes", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType())])
 
     def run(batches):
         c = codec(model_path)
         drop = int(c.model.dummy_prefix)
         for batch in batches:
             for first, own in text_slices(batch.column(1), BATCH_BYTES):
-                c.verify(own[:1])
-                ids, counts = c.encode(own)
+                ids, counts, parity = c.encode_checked(own)
                 raw, ends = memoryview(ids.astype("<u4").view(np.uint8)), 4 * np.cumsum(counts)
                 crc = [zlib.crc32(raw[e - 4 * n:e]) for e, n in zip(ends.tolist(), counts.tolist())]
                 back = c.decode(ids, counts)
                 same = [b == c.normalise(t)[drop:] for b, t in zip(back, own)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(own)), pa.array(counts), pa.array(crc, pa.int64()),
-                     pa.array([len(b) for b in back], pa.int64()), pa.array(same)], names=schema.names)
+                     pa.array([len(b) for b in back], pa.int64()), pa.array(same), pa.array(parity)], names=schema.names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)

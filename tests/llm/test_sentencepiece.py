@@ -63,11 +63,22 @@ def test_every_word_is_compared(monkeypatch):
 def test_parity_check_notices(monkeypatch):
     c = Codec(PATH)
     c.verify([b"fine text"])
-    c.table.add(b" wrong", [7])
+    c.table.add([b" wrong"], [[7]])
     with pytest.raises(ParityError):
         c.verify([b"wrong"])
 
 
+def test_one_odd_text_does_not_end_the_others(peer):
+    c = Codec(PATH)
+    c.table.add([b" wrong"], [[7]])
+    own = [b"fine text", b"wrong", b"", b"wrong again"]
+    # a word that the table holds is not compared again: only whole texts are
+    ids, counts, parity = c.encode_checked(own[1:2])
+    assert parity == [False] and ids.tolist() == peer.encode("wrong") and counts.tolist() == [len(ids)]
+    ids, counts, parity = c.encode_checked(own[1:])
+    assert parity == [False, True, False] and split(ids, counts) == peer.encode([t.decode() for t in own[1:]])
+
+
 def test_unigram_model_and_normaliser():
     m = PieceModel(["<unk>", "▁", "a", "b", "ab", "▁a"], [0.0, -3.0, -2.0, -2.5, -3.0, -2.2], [2, 1, 1, 1, 1, 1], squeeze_spaces=True)
     assert Normaliser(m)(b"  a   b ") == b" a b"
