@@ -3,8 +3,11 @@
 Output columns: ``id, name, <record fields...>, dst_id, dst_name``, every value
 text, every text value decoded (``clean_string``). The whole transformation is one
 projection - a narrow stage inside whole-stage codegen, no UDF. The only job it
-starts is a one-row aggregate that tells which union member an entity populates
-(typed sources) or which keys occur (map/JSON sources).
+starts is a small aggregate that tells which union member an entity populates
+(typed sources), which schema its records have (JSON text) or which keys occur (maps).
+
+JSON text is parsed once per record into the schema learned from all records and then
+takes the typed path; only keys whose values are of several types stay variants.
 """
 
 from __future__ import annotations
@@ -73,6 +76,46 @@ def scalarize(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
+MOST_FIELDS = 200       # of a nested JSON object: one with more keys is a dictionary and stays a variant
+DOUBLE_DIGITS = 15      # JSON fractions of up to so many digits are read as doubles
+
+
+def _json_type(dt: T.DataType, nested: bool = False) -> T.DataType:
+    """The type in which values of a learned variant type are read."""
+    if isinstance(dt, T.DecimalType):
+        if dt.scale == 0:
+            return T.DecimalType(38, 0)
+        return T.DoubleType() if dt.precision <= DOUBLE_DIGITS else T.VariantType()
+    if isinstance(dt, T.ArrayType):
+        inner = _json_type(dt.elementType, True)
+        return T.VariantType() if isinstance(inner, T.VariantType) else T.ArrayType(inner)
+    if isinstance(dt, T.StructType):
+        fields = [T.StructField(f.name, _json_type(f.dataType, True)) for f in dt.fields]
+        if nested and (len(fields) > MOST_FIELDS or any(isinstance(f.dataType, T.VariantType) for f in fields)
+                       or len({f.name.lower() for f in fields}) < len(fields)):
+            return T.VariantType()
+        return T.StructType(fields)
+    if isinstance(dt, T.NullType):
+        return T.StringType()
+    return dt
+
+
+def json_schemas(envelope: DataFrame, per_entity: bool = True) -> dict[str | None, T.StructType]:
+    """Record schema of every entity type with a JSON text payload, merged over all its records in one job.
+
+    Without ``per_entity`` one schema for all rows, under None.
+    """
+    learned = F.schema_of_variant_agg(F.try_parse_json("object")).alias("s")
+    rows = (envelope.groupBy("name").agg(learned) if per_entity else envelope.agg(learned).withColumn("name", F.lit(None))).collect()
+    out = {}
+    for r in rows:
+        # quoted names are left alone
+        ddl = re.sub(r"(`(?:[^`]|``)*`)|\bOBJECT<", lambda m: m[1] or "STRUCT<", r["s"] or "VOID")
+        dt = T.StructType.fromDDL(f"o {ddl}").fields[0].dataType
+        out[r["name"]] = _json_type(dt) if isinstance(dt, T.StructType) else T.StructType([])
+    return out
+
+
 # one JSON scalar, or a key with its colon
 JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|-?[0-9][0-9.eE+-]*+|true|false|null'
 
@@ -130,12 +173,15 @@ def _keys(df: DataFrame, obj: Column) -> list[str]:
             .groupBy("k").agg(F.min("p").alias("p")).orderBy("p", "k").collect()]
 
 
-def union_members(envelope: DataFrame) -> dict[str, list[str]] | None:
-    """Populated union members of every entity type, from one job; None for other payloads.
+def union_members(envelope: DataFrame) -> dict[str, list[str] | T.StructType] | None:
+    """What one job tells of the payloads of all entity types: the populated members of a union, the schema of
+    JSON text; None for other payloads.
 
     Pass the result to ``flatten_entity`` when several entities are flattened.
     """
     dt = envelope.schema["object"].dataType if "object" in envelope.columns else None
+    if isinstance(dt, T.StringType):
+        return json_schemas(envelope)
     if dt is None or not _is_union(dt):
         return None
     names = dt.fieldNames()
@@ -143,17 +189,38 @@ def union_members(envelope: DataFrame) -> dict[str, list[str]] | None:
     return {r["name"]: [m for m in names if r[m]] for r in rows}
 
 
-def _record_fields(df: DataFrame, used_members: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, Column, bool]]]:
-    """(frame, [(field name, text column, may hold text)]) of the entity record inside ``object``."""
+def _json_fields(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, list[tuple[str, Column, bool]]]:
+    """As ``_record_fields``, for JSON text of a learned schema."""
+    if len({n.lower() for n in schema.names}) < len(schema.names):
+        # names that differ by case only cannot be told apart in a struct
+        df = df.withColumn("object", F.from_json("object", "map<string,variant>"))
+        return df, [(n, _variant_text(n, F.col("object")[n]), True) for n in schema.names]
+    obj, out = F.col("object"), []
+    for f in schema.fields:
+        if isinstance(f.dataType, T.VariantType):
+            out.append((f.name, _variant_text(f.name, obj[f.name]), True))
+        else:
+            out.append((f.name, state_member(f.name, obj[f.name], f.dataType), has_text(f.dataType)))
+    return df.withColumn("object", F.from_json("object", schema)) if schema.fields else df, out
+
+
+def _variant_text(n: str, c: Column) -> Column:
+    return json_value(F.to_json(F.coalesce(F.try_variant_get(c, "$.member0", "variant"), c) if n == STATE_FIELD else c))
+
+
+def _record_fields(df: DataFrame, learned: list[str] | T.StructType | None = None
+                   ) -> tuple[DataFrame, list[tuple[str, Column, bool]]]:
+    """(frame, [(field name, text column, may hold text)]) of the entity record inside ``object``.
+
+    ``learned`` is an entity's entry of ``union_members``; null learns it from ``df``.
+    """
     if "object" not in df.columns:
         return df, []
     dt = df.schema["object"].dataType
     obj = F.col("object")
-    if isinstance(dt, T.StringType):   # JSON text payload; values keep their JSON type as variants
-        df = df.withColumn("object", F.from_json(obj, "map<string,variant>"))
-        raw = lambda k: F.to_json(F.coalesce(
-            F.try_variant_get(obj[k], "$.member0", "variant"), obj[k]) if k == STATE_FIELD else obj[k])
-        return df, [(k, json_value(raw(k)), True) for k in _keys(df, obj)]
+    used_members = learned
+    if isinstance(dt, T.StringType):
+        return _json_fields(df, json_schemas(df, per_entity=False)[None] if learned is None else learned or T.StructType([]))
     if isinstance(dt, T.MapType):
         return df, [(k, scalarize(obj[k], dt.valueType), has_text(dt.valueType)) for k in _keys(df, obj)]
     if _is_union(dt):
@@ -203,10 +270,10 @@ def _first_relation(df: DataFrame) -> tuple[Column, Column]:
 
 
 def flatten_entity(envelope: DataFrame, entity_name: str | None = None, decode: bool = True,
-                   members: dict[str, list[str]] | None = None) -> DataFrame:
+                   members: dict[str, list[str] | T.StructType] | None = None) -> DataFrame:
     """Flatten one entity type (``entity_name``) or an already filtered frame.
 
-    ``members`` (from ``union_members``) saves the metadata job of a union payload.
+    ``members`` (from ``union_members``) saves the metadata job of a union or JSON payload.
     """
     df = envelope if entity_name is None else envelope.where(F.col("name") == entity_name)
     label = entity_name

@@ -174,3 +174,34 @@ def test_card_and_covariate_candidates():
     names = ["id", "identity", "dst_id_lab", "created_datetime", "created_datetime_x", "sex"]
     assert card_candidates(names) == ["created_datetime", "created_datetime_x", "sex"]
     assert covariate_candidates(names) == ["identity", "dst_id_lab", "created_datetime_x", "sex"]
+
+
+def test_json_values_of_several_types_and_odd_keys(spark):
+    rows = [{"m": 1, "k.x": "a", "Sex": 1, "big": 12345678901234567890123, "f": 0.1, "o": {"p": 1}, "st": "x"},
+            {"m": "one_20_two", "k.x": None, "big": 3, "f": 2, "o": {"p": "y", "q": [True]}, "st": ""},
+            {"m": [1, {"z": 2.50}], "f": 1e300, "o": {}, "dup": {"A": 1, "a": 2}, "wide": {f"k{i:03d}": i for i in range(250)}}]
+    df = spark.createDataFrame([(str(i), "lab", json.dumps(r), None) for i, r in enumerate(rows)]
+                               + [("3", "lab", "no json {", None), ("4", "lab", None, None), ("5", "other", '{"v": [[1, 2], [3]]}', None),
+                                  ("6", "void", "[1]", None)],
+                               "id string, name string, object string, relations string")
+    members = union_members(df)
+    lab = flatten_entity(df, "lab", members=members)
+    assert lab.columns == ["id", "name", "Sex", "big", "dup", "f", "k.x", "m", "o", "st", "wide", "dst_id", "dst_name"]
+    assert lab.collect() == flatten_entity(df, "lab").collect()
+    r = {x["id"]: x.asDict() for x in lab.collect()}
+    assert [r[i]["m"] for i in "01234"] == ["1", "one two", "1;2.5", None, None]
+    assert [r[i]["big"] for i in "012"] == ["12345678901234567890123", "3", None]
+    assert [r[i]["f"] for i in "012"] == ["0.1", "2", "1e+300"] and r["0"]["k.x"] == "a" and r["1"]["st"] == ""
+    assert [r[i]["o"] for i in "012"] == ["1", "y;TRUE", None] and r["2"]["dup"] == "1;2"
+    assert r["2"]["wide"] == ";".join(str(i) for i in range(250)) and r["0"]["Sex"] == "1"
+    assert flatten_entity(df, "other", members=members).first()["v"] == "1;2;3"
+    assert flatten_entity(df, "void", members=members).columns == ["id", "name", "dst_id", "dst_name"]
+    twins = df.where("id = '0'").withColumn("object", F.lit('{"Sex": 1, "sex": 2}'))
+    assert tuple(flatten_entity(twins, "lab").first())[2:4] == ("1", "2")
+
+
+def test_json_payload_is_parsed_once(spark):
+    df = spark.createDataFrame([(str(i), "lab", json.dumps({"a": i, "b": [i], "c": "x"}), None) for i in range(3)],
+                               "id string, name string, object string, relations string")
+    plan = flatten_entity(df, "lab")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "parse_json" not in plan
