@@ -11,7 +11,7 @@ from .operators.distribution import (covariate_kind, covariate_values, distribut
                                      percentage_distribution)
 from .operators.flatten import flatten_entity, flatten_status, flatten_summary
 from .operators.groups import assign_groups, mark_groups
-from .operators.merge import (analysis_columns, column_types, dataset_shape, left_join_suffixed, merge_entities,
+from .operators.merge import (Merge, analysis_columns, column_types, dataset_shape, left_join_suffixed, merge_entities,
                               subject_pairs, union_pairs)
 from .operators.slices import first_per_key, latest_per_key, top1_per_key
 from .operators.survival import (diagnosis_age, event_free_survival, kaplan_meier, km_curve_points,

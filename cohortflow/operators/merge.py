@@ -4,9 +4,10 @@ column classification that runs on the merged table."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import df_num
@@ -83,8 +84,16 @@ def column_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     aggs = []
     for i, c in enumerate(cols):
         aggs.append(F.count(df_num(df, c)).alias(f"n{i}"))
-        aggs.append(F.count_if(_q(c).isNull() | (_q(c).cast("string") != "")).alias(f"d{i}"))
-    row = df.agg(*aggs)
+        aggs.append(F.count_if(_non_empty(c)).alias(f"d{i}"))
+    return _typed(df.agg(*aggs), cols)
+
+
+def _non_empty(c: str) -> Column:
+    return _q(c).isNull() | (_q(c).cast("string") != "")
+
+
+def _typed(row: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per column from one row of counts (n0, d0, n1, ...)."""
     stacked = row.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_numeric"), F.col(f"d{i}").alias("n_nonempty"))
         for i, c in enumerate(cols)])).alias("s")).select("s.*")
@@ -98,6 +107,75 @@ def dataset_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_columns"))
 
 
+@dataclass(frozen=True)
+class Merge:
+    """The merged table as its parts, for counts over its rows without building them.
+
+    A subject's merged rows are the product of its person rows and its rows of every entity. So a count
+    over merged rows is a sum over subject rows of products: what one part counts for the subject times the
+    numbers of rows of the other parts. Each part is aggregated by its key first (one row per key, partial sums before the
+    shuffle), and the joins to the subjects are one to one: no subject's records multiply.
+    """
+
+    subject: DataFrame
+    person: DataFrame
+    entities: Sequence[tuple[str, DataFrame]] = field(default_factory=tuple)
+
+    def frame(self) -> DataFrame:
+        return merge_entities(self.subject, self.person, self.entities)
+
+    def sources(self) -> list[tuple[str, int, str]]:
+        """(name in the merged table, part, column of the part); part 0 is the subject, 1 the person, then the entities."""
+        out = [(c, 0, c) for c in self.subject.columns]
+        joins = [(self.person, "dst_id", "id", ("_subject", "_person")),
+                 *((e, "id", "dst_id", ("", f"_{n}")) for n, e in self.entities)]
+        for k, (y, x_key, y_key, suffix) in enumerate(joins, 1):
+            aux, names = [c for c in y.columns if c != y_key], {n for n, _, _ in out}
+            out = ([(n if n == x_key or n not in aux else n + suffix[0], i, c) for n, i, c in out]
+                   + [(c + suffix[1] if c in names else c, k, c) for c in aux])
+        return out
+
+    @property
+    def columns(self) -> list[str]:
+        return [n for n, _, _ in self.sources()]
+
+    def _counted(self, wanted: Sequence[tuple[int, str]]) -> tuple[DataFrame, list[Column], list[tuple[Column, Column]]]:
+        """Subject rows with one row of counts of every other part, the number of merged rows that each part gives
+        a subject row, and the (parseable, non-empty) counts of the ``wanted`` (part, column) within a part."""
+        frames = [self.subject, self.person, *(e for _, e in self.entities)]
+        base = self.subject.select(F.col("id").alias("_id"), F.col("dst_id").alias("_dst"), *[
+            expr.alias(f"_0_{i}{kind}") for i, (k, c) in enumerate(wanted) if k == 0
+            for kind, expr in (("n", df_num(self.subject, c).isNotNull().cast("long")), ("d", _non_empty(c).cast("long")))])
+        for k, frame in enumerate(frames[1:], 1):
+            key, own = ("id", "_dst") if k == 1 else ("dst_id", "_id")
+            counts = frame.groupBy(F.col(key).alias(f"_k{k}")).agg(F.count(F.lit(1)).alias(f"_w{k}"), *[
+                expr.alias(f"_{k}_{i}{kind}") for i, (part, c) in enumerate(wanted) if part == k
+                for kind, expr in (("n", F.count(df_num(frame, c))), ("d", F.count_if(_non_empty(c))))])
+            base = base.join(counts, F.col(own).eqNullSafe(F.col(f"_k{k}")), "left").drop(f"_k{k}")
+        # a subject without rows in a part has one merged row of nulls there, which counts as non-empty
+        rows = [F.lit(1).cast("long"), *[F.coalesce(f"_w{k}", F.lit(1)) for k in range(1, len(frames))]]
+        values = [(F.coalesce(f"_{k}_{i}n", F.lit(0)), F.coalesce(f"_{k}_{i}d", F.lit(1))) for i, (k, _) in enumerate(wanted)]
+        return base, rows, values
+
+    def shape(self) -> DataFrame:
+        """Row and column counts of the merged table."""
+        base, rows, _ = self._counted([])
+        n = F.coalesce(F.sum(reduce(lambda a, b: a * b, rows)), F.lit(0))
+        return base.agg(n.alias("n_rows")).select("n_rows", F.lit(len(self.columns)).alias("n_columns"))
+
+    def column_types(self, columns: Sequence[str] | None = None) -> DataFrame:
+        """``column_types`` of the merged table, from the parts."""
+        places = {n: (k, c) for n, k, c in self.sources()}
+        cols = list(columns) if columns is not None else analysis_columns(self.columns)
+        base, rows, values = self._counted([places[c] for c in cols])
+        aggs = []
+        for i, (c, (num, den)) in enumerate(zip(cols, values)):
+            others = [r for k, r in enumerate(rows) if k != places[c][0]]
+            for kind, own in (("n", num), ("d", den)):
+                aggs.append(F.coalesce(F.sum(reduce(lambda a, b: a * b, others, own)), F.lit(0)).alias(f"{kind}{i}"))
+        return _typed(base.agg(*aggs), cols) if cols else column_types(self.subject, [])
+
+
 def subject_pairs(subjects: DataFrame, source: DataFrame, columns: str | Sequence[str], via: str = "id",
                   on: str = "dst_id", subject_key: str = "id") -> DataFrame:
     """Distinct ``(id, covariate, value)`` for every subject and each of ``columns``,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MissingEntity
 from ..operators.flatten import flatten_entity, union_members
-from ..operators.merge import DISTRIBUTION_PREFIXES, analysis_columns, column_types, merge_entities
+from ..operators.merge import DISTRIBUTION_PREFIXES, Merge, analysis_columns
 from ..sources.envelope import (CORE_ENTITIES, IGNORED_ENTITIES, entity_names, read_entities,
                                 require_entities)
 
@@ -23,6 +23,7 @@ from ..sources.envelope import (CORE_ENTITIES, IGNORED_ENTITIES, entity_names, r
 class Prepared:
     entity_types: list[str]
     flattened: dict[str, DataFrame] = field(default_factory=dict)
+    parts: Merge | None = None
     merged: DataFrame | None = None
     categorical: list[str] = field(default_factory=list)   # distribution candidates
     numeric: list[str] = field(default_factory=list)
@@ -47,17 +48,17 @@ def prepare(spark: SparkSession, source: str | DataFrame, selected: Sequence[str
     for n in ["subject", "person", "timing", "survival_characteristic", *selected]:
         if n in names and n not in out.flattened:
             out.flattened[n] = flatten_entity(env, n, members=members)
-    out.merged = merge_entities(out.flattened["subject"], out.flattened["person"],
-                                [(n, out.flattened[n]) for n in selected])
+    out.parts = Merge(out.flattened["subject"], out.flattened["person"], [(n, out.flattened[n]) for n in selected])
+    out.merged = out.parts.frame()
     if classify:
         cols = analysis_columns(out.merged.columns, DISTRIBUTION_PREFIXES)
-        kinds = column_types(out.merged, cols).select("column", "is_numeric").collect()  # one row per column
+        kinds = out.parts.column_types(cols).select("column", "is_numeric").collect()  # one row per column
         out.categorical = sorted(r["column"] for r in kinds if not r["is_numeric"])
         out.numeric = [r["column"] for r in kinds if r["is_numeric"]]
     return out
 
 
 def status_text(prep: Prepared) -> str:
-    """'Merged dataset rows: N | columns: M' (one count job)."""
-    n = prep.merged.agg(F.count(F.lit(1))).first()[0]
-    return f"Merged dataset rows: {n} | columns: {len(prep.merged.columns)}"
+    """Size of the merged table in a sentence (one count job over the parts)."""
+    shape = prep.parts.shape().first()
+    return f"Merged dataset rows: {shape['n_rows']} | columns: {shape['n_columns']}"

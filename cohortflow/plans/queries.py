@@ -16,7 +16,7 @@ from ..operators import survival as sv
 from ..operators.flatten import flatten_entity, flatten_summary, union_members
 from ..operators.groups import group_counts
 from ..operators.slices import first_per_key, latest_per_key
-from ..operators.merge import column_types, dataset_shape, merge_entities, subject_pairs, union_pairs
+from ..operators.merge import Merge, subject_pairs, union_pairs
 from ..operators.montecarlo import DEFAULT_REPLICATES, monte_carlo_p
 from ..operators.table1 import Covariate, table1
 from ..sources.envelope import entity_types, optional_entities
@@ -91,11 +91,15 @@ def flat(spark, d, name):
     return flatten_entity(si.envelope(spark, d), name)
 
 
-def merged(spark, d, with_lineitem=False):
+def merge_parts(spark, d, with_lineitem=False):
     env = si.envelope(spark, d)
     members = union_members(env)
     subject, person, line = (flatten_entity(env, n, members=members) for n in ("subject", "person", "lineitem"))
-    return merge_entities(subject, person, [("lineitem", line)] if with_lineitem else [])
+    return Merge(subject, person, [("lineitem", line)] if with_lineitem else [])
+
+
+def merged(spark, d, with_lineitem=False):
+    return merge_parts(spark, d, with_lineitem).frame()
 
 
 FLATTEN = {
@@ -110,8 +114,8 @@ FLATTEN = {
     "flatten_json_lineitem": lambda s, d: flatten_entity(si.json_envelope(s, d), "lineitem"),
     "merge_subject_person": lambda s, d: merged(s, d),
     "merge_with_lineitem": lambda s, d: merged(s, d, True),
-    "dataset_shape": lambda s, d: dataset_shape(merged(s, d, True)),
-    "column_types": lambda s, d: r9(column_types(merged(s, d, True))),
+    "dataset_shape": lambda s, d: merge_parts(s, d, True).shape(),
+    "column_types": lambda s, d: r9(merge_parts(s, d, True).column_types()),
 }
 
 
@@ -153,9 +157,8 @@ def _t1_customers(s, d, two=True, with_p=True):
 
 def entity_pairs(s, d, column):
     """``column`` of the person frame for every subject of the merged-with-lineitem table."""
-    env = si.envelope(s, d)
-    return subject_pairs(flatten_entity(env, "subject"), flatten_entity(env, "person"), column,
-                         via="dst_id", on="id")
+    parts = merge_parts(s, d)
+    return subject_pairs(parts.subject, parts.person, column, via="dst_id", on="id")
 
 
 def customer_subjects(s, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.errors import InvalidEnvelope, MissingEntity
 from cohortflow.operators.flatten import flatten_entity, flatten_summary, union_members
-from cohortflow.operators.merge import analysis_columns, column_types, left_join_suffixed, merge_entities
+from cohortflow.operators.merge import Merge, analysis_columns, column_types, dataset_shape, left_join_suffixed, merge_entities
 from cohortflow.sources.envelope import (entity_names, optional_entities, read_entities, require_entities,
                                          stage_envelope, read_staged, validate_envelope)
 
@@ -205,3 +205,22 @@ def test_json_payload_is_parsed_once(spark):
                                "id string, name string, object string, relations string")
     plan = flatten_entity(df, "lab")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1 and "parse_json" not in plan
+
+
+def test_counts_from_parts_equal_those_over_the_merged_table(spark):
+    # repeated subjects, persons and null keys; subjects without rows in a part; names that clash three times
+    subject = spark.createDataFrame([("s1", "p1", "1", "x"), ("s1", "p2", "", None), ("s2", None, "2", "3"), ("s3", "p9", None, "4"),
+                                     (None, "p1", "5", "")], "id string, dst_id string, v string, name string")
+    person = spark.createDataFrame([("p1", "7", "n"), ("p1", "8", ""), ("p2", None, "5"), (None, "9", "6")], "id string, v string, name string")
+    lab = spark.createDataFrame([("l1", "s1", "1", None), ("l2", "s1", "a", ""), ("l3", "s2", "", "2"), ("l4", None, "3", "3"),
+                                 ("l5", "s1", "4", "4")], "id string, dst_id string, v string, u string")
+    scan = spark.createDataFrame([("s1", 1.5), ("s1", None), ("s2", 2.0)], "dst_id string, u double")
+    for entities in ([], [("lab", lab)], [("lab", lab), ("scan", scan)], [("a", lab), ("b", lab), ("c", lab)]):
+        parts, frame = Merge(subject, person, entities), merge_entities(subject, person, entities)
+        assert parts.columns == frame.columns
+        assert parts.shape().collect() == dataset_shape(frame).collect()
+        for cols in (None, [c for c in frame.columns if frame.columns.count(c) == 1]):
+            assert sorted(parts.column_types(cols).collect()) == sorted(column_types(frame, cols).collect())
+    assert Merge(subject.where("false"), person).shape().first()["n_rows"] == 0
+    plan = Merge(subject, person, [("lab", lab)]).column_types()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and plan.count("Aggregate") == 3
