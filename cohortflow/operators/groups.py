@@ -33,18 +33,18 @@ def clean_ids(ids: DataFrame) -> DataFrame:
     return ids.select(t.alias("id")).where(F.col("id").isNotNull() & (F.col("id") != "")).distinct()
 
 
-def mark_groups(df: DataFrame, ids: DataFrame | None, id_col: str = "id") -> DataFrame:
-    """Add ``grp``: G1 for subjects in ``ids``, G2 for the rest (NULL ids included).
+def mark_groups(df: DataFrame, ids: DataFrame | None, id_col: str = "id", name: str = "grp") -> DataFrame:
+    """Add ``name``: G1 for subjects in ``ids``, G2 for the rest (NULL ids included).
 
     The join's strategy is left to the optimiser, which knows the list's measured size.
     """
     if ids is None:
-        return df.withColumn("grp", F.lit(ALL))
+        return df.withColumn(name, F.lit(ALL))
     marker = clean_ids(ids).select(F.col("id").alias("_gid"), F.lit(True).alias("_in"))
     key = F.col(f"`{id_col}`").cast("string")
     j = df.join(marker, key == F.col("_gid"), "left")
     return j.select(*[F.col(f"`{c}`") for c in df.columns],
-                    F.when(F.col("_in"), F.lit(G1)).otherwise(F.lit(G2)).alias("grp"))
+                    F.when(F.col("_in"), F.lit(G1)).otherwise(F.lit(G2)).alias(name))
 
 
 def group_counts(df: DataFrame, ids: DataFrame | None, id_col: str = "id") -> DataFrame:

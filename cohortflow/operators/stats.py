@@ -13,12 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import to_num
-from ..functions.text import non_blank
+from ..functions.text import is_missing_categorical, non_blank
 from . import finishers as fin
 from .groups import G1, G2, mark_groups
 from .running import add_ranges, running
@@ -42,6 +42,50 @@ def value_counts_long(df: DataFrame | None, covariates: Sequence[str], ids: Data
     return pairs.groupBy("covariate", "grp", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def value_counts_wide(df: DataFrame | None, covariates: Sequence[str], ids: DataFrame | None = None,
+                      id_col: str = "id", pairs: DataFrame | None = None) -> DataFrame:
+    """``covariate, value, n1, n2``: distinct subjects of the listed ids (or all) and of the others with each value.
+
+    Rows of ``df`` are marked with their group before they are unpivoted, once per row and not per covariate.
+    """
+    if pairs is None:
+        cols = [F.col(f"`{c}`").cast("string").alias(c) for c in covariates]
+        marked = mark_groups(df.select(F.col(f"`{id_col}`").cast("string").alias("_id"), *cols), ids, "_id", "_grp")
+        long = marked.unpivot(["_id", "_grp"], list(covariates), "covariate", "value").distinct()
+    else:
+        long = mark_groups(pairs.select("id", "covariate", "value"), ids, "id", "_grp")
+    other = F.col("_grp") == G2
+    return long.groupBy("covariate", "value").agg(F.count_if(~other).alias("n1"), F.count_if(other).alias("n2"))
+
+
+def value_summary(wide: DataFrame, requested: Sequence[tuple[str, str]]) -> DataFrame:
+    """One pass over ``value_counts_wide``: per covariate and requested (covariate, level), null for all other values,
+    everything a summary table needs but modes, deviations and ranks. As many rows as are requested, and one per covariate.
+    """
+    spark = wide.sparkSession
+    asked = spark.createDataFrame([tuple(r) for r in dict.fromkeys(requested)], "_c string, _l string")
+    v = F.col("value")
+    x, nb = to_num(v), non_blank(v)
+    both = F.col("n1") + F.col("n2")
+    known = F.when(v.isNotNull(), v)
+    per = [agg for g in ("1", "2") for n in [F.col(f"n{g}")] for agg in (
+        F.sum(n).alias(f"tot{g}"), F.sum(F.when(v.isNotNull() & (v != ""), n)).alias(f"den{g}"),
+        F.sum(F.when(is_missing_categorical(v), n)).alias(f"mis_cat{g}"), F.sum(F.when(x.isNull(), n)).alias(f"mis_num{g}"),
+        F.sum(F.when(x.isNotNull(), n)).alias(f"nx{g}"), F.sum(n * x).alias(f"sx{g}"), F.sum(F.when(v.isNotNull(), n)).alias(f"C{g}"),
+        F.min_by(n, known).alias(f"first{g}"), F.max_by(n, known).alias(f"last{g}"))]
+    joined = wide.join(F.broadcast(asked), (F.col("covariate") == F.col("_c")) & (v == F.col("_l")), "left")   # the request's size
+    return joined.groupBy("covariate", F.col("_l").alias("level")).agg(
+        *per, F.sum(F.when(nb, both)).alias("n_nonblank"), F.sum(F.when(nb & x.isNotNull(), both)).alias("n_numeric"),
+        F.count("value").alias("r"), F.min(F.when(v.isNotNull(), F.least("n1", "n2"))).alias("min_cell"),
+        F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def numeric_counts(wide: DataFrame) -> DataFrame:
+    """``covariate, x, c1, c2``: the counts by number (``"1"`` and ``"1.0"`` are one value)."""
+    x = to_num(F.col("value"))
+    return wide.where(x.isNotNull()).groupBy("covariate", x.alias("x")).agg(F.sum("n1").alias("c1"), F.sum("n2").alias("c2"))
+
+
 def covariate_kinds(vc: DataFrame) -> DataFrame:
     """Numeric when >= 90% of non-blank distinct values parse as numbers."""
     v = F.col("value")
@@ -103,6 +147,11 @@ def ranksum_stats(vc: DataFrame, n_ranges: int | None = None) -> DataFrame:
     per = nv.groupBy("covariate", "x").agg(
         F.sum(F.when(F.col("grp") == G1, F.col("n")).otherwise(0)).alias("c1"),
         F.sum(F.when(F.col("grp") == G2, F.col("n")).otherwise(0)).alias("c2"))
+    return ranksum_of_counts(per, n_ranges)
+
+
+def ranksum_of_counts(per: DataFrame, n_ranges: int | None = None) -> DataFrame:
+    """``ranksum_stats`` from counts by number (covariate, x, c1, c2)."""
     per = per.withColumn("c", F.col("c1") + F.col("c2"))
     per, n_ranges = add_ranges(per, "x", n_ranges)
     r = running(per, "x", ["covariate"], sums={"cum": F.col("c")}, n_ranges=n_ranges)
@@ -123,6 +172,13 @@ def contingency(vc: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("grp") == G2, F.col("n")).otherwise(0)).alias("n2"))
 
 
+def chosen_test(r: Column, min_cell: Column) -> Column:
+    """Test of an r x 2 table by its smallest observed cell."""
+    small = min_cell < fin.SMALL_CELL
+    return (F.when((r == 2) & small, F.lit("fisher")).when(r == 2, F.lit("chisq"))
+            .when(small, F.lit("chisq_mc")).otherwise(F.lit("chisq")))
+
+
 def contingency_tests(ct: DataFrame) -> DataFrame:
     """Per covariate: table shape, test choice and Pearson statistic.
 
@@ -144,12 +200,7 @@ def contingency_tests(ct: DataFrame) -> DataFrame:
         .otherwise((F.col("n1") - e1) ** 2 / e1 + (F.col("n2") - e2) ** 2 / e2)
     stat = j.groupBy("covariate").agg(F.sum(contrib).alias("stat"))
     both = (F.col("C1") > 0) & (F.col("C2") > 0)
-    small = F.col("min_cell") < fin.SMALL_CELL
-    test = (F.when(~both, F.lit(None))
-            .when((F.col("r") == 2) & small, F.lit("fisher"))
-            .when(F.col("r") == 2, F.lit("chisq"))
-            .when(small, F.lit("chisq_mc"))
-            .otherwise(F.lit("chisq")))
+    test = F.when(both, chosen_test(F.col("r"), F.col("min_cell")))
     df_ = F.when(F.col("r") == 1, F.lit(1)).otherwise(F.col("r") - 1)
     out = tot.join(stat, "covariate").withColumn("test", test)
     return out.select(
@@ -163,36 +214,38 @@ P_INPUTS = ["kind", "test", "rs_n1", "rs_n2", "rs_r1", "rs_ties", "rs_has_ties",
             "w_n1", "w_m1", "w_v1", "w_n2", "w_m2", "w_v2", "stat", "df", "a", "b", "c", "d"]
 
 
-def _p_row(r) -> float:
+def _p_row(r) -> tuple[float, str | None]:
+    """p-value and the test it comes from."""
     f = lambda k: (None if pd.isna(r[k]) else r[k])
     if r["kind"] == "numeric":
         n1, n2 = f("rs_n1") or 0, f("rs_n2") or 0
         if n1 <= 0 or n2 <= 0:
-            return float("nan")
+            return float("nan"), None
         p = fin.ranksum_p(int(n1), int(n2), float(r["rs_r1"]), float(r["rs_ties"]), bool(r["rs_has_ties"]))
-        if p != p:  # rank-sum undefined -> Welch
-            p = fin.welch_p(f("w_n1") or 0, f("w_m1"), f("w_v1"), f("w_n2") or 0, f("w_m2"), f("w_v2"))
-        return p
+        if p == p:
+            return p, "ranksum"
+        # rank-sum undefined -> Welch
+        return fin.welch_p(f("w_n1") or 0, f("w_m1"), f("w_v1"), f("w_n2") or 0, f("w_m2"), f("w_v2")), "welch"
     test = f("test")
     if test == "fisher":
-        return fin.fisher_2x2_p(r["a"], r["b"], r["c"], r["d"])
+        return fin.fisher_2x2_p(r["a"], r["b"], r["c"], r["d"]), test
     if test == "chisq":
-        return fin.chisq_sf(float(r["stat"]), float(r["df"]))
-    return float("nan")
+        return fin.chisq_sf(float(r["stat"]), float(r["df"])), test
+    return float("nan"), test
 
 
-@F.pandas_udf(T.DoubleType())
-def p_value_udf(s: pd.DataFrame) -> pd.Series:
+@F.pandas_udf(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("test", T.StringType())]))
+def p_value_udf(s: pd.DataFrame) -> pd.DataFrame:
     """Vectorised over a batch of covariate rows (one row per covariate)."""
-    return pd.Series([_p_row(r) for _, r in s.iterrows()], dtype="float64")
+    return pd.DataFrame([_p_row(r) for _, r in s.iterrows()], columns=["p", "test"])
 
 
 def p_values(tests: DataFrame) -> DataFrame:
-    """``covariate, p`` from a frame holding the P_INPUTS columns (missing ones are NULL)."""
+    """``covariate, p, test`` from a frame holding the P_INPUTS columns (missing ones are NULL)."""
     cols = []
     for c in P_INPUTS:
         cols.append(F.col(c) if c in tests.columns else F.lit(None).alias(c))
-    return tests.select("covariate", p_value_udf(F.struct(*cols)).alias("p"))
+    return tests.select("covariate", p_value_udf(F.struct(*cols)).alias("r")).select("covariate", "r.p", "r.test")
 
 
 @F.pandas_udf(T.DoubleType())
