@@ -97,6 +97,20 @@ def covariate_kinds(vc: DataFrame) -> DataFrame:
     return agg.select("covariate", "n_nonblank", "n_numeric", (share >= NUMERIC_SHARE).alias("is_numeric"))
 
 
+def kind_warnings(vc: DataFrame) -> DataFrame:
+    """``covariate, card_numeric, table_numeric, warning``: where the card's rule (any value parses) and the table's (90%) differ.
+
+    The card then offers Mean and Mode, which the table takes for levels and counts as such.
+    """
+    v = F.col("value")
+    card = vc.groupBy("covariate").agg(F.coalesce(F.max(to_num(v).isNotNull()), F.lit(False)).alias("card_numeric"))
+    j = card.join(covariate_kinds(vc), "covariate")
+    text = F.when(F.col("card_numeric") & ~F.col("is_numeric"), F.concat(
+        F.lit("only "), F.round(100 * F.col("n_numeric") / F.col("n_nonblank"), 1).cast("string"),
+        F.lit("% of the values are numbers: statistics count as levels")))
+    return j.select("covariate", "card_numeric", F.col("is_numeric").alias("table_numeric"), text.alias("warning"))
+
+
 def numeric_values(vc: DataFrame) -> DataFrame:
     """Numeric values regrouped by number (``"1"`` and ``"1.0"`` are one value)."""
     x = to_num(F.col("value"))

@@ -439,6 +439,8 @@ res AS (
            "CAST(CASE WHEN test = 'chisq_mc' THEN NULL WHEN r = 1 THEN 1 ELSE r - 1 END AS INTEGER) AS df, a, b, c, d"
     if p == "chisq_df4":
         return f"{sql} SELECT {cols}, round(exp(-stat / 2) * (1 + stat / 2), 9) AS p_pearson FROM res"
+    if p == "chisq_tail":
+        return f"{sql} SELECT {cols}, round({chisq_tail_sql('stat', 'greatest(r - 1, 1)')}, 9) AS p_pearson FROM res"
     if p == "fisher":
         lg = "lgamma"
         return f"""{sql},
@@ -450,11 +452,99 @@ FROM res"""
     return f"{sql} SELECT {cols} FROM res"
 
 
+def fmt_p_sql(p: str) -> str:
+    return f"CASE WHEN {p} IS NULL OR isnan({p}) THEN '—' WHEN {p} < 0.001 THEN '<0.001' ELSE printf('%.3f', {p}) END"
+
+
+def report_p_sql(base_ctes: str, covs, g1_label: str) -> str:
+    """Table 1 with p-values and their tests. A simulated p is told only where it must lie under 0.001: for statistics
+    far beyond the degrees of freedom; elsewhere it is spelled 'simulated' and matches nothing."""
+    parts = []
+    for k, (c, kind, _) in enumerate(covs, start=1):
+        if kind == "numeric":
+            parts.append(f"SELECT {k * 1000} AS ord, {fmt_p_sql('p')} AS p, 'ranksum' AS test FROM ({ranksum_p_sql(base_ctes, c)})")
+            continue
+        fisher = "p_fisher" if kind == "binary" else "CAST(NULL AS DOUBLE)"
+        table = contingency_sql(base_ctes, c, "fisher" if kind == "binary" else None)
+        df = "greatest(r - 1, 1)"
+        parts.append(f"""SELECT {k * 1000} AS ord, CASE test WHEN 'fisher' THEN {fmt_p_sql(fisher)}
+  WHEN 'chisq_mc' THEN CASE WHEN stat > 10 * {df} + 60 THEN '<0.001' ELSE 'simulated' END
+  ELSE {fmt_p_sql(f"CASE WHEN stat > 10 * {df} + 60 THEN 0.0 ELSE {chisq_tail_sql('stat', df)} END")} END AS p, test
+FROM ({table})""")
+    both = " UNION ALL ".join(parts)
+    plain = [(c, "categorical" if kind == "binary" else kind, v) for c, kind, v in covs]
+    return f"""WITH t AS ({table1_sql(base_ctes, plain, g1_label, True)}), pv AS ({both})
+SELECT t.*, coalesce(pv.p, '') AS P_value, coalesce(pv.test, '') AS Test FROM t LEFT JOIN pv ON t.ord = pv.ord"""
+
+
+CONSTANT_COHORT = f"""cohort AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_acctbal IS NOT NULL THEN 'yes' END AS one_level FROM customer),
+{REGION_IDS}"""
+
+
+def constant_report_sql(label: str) -> str:
+    g = lambda x: f"""({x.format("WHERE id IN (SELECT id FROM ids)")}) AS "{label}", ({x.format("WHERE id NOT IN (SELECT id FROM ids)")}) AS "Everything else" """
+    same = lambda x: f"{sql_str(x)}, {sql_str(x)}"
+    n = "SELECT count(*) FROM cohort {}"
+    yes = "SELECT " + n_pct("count_if(one_level = 'yes')", "count_if(one_level IS NOT NULL)") + " FROM cohort {}"
+    miss = "SELECT " + n_pct("count_if(one_level IS NULL)", "count(*)") + " FROM cohort {}"
+    none = "SELECT " + n_pct("0", "count(*)") + " FROM cohort {}"
+    no = "SELECT " + n_pct("0", "count_if(one_level IS NOT NULL)") + " FROM cohort {}"
+    count = n.replace("count(*)", "CAST(count(*) AS VARCHAR) || ' (Count)'")
+    return f"""WITH {CONSTANT_COHORT},
+c AS (SELECT count_if(id IN (SELECT id FROM ids)) AS a, count_if(id NOT IN (SELECT id FROM ids)) AS b FROM cohort WHERE one_level IS NOT NULL),
+x AS (SELECT CAST((a - b) AS DOUBLE) ^ 2 / (a + b) AS stat FROM c)
+SELECT 0 AS ord, 'Count' AS Covariate, {g(count)}, '' AS P_value, '' AS Test
+UNION ALL SELECT 1000, 'constant', {same('')}, '—', 'welch'
+UNION ALL SELECT 1001, '   Mean', {same('7')}, '', ''
+UNION ALL SELECT 1002, '   Mode', {same('7')}, '', ''
+UNION ALL SELECT 1003, '   Mean (SD)', {same('7 (0)')}, '', ''
+UNION ALL SELECT 1999, '   Missing', {g(none)}, '', ''
+UNION ALL SELECT 2000, 'one_level', {same('')}, {fmt_p_sql(f"CASE WHEN stat > 60 THEN 0.0 ELSE {chisq_tail_sql('stat', '1')} END")}, 'chisq' FROM x
+UNION ALL SELECT 2001, '   yes', {g(yes)}, '', ''
+UNION ALL SELECT 2002, '   no', {g(no)}, '', ''
+UNION ALL SELECT 2999, '   Missing', {g(miss)}, '', ''"""
+
+
+EXACT_RANKSUM = """WITH v AS (
+  SELECT n_nationkey, n_regionkey = 0 AS one, row_number() OVER (ORDER BY x) AS rk FROM (
+    SELECT n_nationkey, n_regionkey, coalesce(sum(CAST(c_acctbal AS DECIMAL(18,2))), 0) + n_nationkey AS x
+    FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_regionkey)),
+s AS (SELECT sum(rk) FILTER (one) AS r1, count_if(one) AS n1, count_if(NOT one) AS n2 FROM v),
+draws AS (
+  SELECT a.rk + b.rk + c.rk + d.rk + e.rk AS r FROM v a JOIN v b ON a.rk < b.rk JOIN v c ON b.rk < c.rk JOIN v d ON c.rk < d.rk
+  JOIN v e ON d.rk < e.rk)
+SELECT 'balance' AS covariate, CAST(n1 AS BIGINT) AS rs_n1, CAST(n2 AS BIGINT) AS rs_n2, CAST(r1 AS DOUBLE) AS rs_r1,
+  round(least(1.0, 2.0 * least((SELECT count_if(r <= r1) FROM draws), (SELECT count_if(r >= r1) FROM draws)) / (SELECT count(*) FROM draws)), 9)
+    AS p, 'ranksum' AS test
+FROM s"""
+
+KIND_WARNINGS = """WITH c AS (
+  SELECT 'c_mktsegment' AS covariate, c_mktsegment AS value, false AS num FROM customer
+  UNION ALL SELECT 'c_acctbal', CAST(c_acctbal AS VARCHAR), true FROM customer
+  UNION ALL SELECT 'mixed', CAST(c_custkey AS VARCHAR), c_custkey % 2 = 0 FROM customer),
+k AS (SELECT covariate, bool_or(num) AS card_numeric, count_if(num) / count(*) AS share FROM c WHERE value IS NOT NULL GROUP BY covariate)
+SELECT covariate, card_numeric, share >= 0.9 AS table_numeric, CASE WHEN card_numeric AND share < 0.9 THEN
+  'only ' || CAST(round(100 * share, 1) AS VARCHAR) || '% of the values are numbers: statistics count as levels' END AS warning FROM k"""
+
+
 def table1_oracles(customer_covs, customer_kinds, label_covs, region_label, lang_label) -> dict[str, str]:
     cust_base = f"{CUSTOMER_COHORT},\n{REGION_IDS}"
     ccovs = [(c.column, customer_kinds.get(c.column, "categorical"), list(c.values)) for c in customer_covs]
     lcovs = [(c.column, "categorical", list(c.values)) for c in label_covs]
     return {
+        "table1_customers_two_group": report_p_sql(cust_base, ccovs, region_label),
+        "table1_labels_two_group": report_p_sql(LABELS_COHORT, [(c, "binary", v) for c, _, v in lcovs], lang_label),
+        "table1_labels_report_file": table1_sql(LABELS_COHORT, lcovs, lang_label, True),
+        "table1_constant_covariates": constant_report_sql(region_label),
+        "pearson_quality": contingency_sql(LABELS_COHORT, "quality_label", p="chisq_tail"),
+        "ranksum_exact_nation_balance": EXACT_RANKSUM,
+        "covariate_kind_warnings": KIND_WARNINGS,
+        "uploaded_ids_from_file": f"WITH {REGION_IDS} SELECT id, {sql_str(region_label)} AS label FROM ids",
+        "status_by_order": """SELECT o_orderkey AS id, o_custkey AS dst_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Dead' ELSE 'Alive' END
+  AS lkss, 'unknown' AS age_at_lkss FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1""",
+        "distribution_plot_order": f"""SELECT *, CAST(row_number() OVER (ORDER BY Percentage DESC, o_orderpriority NULLS LAST) AS INTEGER) AS rank
+FROM ({distribution_sql(MERGED, "merged", "o_orderpriority")})""",
         "table1_customers_counts": table1_sql(cust_base, ccovs, region_label, True),
         # same result, computed by the Spark side from per-entity pairs instead of the merged table
         "table1_customers_counts_from_pairs": table1_sql(cust_base, ccovs, region_label, True),

@@ -19,8 +19,10 @@ from ..operators.slices import first_per_key, latest_per_key
 from ..operators.merge import Merge, subject_pairs, union_pairs
 from ..operators.montecarlo import DEFAULT_REPLICATES, monte_carlo_p
 from ..operators.table1 import Covariate, table1
+from ..session import materialize, shared_path
 from ..sources.envelope import entity_types, optional_entities
-from ..session import materialize
+from ..sources.sinks import write_report
+from ..sources.subject_ids import subject_id_upload
 from . import standins as si
 
 RISK_BREAKS = [float(b) for b in range(0, 11)]
@@ -152,7 +154,61 @@ LANG_LABEL = "es_docs"
 
 def _t1_customers(s, d, two=True, with_p=True):
     ids = si.region_ids(s, d) if two else None
-    return table1(si.customer_cohort(s, d), CUSTOMER_COVARIATES, ids, REGION_LABEL, with_p=with_p)
+    return table1(si.customer_cohort(s, d), CUSTOMER_COVARIATES, ids, REGION_LABEL, with_p=with_p, with_test=with_p)
+
+
+CONSTANT_COVARIATES = [Covariate("constant", ["Mean", "Mode", "Mean (SD)"]), Covariate("one_level", ["yes", "no"])]
+
+
+def _t1_constant(s, d):
+    """Covariates without any spread: no rank-sum, no t-test, a table of one level."""
+    cohort = si.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("7").alias("constant"),
+                                               F.when(F.col("c_acctbal").isNotNull(), "yes").alias("one_level"))
+    return table1(cohort, CONSTANT_COVARIATES, si.region_ids(s, d), REGION_LABEL, with_test=True)
+
+
+def _exact_ranksum(s, d):
+    """Balances summed per nation, region 0 against the others: groups small enough for the exact test."""
+    c, n = si.table(s, d, "customer"), si.table(s, d, "nation")
+    per = (n.join(c, c.c_nationkey == n.n_nationkey, "left").groupBy("n_nationkey", "n_regionkey")
+           .agg(F.round(F.coalesce(F.sum(F.col("c_acctbal").cast("decimal(18,2)")), F.lit(0)) + F.col("n_nationkey"), 2).alias("x")))
+    cohort = per.select(F.col("n_nationkey").cast("string").alias("id"), F.col("x").cast("string").alias("balance"))
+    ids = n.where("n_regionkey = 0").select(F.col("n_nationkey").cast("string").alias("id"))
+    vc = _vc(s, d, cohort, ["balance"], ids)
+    t = st.ranksum_stats(vc).join(st.welch_stats(vc), "covariate", "full").withColumn("kind", F.lit("numeric"))
+    return t.select("covariate", "rs_n1", "rs_n2", "rs_r1").join(
+        st.p_values(t).select("covariate", F.round("p", 9).alias("p"), "test"), "covariate")
+
+
+def _kind_warnings(s, d):
+    mixed = si.table(s, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), "c_mktsegment", si.txt("c_acctbal").alias("c_acctbal"),
+        F.when(F.col("c_custkey") % 2 == 0, si.txt("c_acctbal")).otherwise(F.col("c_mktsegment")).alias("mixed"))
+    return st.kind_warnings(st.value_counts_long(mixed, ["c_mktsegment", "c_acctbal", "mixed"]))
+
+
+def _status_by_order(s, d):
+    """Status records with neither a date nor a numeric age: the first record of each subject."""
+    sc = si.survival_characteristic(s, d).drop("created_datetime").withColumn("age_at_lkss", F.lit("unknown"))
+    return sv.last_known_status(sc)[0].select("id", "dst_id", "lkss", "age_at_lkss")
+
+
+def _ids_from_file(s, d):
+    """The id list written as an uploaded file, one id per line with blanks around, and read back with its label."""
+    path = shared_path(s, f"{REGION_LABEL}.txt")
+    ids = si.region_ids(s, d)
+    lines = ids.select(F.concat(F.lit("  "), "id", F.lit("\t"))).unionAll(ids.select("id")).unionAll(ids.select(F.lit(" ")).distinct())
+    lines.write.text(path)
+    read, label = subject_id_upload(s, path)
+    return read.withColumn("label", F.lit(label))
+
+
+def _report_from_file(s, d):
+    """The labels report written as csv and read back."""
+    path = shared_path(s, "report")
+    write_report(_t1_labels(s, d, with_p=False).drop("P_value"), path)
+    return s.read.option("header", True).option("nullValue", "NULL").schema(
+        f"ord int, Covariate string, `{LANG_LABEL}` string, `Everything else` string").csv(path)
 
 
 def entity_pairs(s, d, column):
@@ -181,7 +237,7 @@ def customer_pairs(s, d):
 
 
 def _t1_labels(s, d, with_p=True):
-    return table1(si.labels_cohort(s, d), LABEL_COVARIATES, si.language_ids(s, d), LANG_LABEL, with_p=with_p)
+    return table1(si.labels_cohort(s, d), LABEL_COVARIATES, si.language_ids(s, d), LANG_LABEL, with_p=with_p, with_test=with_p)
 
 
 def _vc(s, d, cohort, cols, ids):
@@ -266,6 +322,16 @@ TABLE1 = {
 }
 TABLE1["distribution_segment_from_pairs"] = lambda s, d: r9(ds.percentage_distribution(
     None, "c_mktsegment", pairs=entity_pairs(s, d, "c_mktsegment")))
+TABLE1.update({
+    "pearson_quality": lambda s, d: _contingency(si.labels_cohort(s, d), "quality_label", si.language_ids(s, d), p="pearson"),
+    "table1_constant_covariates": _t1_constant,
+    "ranksum_exact_nation_balance": _exact_ranksum,
+    "covariate_kind_warnings": _kind_warnings,
+    "status_by_order": _status_by_order,
+    "distribution_plot_order": lambda s, d: r9(ds.plot_order(ds.percentage_distribution(merged(s, d), "o_orderpriority"))),
+    "uploaded_ids_from_file": _ids_from_file,
+    "table1_labels_report_file": _report_from_file,
+})
 QUERIES.update(TABLE1)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> st
     return None
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the folder that driver and executors share: the checkpoint folder, else the warehouse."""
+    root = ensure_checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage of a small intermediate that several jobs reuse.
 

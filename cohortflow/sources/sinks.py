@@ -23,5 +23,6 @@ def write_distribution(dist: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Table 1 report as one csv file in row order (tens of rows: a single file is fine)."""
-    report.orderBy("ord").coalesce(1).write.mode(mode).option("header", True).csv(path)
+    """Table 1 report as one csv file in row order (tens of rows: a single file is fine). Indented labels stay indented."""
+    (report.orderBy("ord").coalesce(1).write.mode(mode).option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
