@@ -1,14 +1,17 @@
 """Running sums / products over an ordered column without a single-task window.
 
 ``Window.orderBy(t)`` with no partition key moves every row into one task. Here the
-ordered column is cut into ranges at approximate quantiles; each range computes its
+ordered column is cut into ranges; each range computes its
 own running values in parallel (a window partitioned by range), and the totals of
 earlier ranges (one row per partition key and range) are added (or multiplied) back in. Results equal the single-window result up to
 floating-point association.
 
+Ranges follow from a value alone: 4096 of equal width in every interval between powers of two. So no job
+looks for quantiles, every plan cuts alike, and the number of ranges of a key is bounded by the reach of its values.
+
 The input is expected to be an aggregate (one row per key and order value), small
-next to the scan it came from; ``add_ranges`` materialises it once so the quantile
-job and the main job do not both recompute the upstream shuffle.
+next to the scan it came from; ``add_ranges`` materialises it once so that the branches of the
+plan do not recompute the upstream shuffle.
 """
 
 from __future__ import annotations
@@ -25,19 +28,30 @@ from ..session import materialize
 RANGE = "_range"
 
 
-def default_ranges(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+OCTAVE = 4096           # ranges between two powers of two
+OUTER = 1 << 30         # range of infinite values; missing ones and NaN lie beyond
+
+
+def value_range(order: Column) -> Column:
+    """Number of the range that holds a value: never smaller for a larger value, like the order of a window."""
+    x = order.cast("double")
+    a = F.abs(x)
+    power = F.floor(F.log2(F.greatest(a, F.lit(5e-324))))
+    inner = F.floor((a / F.pow(F.lit(2.0), power) - 1) * OCTAVE)
+    size = F.when(a < 1e-300, F.lit(0)).otherwise(((power + 1100) * OCTAVE + inner).cast("int"))
+    return (F.when(x.isNull(), F.lit(-2 * OUTER + 1)).when(F.isnan(x), F.lit(OUTER + 1)).when(x == float("inf"), F.lit(OUTER))
+            .when(x == float("-inf"), F.lit(-OUTER)).when(x < 0, -size).otherwise(size))
 
 
 def add_ranges(df: DataFrame, order: str, n_ranges: int | None = None,
                rel_err: float = 0.001) -> tuple[DataFrame, int]:
-    """Materialise ``df`` and add a ``_range`` column cutting ``order`` at quantiles.
+    """Materialise ``df`` and add a ``_range`` column cutting ``order`` by value, or at quantiles into ``n_ranges``.
 
-    Returns the frame and its number of ranges. ``n_ranges=None`` takes one range per shuffle
-    partition, at any size of the frame. Infinite and missing values go to the outer ranges; a
-    frame without a finite cut is one range.
+    Returns the frame and its number of quantile ranges, or zero for ranges by value. Infinite and missing values go to
+    the outer ranges; a frame without a finite cut is one range.
     """
-    n_ranges = n_ranges or default_ranges(df)
+    if n_ranges is None:
+        return materialize(df).withColumn(RANGE, value_range(F.col(order))), 0
     if n_ranges <= 1:
         return df, 1
     df = materialize(df)
@@ -58,7 +72,7 @@ def running(df: DataFrame, order: str, partition_by: Sequence[str] = (),
             products: Mapping[str, Column] | None = None, n_ranges: int = 1) -> DataFrame:
     """Add inclusive running ``sums`` / ``products`` ordered by ``order`` within ``partition_by``.
 
-    ``n_ranges`` comes from ``add_ranges``: with several, ``df`` carries ``_range``; one range is a
+    ``n_ranges`` comes from ``add_ranges``: unless it is one, ``df`` carries ``_range``; one range is a
     plain window per partition key.
     ``order`` must be unique within each partition key.
     """
@@ -74,7 +88,7 @@ def running(df: DataFrame, order: str, partition_by: Sequence[str] = (),
         return ([F.sum(f"_v_{n}").over(w).alias(f"{prefix}{n}") for n in sums]
                 + [F.product(f"_v_{n}").over(w).alias(f"{prefix}{n}") for n in products])
 
-    if n_ranges <= 1:
+    if n_ranges == 1:
         return base.select("*", *window_cols(list(partition_by), "")).drop(*[f"_v_{n}" for n in names])
 
     keys = list(partition_by) + [RANGE]

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortflow.operators.running import add_ranges, running
+from cohortflow.operators.running import add_ranges, running, value_range
 from cohortflow.operators.slices import first_per_key, latest_per_key
 
 
@@ -36,7 +36,7 @@ def test_ranged_running_sums_equal_single_window(spark):
     df = spark.createDataFrame(data, "g string, x double, c int")
     w = Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ref = {(r.g, r.x): r.s for r in df.select("g", "x", F.sum("c").over(w).alias("s")).collect()}
-    for n in (1, 7):
+    for n in (1, 7, None):
         ranged, k = add_ranges(df, "x", n)
         got = running(ranged, "x", ["g"], sums={"s": F.col("c")}, n_ranges=k)
         got = {(r.g, r.x): r.s for r in got.collect()}
@@ -52,3 +52,17 @@ def test_ranged_running_product(spark):
     for r in got:
         prod *= 1.0 - 1.0 / (r.x + 2)
         assert abs(r.p - prod) < 1e-12
+
+
+def test_value_ranges_follow_the_order(spark):
+    random.seed(4)
+    values = [0.0, -0.0, 1e-310, 5e-324, 1e-300, float("inf"), float("-inf"), 1.0, 2.0, 4.0, 8.0, 1e300, -1e300]
+    for _ in range(3000):
+        x = random.choice([-1, 1]) * random.random() * 2.0 ** random.randint(-60, 60)
+        values += [x, x * (1 + 2 ** -52), round(x, 2)]
+    values += [2.0 ** k * (1 + s * 2 ** -52) for k in range(-1000, 1000, 7) for s in (-1, 0, 1)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r["r"] for r in df.select("x", value_range(F.col("x")).alias("r")).orderBy("x").collect()]
+    assert got == sorted(got)
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(value_range(F.col("x")).alias("r")).collect()
+    assert odd[0]["r"] < min(got) and odd[1]["r"] > max(got)
