@@ -103,16 +103,18 @@ def _json_type(dt: T.DataType, nested: bool = False) -> T.DataType:
 def json_schemas(envelope: DataFrame, per_entity: bool = True) -> dict[str | None, T.StructType]:
     """Record schema of every entity type with a JSON text payload, merged over all its records in one job.
 
-    Without ``per_entity`` one schema for all rows, under None.
+    Keys come in the order of their first place in a record. Without ``per_entity`` one schema for all rows, under None.
     """
-    learned = F.schema_of_variant_agg(F.try_parse_json("object")).alias("s")
-    rows = (envelope.groupBy("name").agg(learned) if per_entity else envelope.agg(learned).withColumn("name", F.lit(None))).collect()
-    out = {}
+    fields = envelope.select(F.col("name") if per_entity else F.lit(None).cast("string").alias("name"), F.posexplode(
+        F.map_entries(F.from_json("object", "map<string,variant>"))).alias("p", "e"))
+    rows = fields.groupBy("name", F.col("e.key").alias("k")).agg(
+        F.min("p").alias("p"), F.schema_of_variant_agg("e.value").alias("s")).orderBy("name", "p", "k").collect()
+    out: dict[str | None, T.StructType] = {} if per_entity else {None: T.StructType([])}
     for r in rows:
         # quoted names are left alone
         ddl = re.sub(r"(`(?:[^`]|``)*`)|\bOBJECT<", lambda m: m[1] or "STRUCT<", r["s"] or "VOID")
-        dt = T.StructType.fromDDL(f"o {ddl}").fields[0].dataType
-        out[r["name"]] = _json_type(dt) if isinstance(dt, T.StructType) else T.StructType([])
+        dt = _json_type(T.StructType.fromDDL(f"o {ddl}").fields[0].dataType, True)
+        out[r["name"]] = T.StructType([*out.get(r["name"], T.StructType([])).fields, T.StructField(r["k"], dt)])
     return out
 
 

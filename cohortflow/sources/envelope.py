@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidEnvelope, MissingEntity
+from ..session import shared_path
 
 # Envelope columns, entity types handled by the fixed analyses,
 # and entity types never offered as optional joins.
@@ -52,16 +53,23 @@ def _read_avro(spark: SparkSession, path: str) -> DataFrame:
     except Exception as e:  # noqa: BLE001 - the data source is optional
         if "avro" not in str(e).lower():
             raise
-    # Fallback: Avro records rendered as JSON text by the avro-mapred input format
-    # bundled with Spark (splittable, one JSON document per record), parsed by Spark's
-    # JSON reader. The text passes through Python workers once: stage the result.
+    # Fallback: Avro records rendered as JSON text by the avro-mapred input format bundled with Spark (splittable,
+    # one JSON document per record). The text is staged on shared storage by the JVM and read by Spark's JSON reader.
     missing = [c for c in ENVELOPE_COLUMNS if c not in _avro_field_names(spark, path)]
     if missing:
         raise InvalidEnvelope(missing)
-    sc = spark.sparkContext
-    rdd = sc.hadoopFile(path, "org.apache.avro.mapred.AvroAsTextInputFormat",
-                        "org.apache.hadoop.io.Text", "org.apache.hadoop.io.Text")
-    return spark.read.schema(TEXT_SCHEMA).json(rdd.map(lambda kv: kv[0]))
+    staged = shared_path(spark, "avro-text")
+    _stage_avro_text(spark, path, staged)
+    return spark.read.schema(TEXT_SCHEMA).json(staged)
+
+
+def _stage_avro_text(spark: SparkSession, path: str, out: str) -> None:
+    """Write the records of an Avro file as JSON lines, without a Python worker."""
+    jvm = spark.sparkContext._jvm
+    of = lambda name: jvm.java.lang.Class.forName(name, True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    text = of("org.apache.hadoop.io.Text")
+    records = spark.sparkContext._jsc.hadoopFile(path, of("org.apache.avro.mapred.AvroAsTextInputFormat"), text, text)
+    records.keys().saveAsTextFile(out)
 
 
 # records that are tried first: if they hold every column, the rest need not be read for the check

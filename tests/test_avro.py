@@ -71,6 +71,8 @@ def test_avro_round_trip(spark, tmpdir_path):
     _write(spark, path, SCHEMA, _records)
     env = read_entities(spark, path)
     assert entity_names(env) == ["person", "subject"]
+    plan = env._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan
     sub = flatten_entity(env, "subject")
     assert sub.columns == ["id", "name", "age", "state", "tags", "created_datetime", "dst_id", "dst_name"]
     rows = {r.id: r for r in sub.collect()}

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from cohortflow.functions.datetime import find_datetime_col, parse_datetime
+from cohortflow.functions.datetime import _first_values, find_datetime_col, parse_datetime
 from cohortflow.plans.prepare import prepare, status_text
 from cohortflow.plans import standins as si
 from fixture_paths import SF_SMALL
@@ -33,3 +33,13 @@ def test_prepare_flow(spark):
     assert "o_orderpriority" in prep.categorical and "c_acctbal" in prep.numeric
     assert status_text(prep).startswith("Merged dataset rows: ")
     assert prep.merged.where(F.col("id_lineitem").isNotNull()).count() > 0
+
+
+def test_only_the_first_values_of_a_column_count(spark):
+    late = [(f"{i:04d}", "x" if i < 30 else "2020-01-01T00:00:00", "2021-05-05 10:00" if i < 20 else "n/a") for i in range(300)]
+    df = spark.createDataFrame(late, "id string, a string, b string").repartition(7)
+    assert find_datetime_col(df) == "b"                      # 20 of its first 30; a's dates come later
+    assert find_datetime_col(df.drop("b")) is None
+    assert find_datetime_col(df.withColumn("a", F.when(F.col("id") >= "0030", F.col("a")))) == "a"      # nulls are passed over
+    plan = _first_values(df)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -186,7 +186,7 @@ def test_json_values_of_several_types_and_odd_keys(spark):
                                "id string, name string, object string, relations string")
     members = union_members(df)
     lab = flatten_entity(df, "lab", members=members)
-    assert lab.columns == ["id", "name", "Sex", "big", "dup", "f", "k.x", "m", "o", "st", "wide", "dst_id", "dst_name"]
+    assert lab.columns == ["id", "name", "m", "f", "k.x", "Sex", "big", "o", "dup", "wide", "st", "dst_id", "dst_name"]
     assert lab.collect() == flatten_entity(df, "lab").collect()
     r = {x["id"]: x.asDict() for x in lab.collect()}
     assert [r[i]["m"] for i in "01234"] == ["1", "one two", "1;2.5", None, None]
