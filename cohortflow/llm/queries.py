@@ -78,15 +78,33 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(read_table(spark, sf_dir, "pages"))
 
 
+def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the license scan that SQL can say."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the quality rules that SQL can say."""
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def personal_data_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the personal data report that SQL can say."""
+    return op3_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_quality_rules, op3_personal_data, op4_simhash, op5_sentencepiece, op6_nearest_neighbours,
         op7_token_counts, op8_suffix_dedup, op9_language_id, op10_best_fit_packing, op11_periodic_runs,
-        op12_centroid_clustering, op13_warc)
+        op12_centroid_clustering, op13_warc, license_base_columns, quality_base_columns, personal_data_base_columns)
 }
 
 # The other operators' whole results cannot be said in SQL; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {
     "op12_centroid_clustering": sql.centroid_clustering(),
     "op13_warc": sql.archived_pages(),
+    "license_base_columns": sql.license_base(),
+    "quality_base_columns": sql.quality_base(),
+    "personal_data_base_columns": sql.personal_data_base(),
 }
