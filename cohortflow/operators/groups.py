@@ -62,3 +62,28 @@ def assign_groups(df: DataFrame, ids: DataFrame | None, label: str | None = None
     if ids is not None and n1 > 0 and n2 > 0:
         return Grouping("two", n_all, n1, n2, label or DEFAULT_G1_LABEL, OTHERS_LABEL)
     return Grouping("single", n_all, 0, 0, None, OTHERS_LABEL)
+
+
+BUCKET_BITS = 32768         # of a bitmap function's bucket
+MOST_BUCKETS = 8192         # of an id filter: 32 MB
+BITS_PER_ID = 16
+
+
+def listed_only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``key`` may be in ``ids`` (first column), by a broadcast bit set: all listed rows and a few others.
+
+    Meant to run with the scan, before rows are grouped or shuffled; an exact semi-join afterwards drops the others. The bit set has
+    BITS_PER_ID bits an id up to a fixed size, beyond which only more rows pass.
+    """
+    kind = df.schema[key].dataType
+    text = ids.select(F.col(f"`{ids.columns[0]}`").cast(kind).cast("string").alias("id")).where(F.col("id").isNotNull())
+    buckets = min(MOST_BUCKETS, 1 + text.count() * BITS_PER_ID // BUCKET_BITS)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets * BUCKET_BITS)) + 1
+    bits = (text.select(place(F.col("id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits")))
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
+    marked = df.withColumn("_place", place(F.col(f"`{key}`").cast("string")))
+    return (marked.join(F.broadcast(bits), F.bitmap_bucket_number("_place") == F.col("_bucket"))      # at most MOST_BUCKETS rows
+            .where(hit).select(*[F.col(f"`{c}`") for c in df.columns]))

@@ -10,7 +10,8 @@ binomial split.
 Levels with one row total are exchangeable, so a table is its classes (row total, number of
 levels): at most sqrt(2 N) of them, however many levels there are. Replicates are cut into a
 fixed number of chunks, one small row each; a chunk simulates the classes in order of their
-row total, vectorised over its replicates. All levels of row total one (an ID-like
+row total, vectorised over its replicates: a draw for the class as a whole, then halving its levels until they
+are alone, all halves of a depth at once and no more than CELLS of them. All levels of row total one (an ID-like
 covariate) are a single draw. Streams are seeded by (seed, covariate, chunk), so the p-value
 does not depend on partitions, executors or the number of levels.
 """
@@ -30,6 +31,7 @@ from ..session import materialize
 DEFAULT_REPLICATES = 5000
 ALMOST_ONE = 1 - 64 * 2.220446049250313e-16
 CHUNKS = 64
+CELLS = 1 << 21             # numbers (replicates times levels) that a task holds at once
 # numpy's exact sampler takes arguments below this
 SAMPLER_LIMIT = 10 ** 9
 
@@ -75,13 +77,42 @@ def simulate(rng: np.random.Generator, totals: list[int], levels: list[int], c1:
             stat += x * ((1 - e1) ** 2 / e1 + e2) + (m - x) * (e1 + (1 - e2) ** 2 / e2)
             left, rest = left - x, rest - m
             continue
-        for _ in range(m):
-            x = hypergeometric(rng, t, rest - t, left) if rest > t else left
-            stat += (x - e1) ** 2 / e1 + (t - x - e2) ** 2 / e2
-            left, rest = left - x, rest - t
+        x = hypergeometric(rng, t * m, rest - t * m, left) if rest > t * m else left
+        for level in halved(rng, t, m, x):
+            stat += ((level - e1) ** 2 / e1 + (t - level - e2) ** 2 / e2).sum(axis=1)
+        left, rest = left - x, rest - t * m
     return stat
 
 
+def halved(rng: np.random.Generator, t: int, m: int, drawn: np.ndarray):
+    """Deal ``drawn`` items (one number per replicate) to m levels of t items: arrays (replicate, level) of blocks of levels.
+
+    A block of levels is halved by one hypergeometric draw per replicate, so m levels take log m steps; blocks of more
+    than CELLS numbers are dealt one half after the other.
+    """
+    if m > 1 and m * len(drawn) > CELLS:
+        first = m // 2
+        x = hypergeometric(rng, t * first, t * (m - first), drawn)
+        yield from halved(rng, t, first, x)
+        yield from halved(rng, t, m - first, drawn - x)
+        return
+    sizes, items = np.array([m]), drawn[:, None]
+    while (sizes > 1).any():
+        halves, dealt = [], []
+        for size in np.unique(sizes):          # two sizes at most
+            own = items[:, sizes == size]
+            if size == 1:
+                halves.append(np.ones(own.shape[1], dtype=np.int64))
+                dealt.append(own)
+                continue
+            a, b = int(size) // 2, int(size) - int(size) // 2
+            x = hypergeometric(rng, t * a, t * b, own)
+            halves += [np.full(own.shape[1], a), np.full(own.shape[1], b)]
+            dealt += [x, own - x]
+        sizes, items = np.concatenate(halves), np.concatenate(dealt, axis=1)
+    yield items
+
+
 def _chunk_hits(it, seed: int, replicates: int):
     """Rows (covariate, totals, levels, C1, N, stat, chunk) -> (covariate, hits)."""
     for pdf in it:

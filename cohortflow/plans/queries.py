@@ -34,13 +34,13 @@ def r9(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ survival
-def os_frame(spark, d):
-    return sv.overall_survival(si.timing(spark, d), si.survival_characteristic(spark, d))
+def os_frame(spark, d, ids=None):
+    return sv.overall_survival(si.timing(spark, d), si.survival_characteristic(spark, d), ids=ids)
 
 
-def efs_frame(spark, d):
+def efs_frame(spark, d, ids=None):
     return sv.event_free_survival(si.efs_subject(spark, d), si.timing(spark, d),
-                                  subject_tiebreak="record_key")
+                                  subject_tiebreak="record_key", ids=ids)
 
 
 def os_grouped(spark, d):
@@ -72,7 +72,7 @@ SURVIVAL = {
     "overall_survival_text_dates": lambda s, d: r9(os_text_dates(s, d)),
     "overall_survival_without_dates": lambda s, d: r9(os_without_dates(s, d)),
     "event_free_survival_without_dates": lambda s, d: r9(efs_without_dates(s, d)),
-    "km_efs_uploaded_ids": lambda s, d: r9(sv.kaplan_meier(sv.restrict_to_ids(efs_frame(s, d), si.region_ids(s, d)))),
+    "km_efs_uploaded_ids": lambda s, d: r9(sv.kaplan_meier(efs_frame(s, d, si.region_ids(s, d)))),
     "overall_survival": lambda s, d: r9(os_frame(s, d)),
     "event_free_survival": lambda s, d: r9(efs_frame(s, d)),
     "km_overall_survival": lambda s, d: r9(sv.kaplan_meier(os_frame(s, d))),

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from cohortflow.operators import finishers as fin
+from cohortflow.operators import montecarlo
 from cohortflow.operators.montecarlo import hypergeometric, simulate
 from cohortflow.operators.running import add_ranges, running
 
@@ -80,3 +81,21 @@ def test_ranges_with_infinite_and_missing_values(spark):
     assert got == {float("-inf"): 2, 1.0: 5, 2.0: 9, float("inf"): 10}
     empty, k = add_ranges(spark.createDataFrame([], "x double, c int"), "x", 4)
     assert k == 1 and running(empty, "x", [], sums={"s": empty["c"]}, n_ranges=k).count() == 0
+
+
+def test_levels_of_a_class_are_dealt_by_halving(monkeypatch):
+    rng = np.random.default_rng(1)
+    for cells in (1 << 21, 64):
+        monkeypatch.setattr(montecarlo, "CELLS", cells)
+        drawn = rng.integers(0, 7 * 11, 4000)
+        level = np.concatenate(list(montecarlo.halved(rng, 7, 11, drawn)), axis=1)
+        assert level.shape == (4000, 11) and (level.sum(axis=1) == drawn).all() and level.min() >= 0 and level.max() <= 7
+        # every level has the same share, and that of a hypergeometric draw of its own
+        assert abs(level.mean(axis=0) - drawn.mean() / 11).max() < 0.2
+        share = drawn / 77
+        expected = (7 * share * (1 - share) * 70 / 76).mean() + np.var(drawn / 11)
+        assert abs(level.var(axis=0) - expected).max() < 0.35
+    monkeypatch.setattr(montecarlo, "CELLS", 1 << 21)
+    stat = simulate(np.random.default_rng(2), [2], [10_000_000], 4_000_000, 20_000_000, 1)
+    # chi-square of ten million degrees of freedom, within five standard deviations (levels of two have a smaller spread)
+    assert abs(stat[0] / 10_000_000 - 1) < 0.01
