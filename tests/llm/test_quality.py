@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from cohortflow.llm.quality import (QualityRule, cascade, default_rules, judge_quality, plan_cascade, quality_report,
+from cohortflow.llm.quality import (QualityRule, cascade, default_rules, draw_sample, judge_quality, plan_cascade, quality_report,
                                     text_counts)
 
 
@@ -62,3 +62,11 @@ def test_cascade_runs_by_rejection_per_cost(documents):
     plan = plan_cascade(counted, rules)
     assert [p["rule"].name for p in plan] == ["always", "never"]
     assert plan[0]["selectivity"] == 1.0 and all(p["cost"] > 0 for p in plan)
+
+
+def test_sample_does_not_grow_with_partitions(spark):
+    df = spark.range(40000).selectExpr("id AS doc_id", "concat('text ', id % 9000) AS text")
+    for parts in (1, 64):
+        n = draw_sample(df.repartition(parts), 2000).count()
+        assert 1700 < n < 2300
+    assert draw_sample(df.limit(50), 2000).count() == 50 and draw_sample(df.where("false")).count() == 0
