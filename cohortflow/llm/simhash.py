@@ -12,9 +12,10 @@ least one choice of (blocks - D) blocks. Joining cells, keeping pairs within Man
 distance D and verifying the Hamming distance finds every link. More blocks make finer cells;
 their number follows the number of classes and only moves cost.
 
-Crowded cells (many fingerprints that agree on most counts) are cut into tiles; a
-tile links its members by breadth-first search, so a dense group costs a spanning forest and
-not all its pairs.
+Members of crowded cells (many fingerprints that agree on most counts) are dealt out once more, by blocks of
+the fingerprint's own bits: within distance D two agree exactly on all but D blocks. Only what agrees in four whole blocks of seven
+and is still crowded is cut into tiles; a tile links its members by breadth-first search, so a dense group costs a
+spanning forest and not all its pairs.
 """
 
 from __future__ import annotations
@@ -110,29 +111,48 @@ def _forest(distance: int):
     return link
 
 
+def bit_masks(distance: int) -> list[int]:
+    """Masks of fingerprint bits: every choice of all but ``distance`` blocks of bits, four blocks more than the distance."""
+    parts = np.array_split(np.arange(64), distance + 4)
+    bits = [sum(1 << int(b) for b in p) for p in parts]
+    masks = [sum(c) for c in itertools.combinations(bits, 4)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def _cells(members: DataFrame, key: str, masks: list[int], name: str) -> DataFrame:
+    """Members (fp, code) with every cell (grid, cell) they share with others, and its size n."""
+    cells = members.select("fp", "code", F.posexplode(F.array(*[F.col(key).bitwiseAND(F.lit(m)) for m in masks]))
+                           .alias("grid", "cell"))
+    sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    return settle(cells.join(sizes, ["grid", "cell"]).select("grid", "cell", "n", "fp", "code"), name)
+
+
+def _pairs(cells: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) within small cells that the Manhattan bound lets through and the Hamming distance confirms."""
+    left, right = (cells.select("grid", "cell", F.col("fp").alias(f), F.col("code").alias(c))
+                   for f, c in (("a", "code_a"), ("b", "code_b")))
+    differ = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    return (left.join(right, ["grid", "cell"])
+            .where((F.col("a") < F.col("b")) & (differ("code_a", "code_b") <= distance) & (differ("a", "b") <= distance))
+            .select("a", "b"))
+
+
 def links(classes: DataFrame, distance: int = 3) -> DataFrame:
     """Fingerprint pairs (a, b) within ``distance`` bits; for crowded tiles a spanning forest of them.
 
     ``classes`` holds distinct long column ``fp``. Every two fingerprints within the distance
     end up in one connected component of the result.
     """
-    masks = grid_masks(classes.count(), distance)
     coded = classes.select("fp", unary_counts(F.col("fp")).alias("code"))
-    cells = coded.select("fp", "code", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m)) for m in masks]))
-                         .alias("grid", "cell"))
-    sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = settle(cells.join(sizes, ["grid", "cell"]).select("grid", "cell", "n", "fp", "code"), "cells")
-    few = shared.where(F.col("n") <= CROWD)
-    left, right = (few.select("grid", "cell", F.col("fp").alias(f), F.col("code").alias(c))
-                   for f, c in (("a", "code_a"), ("b", "code_b")))
-    differ = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    pairs = (left.join(right, ["grid", "cell"])
-             .where((F.col("a") < F.col("b")) & (differ("code_a", "code_b") <= distance) & (differ("a", "b") <= distance))
-             .select("a", "b"))
+    shared = _cells(coded, "code", grid_masks(classes.count(), distance), "cells")
+    # members of crowded cells, each once, are dealt anew by the bits themselves
+    crowd = shared.where(F.col("n") > CROWD).select("fp", "code").distinct()
+    finer = _cells(crowd, "fp", bit_masks(distance), "finer")
+    pairs = _pairs(shared.where(F.col("n") <= CROWD), distance).unionAll(_pairs(finer.where(F.col("n") <= CROWD), distance))
     # a member of part p joins the tiles {p, q} of every part q
     parts = F.ceil(F.col("n") / TILE).cast("int")
     part = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    tiled = (shared.where(F.col("n") > CROWD)
+    tiled = (finer.where(F.col("n") > CROWD)
              .select("grid", "cell", "fp", part.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q"))
              .select("grid", "cell", "fp", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")))
     forest = tiled.groupBy("grid", "cell", "i", "j").applyInPandas(_forest(distance), "a long, b long")
@@ -155,7 +175,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     The component id is the smallest doc_id reachable over links of at most ``distance`` differing
     bits. Texts without words (null, empty, blank) have fingerprint zero and link like any
     other. A null doc_id takes part but never becomes an id unless its component has no other; repeated rows
-    repeat. Other columns are not read.
+    repeat, an empty table gives an empty result. A very long text is hashed whole, in one task. Other columns are not read.
     """
     fps = settle(fingerprints(docs, shingle), "fingerprints")
     groups = group_fingerprints(fps, distance)

@@ -94,3 +94,35 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     roots = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     assert set(roots.values()) == {0, 1000} and len(roots) == 301
+
+
+def test_crowded_cells_of_several_tiles_against_brute_force(spark):
+    # 20,000 fingerprints that differ in twenty weak bits only, thinned so that some are alone, and a distant group
+    rng = np.random.default_rng(8)
+    weak = np.sort(rng.choice(64, 20, replace=False))
+    base = int(rng.integers(0, 2 ** 62))
+    codes = np.unique(rng.integers(0, 2 ** 20, 6000))
+    fps = [base ^ sum(1 << int(weak[b]) for b in range(20) if c >> b & 1) for c in codes.tolist()]
+    fps += [(base ^ (0xFFFF << 20)) ^ (1 << b) for b in range(30)]
+    signed = sorted({f - 2 ** 64 if f >= 2 ** 63 else f for f in fps})
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    found = connected_components(links(df)).collect()
+    root = {r["node"]: r["root"] for r in found}
+    x = np.array(signed, dtype=np.int64).view(np.uint64)
+    label = np.arange(len(x))
+    while True:
+        low = label.copy()
+        for i in range(len(x)):
+            near = np.bitwise_count(x[i] ^ x) <= 3
+            low[i] = label[near].min()
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    want = {}
+    for f, k in zip(signed, label.tolist()):
+        want.setdefault(k, []).append(f)
+    groups = {}
+    for f in signed:
+        groups.setdefault(root.get(f, f), []).append(f)
+    assert sorted(groups.values()) == sorted(want.values()) and max(map(len, want.values())) > 4000
