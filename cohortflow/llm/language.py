@@ -268,7 +268,8 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing could be
-    learned. Ties go to the language that sorts first. Repeated rows repeat; other columns are not read.
+    learned. Ties go to the language that sorts first. Repeated rows repeat, an empty table gives an empty result; other columns are not
+    read. Very long texts are labelled whole, in one task.
     """
     model = fit_on_documents(docs)
     found = predict_languages(docs.select("doc_id", "text"), model)

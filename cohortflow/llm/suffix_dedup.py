@@ -379,5 +379,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_cols: tuple[str, ...]
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, for windows of 200 bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, for windows of 200 bytes.
+
+    Null texts are empty; repeated rows repeat, and each removes the other's bytes; an empty table gives an empty result; other columns are
+    not read. A very long text is cut into phrases as a whole, in one task.
+    """
     return remove_repeats(docs, 200)
