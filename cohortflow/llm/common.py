@@ -34,9 +34,11 @@ def tokenizer_file(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share; a fresh one only where none is configured."""
-    return (ensure_checkpoint_dir(spark)
-            or ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="cohortflow-", dir="/tmp")))
+    """The checkpoint folder all executors share. A session on one machine that has none gets a fresh one; a cluster must name it."""
+    known = ensure_checkpoint_dir(spark)
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return known or ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="cohortflow-", dir="/tmp"))
 
 
 def settled_path(spark: SparkSession, name: str) -> str:
@@ -97,16 +99,21 @@ def scan_array(items: Column, zero: Column, move, out, kind: str) -> Column:
     """
     nothing = lambda deep: F.array().cast(f"array<{deep}>")
     step = lambda a, x: F.struct(move(a["at"], x).alias("at"), F.concat(a["out"], F.array(out(a["at"], x))).alias("out"))
+    begin = lambda at: F.struct(at.alias("at"), nothing(kind).alias("out"))
 
-    def chunk(a, c):
-        done = F.aggregate(F.slice(items, c * 256 + 1, 256), F.struct(a["at"].alias("at"), nothing(kind).alias("out")), step)
-        return F.aggregate(F.array(done), a, lambda b, d: F.struct(
-            d["at"].alias("at"), F.concat(b["out"], F.array(d["out"])).alias("out")))
+    def whole(own):
+        def chunk(a, c):
+            done = F.aggregate(F.slice(own, c * 256 + 1, 256), begin(a["at"]), step)
+            return F.aggregate(F.array(done), a, lambda b, d: F.struct(
+                d["at"].alias("at"), F.concat(b["out"], F.array(d["out"])).alias("out")))
 
-    chunks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / 256).cast("int"))
-    nested = F.aggregate(chunks, F.struct(zero.alias("at"), nothing(f"array<{kind}>").alias("out")), chunk,
-                         lambda a: F.flatten(a["out"]))
-    return F.when(F.size(items) > 0, nested)
+        chunks = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / 256).cast("int"))
+        nested = F.aggregate(chunks, F.struct(zero.alias("at"), nothing(f"array<{kind}>").alias("out")), chunk,
+                             lambda a: F.flatten(a["out"]))
+        return F.when(F.size(own) > 256, nested).when(F.size(own) > 0, F.aggregate(own, begin(zero), step, lambda a: a["out"]))
+
+    # bound as the element of an array, the items are computed once and not once per chunk
+    return F.transform(F.array(items), whole)[0]
 
 
 def running_spans(steps: Column) -> Column:

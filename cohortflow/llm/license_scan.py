@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import ascii_lower
+from cohortflow.llm.common import ascii_lower, scan_array
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -238,14 +238,10 @@ def _intervals(hit: Column) -> Column:
     """Word intervals of one rule's hits, from the hits and the text pieces between them."""
     steps = F.transform(hit["found"], lambda m, i: F.struct(
         _spaces(m).alias("inner"), _spaces(F.get(hit["between"], i)).alias("gap")))
-    zero = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-    return F.aggregate(
-        steps, zero,
-        lambda a, s: F.struct((a["at"] + s["gap"] + s["inner"]).alias("at"),
-                              F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"),
-                                                                  (a["at"] + s["gap"] + s["inner"] + 1).alias("stop")))
-                                       ).alias("out")),
-        lambda a: a["out"])
+    stop = lambda at, s: at + s["gap"] + s["inner"]
+    placed = scan_array(steps, F.lit(-1), stop, lambda at, s: F.struct((at + s["gap"]).alias("start"), (stop(at, s) + 1).alias("stop")),
+                        "struct<start:int,stop:int>")
+    return F.coalesce(placed, F.array().cast("array<struct<start:int,stop:int>>"))
 
 
 def _unsuppressed(spans: Column) -> Column:
@@ -255,16 +251,14 @@ def _unsuppressed(spans: Column) -> Column:
     before what it contains and one running maximum of stops per priority decides.
     """
     tiers = sorted(WEIGHT)
-    zero = F.struct(*[F.lit(-1).alias(f"t{p}") for p in tiers],
-                    F.slice(spans, 1, 0).alias("out"))
-
-    def step(a, s):
-        reach = F.greatest(*[F.when(s["priority"] >= p, a[f"t{p}"]).otherwise(-1) for p in tiers])
-        return F.struct(*[F.when((s["priority"] == p) & (s["stop"] > a[f"t{p}"]), s["stop"]).otherwise(a[f"t{p}"])
-                          .alias(f"t{p}") for p in tiers],
-                        F.when(reach >= s["stop"], a["out"]).otherwise(F.concat(a["out"], F.array(s))).alias("out"))
-
-    return F.aggregate(spans, zero, step, lambda a: a["out"])
+    reach = lambda a, s: F.greatest(*[F.when(s["priority"] >= p, a[f"t{p}"]).otherwise(-1) for p in tiers])
+    kept = scan_array(
+        spans, F.struct(*[F.lit(-1).alias(f"t{p}") for p in tiers]),
+        lambda a, s: F.struct(*[F.when((s["priority"] == p) & (s["stop"] > a[f"t{p}"]), s["stop"]).otherwise(a[f"t{p}"])
+                                .alias(f"t{p}") for p in tiers]),
+        lambda a, s: reach(a, s) < s["stop"], "boolean")
+    marked = F.filter(F.arrays_zip(spans.alias("span"), kept.alias("kept")), lambda z: z["kept"])
+    return F.transform(marked, lambda z: z["span"])
 
 
 def scan_licenses(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
@@ -308,7 +302,12 @@ def scan_licenses(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """One row per document: counts, first and last base place, labels and a confidence."""
+    """One row per document: counts, first and last base place, labels and a confidence.
+
+    Null and empty texts have no words, no labels and score 0; repeated rows repeat; an empty table gives an empty result; other
+    columns are not read. Of detections with one interval the better priority stays, of equal ones the first rule. A very long text
+    costs time in proportion to its length and hits, in one task.
+    """
     found = scan_licenses(docs)
     labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     no_labels = F.array().cast("array<string>")
