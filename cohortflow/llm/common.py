@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +80,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(ARROW_BYTES))
 
 
+def release_memory() -> None:
+    """Give memory that a worker has freed back to the machine: idle workers live on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):       # another C library
+        pass
+
+
+def trimmed(work):
+    """``work`` over a task's batches, after which the worker's freed memory is released."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def text_slices(column, most: int):
     """Consecutive slices of an Arrow column of text or bytes: (first row, list of bytes), each of about ``most`` bytes.
 

@@ -13,6 +13,7 @@ path with a switch is better.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import bounded_batches, text_slices
+from cohortflow.llm.common import bounded_batches, release_memory, text_slices
 
 TRAIN_DOCS = 5000       # labelled documents of one language that the model is fitted on, at most (expected)
 BUCKETS = 1 << 15       # hashed n-grams of one language
@@ -106,6 +107,10 @@ class LanguageModel:
         at = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
         return np.concatenate(self._scores)[at].astype(np.float64) if self._scores else np.zeros((0, len(self.languages)))
 
+    def forget(self) -> None:
+        """Drop the scored words."""
+        self._known, self._scores, self._old = {}, [], None
+
     def _add(self, words: list[str], scores: np.ndarray) -> None:
         base = len(self._known)
         self._known.update(zip(words, range(base, base + len(words))))
@@ -247,11 +252,16 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)     # BUCKETS numbers of each language
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def predict(texts: pa.Array) -> pa.Array:
-        found = [x for _, part in text_slices(texts, BATCH_BYTES)
-                 for x in detect([t.decode("utf-8", "replace") for t in part], shared.value)]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()),
-                                           pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        try:
+            for texts in batches:
+                found = [x for _, part in text_slices(texts, BATCH_BYTES) for x in detect([t.decode("utf-8", "replace") for t in part], own)]
+                yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()),
+                                                  pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
+        finally:
+            own.forget()
+            release_memory()
 
     return docs.withColumn("__found", predict(F.col(text_col).cast("binary"))).withColumns(
         {"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.llm.common import bounded_batches, settle, text_slices
+from cohortflow.llm.common import bounded_batches, settle, text_slices, trimmed
 from cohortflow.llm.word_ids import word_ids
 
 ROUNDS = 400        # pricing rounds of the linear program
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_
                     [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
 
-    return docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(cut, schema)
+    return docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(trimmed(cut), schema)
 
 
 def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:

@@ -21,6 +21,7 @@ spanning forest and not all its pairs.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import bounded_batches, settle, text_slices
+from cohortflow.llm.common import bounded_batches, settle, text_slices, trimmed
 from cohortflow.llm.components import connected_components
 
 SEED = 42
 SEGMENTS = 32
 LOW = 0x5555555555555555
 CROWD = 48          # members from which a cell is tiled
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 TILE = 512          # members of each side of a tile
 
 
@@ -64,8 +65,9 @@ def text_fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
     @F.arrow_udf("long")
-    def fingerprint(texts: pa.Array) -> pa.Array:
-        return pa.array([text_fingerprint(t, shingle) for _, part in text_slices(texts, BATCH_BYTES) for t in part], pa.int64())
+    def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return trimmed(lambda own: (pa.array([text_fingerprint(t, shingle) for _, part in text_slices(texts, BATCH_BYTES) for t in part],
+                                             pa.int64()) for texts in own))(batches)
 
     return docs.select(F.col(id_col), fingerprint(F.col(text_col).cast("binary")).alias("fp"))
 

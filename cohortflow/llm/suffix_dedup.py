@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortflow.llm.common import bounded_batches, settle, text_slices
+from cohortflow.llm.common import bounded_batches, settle, text_slices, trimmed
 
 GRAM = 16
 PIECE = 16
 CROWD = 256                 # dictionary entries of one kappa from which they are compared in pieces
 MAX_BITS = 28               # bit sets hold at most 2**28 bits (32 MB)
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -157,7 +157,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, text_col: str = "text") ->
                 raw, _, trigger, _, _, _ = _phrases(part, length)
                 yield pa.RecordBatch.from_arrays([pa.array(_kappa(raw, trigger, width_kappa).view(np.int64))], names=["kappa"])
 
-    shared = settle(texts.select("bytes").mapInArrow(kappas, _schema("kappa")).groupBy("kappa")
+    shared = settle(texts.select("bytes").mapInArrow(trimmed(kappas), _schema("kappa")).groupBy("kappa")
                     .agg(F.count("*").alias("n")).where("n > 1").select("kappa"), "kappas")
     bits = _width(shared.count())
     seen = _bit_set(shared, bits)
@@ -178,7 +178,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, text_col: str = "text") ->
                     [pa.array(x.view(np.int64)) for x in (kappa[hit], entry, _places(key, at), key, at)],
                     names=["kappa", "entry", "place", "key", "at"])
 
-    parse = settle(texts.mapInArrow(candidates, _schema("kappa", "entry", "place", "key", "at")), "parse")
+    parse = settle(texts.mapInArrow(trimmed(candidates), _schema("kappa", "entry", "place", "key", "at")), "parse")
     dictionary = settle(parse.groupBy("kappa", "entry").agg(F.count("*").alias("n"), F.min("place").alias("place")),
                         "dictionary")
     repeated = parse.join(dictionary.where("n > 1").select("kappa", "entry"), ["kappa", "entry"]).select("key", "at")
@@ -215,10 +215,10 @@ def repeated_runs(docs: DataFrame, length: int = 200, text_col: str = "text") ->
                 [pa.array(kappa.view(np.int64)), pa.array([raw[s:e + length] for s, e in zip(first.tolist(), last.tolist())], pa.binary()),
                  pa.array(key), pa.array(_packed(first - offset, last - first, tag))], names=["kappa", "text", "key", "at"])
 
-    local = (texts.mapInArrow(phrase_texts, T.StructType([*_schema("kappa"), T.StructField("text", T.BinaryType()),
+    local = (texts.mapInArrow(trimmed(phrase_texts), T.StructType([*_schema("kappa"), T.StructField("text", T.BinaryType()),
                                                           *_schema("key", "at")]))
              .repartition("kappa").sortWithinPartitions("kappa")
-             .mapInArrow(lambda batches: _twice_in_groups(batches, length), _schema("key", "at")))
+             .mapInArrow(trimmed(lambda batches: _twice_in_groups(batches, length)), _schema("key", "at")))
     if not n_crowded:
         return repeated.unionAll(local)
 
@@ -239,7 +239,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, text_col: str = "text") ->
                      else pa.array(c, pa.binary()) for i, c in enumerate(out)]
             yield pa.RecordBatch.from_arrays(longs, names=list(names))
 
-    cut = settle(texts.mapInArrow(pieces, _schema(*names)), "pieces")
+    cut = settle(texts.mapInArrow(trimmed(pieces), _schema(*names)), "pieces")
     cores = cut.groupBy("core1", "core2").agg(F.count("*").alias("n")).where("n > 1").select("core1", "core2")
     # pieces equal with all that surrounds them repeat as a whole; the windows of one of them meet the others'
     whole = ["core1", "core2", "left", "right", "low", "high"]
@@ -375,7 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_cols: tuple[str, ...]
             arrays = [pa.array(c, pa.int64()) for c in out[:3]] + [pa.array(c, pa.string()) for c in out[3:4 + with_text]]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(id_cols))] + arrays, names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(trimmed(cut), schema)
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:
