@@ -14,6 +14,7 @@ from .operators.groups import assign_groups, mark_groups
 from .operators.merge import (Merge, analysis_columns, column_types, dataset_shape, left_join_suffixed, merge_entities,
                               subject_pairs, union_pairs)
 from .operators.slices import first_per_key, latest_per_key, top1_per_key
+from .operators.staged import StagedMerge, stage_merge
 from .operators.survival import (diagnosis_age, event_free_survival, kaplan_meier, km_curve_points,
                                  km_median, km_risk_table, last_known_status, latest_subject,
                                  overall_survival, restrict_to_ids, valid_survival_rows)

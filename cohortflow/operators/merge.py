@@ -27,20 +27,22 @@ def _q(n: str):
 
 
 def left_join_suffixed(x: DataFrame, y: DataFrame, x_key: str, y_key: str,
-                       suffix: tuple[str, str]) -> DataFrame:
+                       suffix: tuple[str, str], link: str | None = None, how: str = "left") -> DataFrame:
     """``x`` LEFT JOIN ``y`` ON x_key <=> y_key, naming like a dplyr left join.
 
     The left key survives, the right key is dropped; a left non-key column that
     clashes with a right non-key column gets ``suffix[0]``; a right non-key column
     that clashes with any left column gets ``suffix[1]``. NULL keys match NULL keys.
-    Rows fan out when a subject has several right rows.
+    Rows fan out when a subject has several right rows. ``link`` names a column of both sides that stands for
+    their keys and is never null; it is joined on instead and kept once.
     """
-    y_aux = [c for c in y.columns if c != y_key]
+    y_aux = [c for c in y.columns if c not in (y_key, link)]
     xa, ya = x.alias("_x"), y.alias("_y")
     x_out = [F.col(f"_x.`{c}`").alias(c if (c == x_key or c not in y_aux) else c + suffix[0]) for c in x.columns]
     y_out = [F.col(f"_y.`{c}`").alias(c + suffix[1] if c in x.columns else c) for c in y_aux]
-    cond = F.col(f"_x.`{x_key}`").eqNullSafe(F.col(f"_y.`{y_key}`"))
-    return xa.join(ya, cond, "left").select(*x_out, *y_out)
+    cond = (F.col(f"_x.`{x_key}`").eqNullSafe(F.col(f"_y.`{y_key}`")) if link is None
+            else F.col(f"_x.`{link}`") == F.col(f"_y.`{link}`"))
+    return xa.join(ya, cond, how).select(*x_out, *y_out)
 
 
 def merge_entities(subject: DataFrame, person: DataFrame,

@@ -220,6 +220,7 @@ WHERE name NOT IN ('subject', 'person', 'timing', 'survival_characteristic', 'Me
         "flatten_json_lineitem": FLAT_LINEITEM,
         "merge_subject_person": f"{MERGED} SELECT * FROM merged",
         "merge_with_lineitem": f"{MERGED_LI} SELECT * FROM merged_li",
+        "merge_with_lineitem_staged": f"{MERGED_LI} SELECT * FROM merged_li",
         "dataset_shape": f"{MERGED_LI} SELECT count(*) AS n_rows, 26 AS n_columns FROM merged_li",
         "column_types": column_types_sql(),
     }

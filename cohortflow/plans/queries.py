@@ -17,6 +17,7 @@ from ..operators.flatten import flatten_entity, flatten_summary, union_members
 from ..operators.groups import group_counts
 from ..operators.slices import first_per_key, latest_per_key
 from ..operators.merge import Merge, subject_pairs, union_pairs
+from ..operators.staged import stage_merge
 from ..operators.montecarlo import DEFAULT_REPLICATES, monte_carlo_p
 from ..operators.table1 import Covariate, table1
 from ..session import materialize, shared_path
@@ -104,6 +105,11 @@ def merged(spark, d, with_lineitem=False):
     return merge_parts(spark, d, with_lineitem).frame()
 
 
+def staged_merge(spark, d):
+    parts = merge_parts(spark, d, True)
+    return stage_merge(parts.subject, parts.person, parts.entities)
+
+
 FLATTEN = {
     "entity_types": lambda s, d: entity_types(si.envelope(s, d)),
     "optional_entities": lambda s, d: optional_entities(si.envelope(s, d)),
@@ -116,6 +122,7 @@ FLATTEN = {
     "flatten_json_lineitem": lambda s, d: flatten_entity(si.json_envelope(s, d), "lineitem"),
     "merge_subject_person": lambda s, d: merged(s, d),
     "merge_with_lineitem": lambda s, d: merged(s, d, True),
+    "merge_with_lineitem_staged": lambda s, d: staged_merge(s, d).frame(),
     "dataset_shape": lambda s, d: merge_parts(s, d, True).shape(),
     "column_types": lambda s, d: r9(merge_parts(s, d, True).column_types()),
 }
