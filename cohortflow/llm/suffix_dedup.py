@@ -9,16 +9,16 @@ no window is without one. Consecutive windows with one trigger form a phrase: it
 runs from its first window's first byte to its last window's last byte.
 
 *Parse and dictionary.* The text from the trigger on, which all windows of the phrase share, orders
-phrases (``kappa``); equal phrase texts are one dictionary entry with a count. Windows can only be
-equal if their phrases agree in kappa. So the corpus falls into
-  - phrases whose kappa occurs once: no window of theirs repeats;
-  - dictionary entries that occur twice or more: all their windows repeat;
-  - single entries under a kappa that others share: their windows are compared with those of the kappa's
-    other entries (one occurrence of each). The entries of a kappa meet in one task, sorted by kappa, unless
+phrases (``kappa``); equal phrase texts are one dictionary entry with a count. A phrase holds all bytes of its windows, so
+no window runs into the next phrase: the parse is ordered to the depth of one phrase, by entry, and
+an entry's suffix of ``length`` bytes or more stands in corpus order once for each place of the entry in the parse.
+Windows can only be equal if their phrases agree in kappa, so the dictionary is sorted kappa by kappa:
+  - phrases whose kappa occurs once: no window of theirs has an equal neighbour in corpus order;
+  - dictionary entries that occur twice or more in the parse: all their windows have;
+  - single entries under a kappa that others share: the suffix array of the kappa's entries (one occurrence of each)
+    brings equal windows next to each other. The entries of a kappa meet in one task, unless
     they are many: then they are cut into pieces of 16 windows, a piece's core (the bytes that all its
     windows share) is counted first, and where unequal pieces share a core the bytes around it decide each window.
-Only equality of ``length`` bytes matters here, so classes of equal strings stand in for the order that
-suffix arrays of dictionary and parse would give; no global sort of suffixes is needed.
 
 *Scale.* Each step is a grouped count with partial aggregation or a join that the adaptive
 skew join can split; copies of a text share one key (hash of the text), so a group of copies
@@ -217,6 +217,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, text_col: str = "text") ->
 
     local = (texts.mapInArrow(trimmed(phrase_texts), T.StructType([*_schema("kappa"), T.StructField("text", T.BinaryType()),
                                                           *_schema("key", "at")]))
+             .distinct()                    # tasks with copies of one text send it once each
              .repartition("kappa").sortWithinPartitions("kappa")
              .mapInArrow(trimmed(lambda batches: _twice_in_groups(batches, length)), _schema("key", "at")))
     if not n_crowded:
@@ -265,21 +266,35 @@ def repeated_runs(docs: DataFrame, length: int = 200, text_col: str = "text") ->
     return repeated.unionAll(local).unionAll(equal).unionAll(single)
 
 
-def _window_hashes(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two polynomial hashes (modulo 2**64) of every window, from prefix sums."""
-    out = []
-    with np.errstate(over="ignore"):
-        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-            inverse = pow(base, -1, 1 << 64)
-            n = len(raw)
-            up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, inverse, np.uint64)
-            up[0] = down[0] = 1
-            up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-            letters = (raw.astype(np.uint64) + np.uint64(1)) * _C2
-            letters ^= letters >> np.uint64(29)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * down[:n])])
-            out.append((sums[length:] - sums[:-length]) * up[:n + 1 - length])
-    return out[0], out[1]
+def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``raw`` in the order of the ``depth`` bytes from each (at least 8), and each place's rank there.
+
+    Equal strings share a rank, the number of the first of them in the order. Prefix doubling: places ordered by
+    ``reach`` bytes are ordered by twice as many through the rank of the place ``reach`` bytes on; only places that
+    are still tied are sorted again. What would lie beyond the end comes first.
+    """
+    n = len(raw)
+    head = np.ndarray((n,), ">u8", buffer=raw.tobytes() + bytes(8), strides=(1,)).astype(np.uint64)
+    order = np.argsort(head)
+    slots, places, rank, key = np.arange(n), order, np.empty(n, np.int64), head[order]
+    reach = 8
+    while len(slots):
+        new = np.ones(len(slots), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[places] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        if reach == depth:
+            break
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        slots, step = slots[~alone], min(reach, depth - reach)
+        places = order[slots]
+        follow = places + step
+        key = rank[places] * (n + 1) + np.where(follow < n, rank[np.minimum(follow, n - 1)] + 1, 0)
+        again = np.argsort(key)
+        places, key = places[again], key[again]
+        order[slots] = places
+        reach += step
+    return order, rank
 
 
 def _twice_in_groups(batches, length: int):
@@ -308,19 +323,20 @@ def _runs_twice(table: pa.Table, length: int) -> pa.RecordBatch:
     cuts.append(len(texts))
     for a, b in zip(cuts, cuts[1:]):
         raw = np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8)
-        h1, h2 = _window_hashes(raw, length)
+        in_order, rank = suffix_array(raw, length)
         stops = np.cumsum(sizes[a:b])
         counts = sizes[a:b] - length + 1
         row = np.repeat(np.arange(a, b), counts)
         place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         start = place + np.repeat(stops - sizes[a:b], counts)
-        one, two = h1[start], h2[start]
-        order = np.lexsort((two, one))
-        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-        twice = np.zeros(len(row), dtype=bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        hit = np.nonzero(twice)[0]
+        is_window = np.zeros(len(raw), dtype=bool)
+        is_window[start] = True
+        in_order = in_order[is_window[in_order]]        # suffixes of ``length`` bytes or more of one entry
+        same = rank[in_order[1:]] == rank[in_order[:-1]]
+        twice = np.zeros(len(raw), dtype=bool)
+        twice[in_order[1:][same]] = True
+        twice[in_order[:-1][same]] = True
+        hit = np.nonzero(twice[start])[0]
         if len(hit):
             new = np.ones(len(hit), dtype=bool)
             new[1:] = (row[hit][1:] != row[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)

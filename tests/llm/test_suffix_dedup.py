@@ -45,6 +45,19 @@ def test_synthetic_texts_against_brute_force(spark, monkeypatch, crowd, length):
         assert r["kept_text"] == e[4].decode("utf-8", "ignore")
 
 
+@pytest.mark.parametrize("depth", [8, 9, 40, 64, 200])
+def test_suffix_array_orders_by_bytes(depth):
+    rng = random.Random(depth)
+    for raw in (b"", b"a", bytes(300), b"ab" * 200, bytes(rng.choice(b"ab") for _ in range(700)),
+                bytes(rng.randrange(256) for _ in range(500)) * 3):
+        order, rank = suffix_dedup.suffix_array(np.frombuffer(raw, dtype=np.uint8), depth)
+        inside = [i for i in order.tolist() if i + depth <= len(raw)]
+        strings = [raw[i:i + depth] for i in inside]
+        assert strings == sorted(strings) and sorted(order.tolist()) == list(range(len(raw)))
+        for i, j, s, t in zip(inside, inside[1:], strings, strings[1:]):
+            assert (rank[i] == rank[j]) == (s == t)
+
+
 def test_documents_against_brute_force(documents, texts):
     ids = list(texts)
     expected = dict(zip(ids, brute([texts[i] for i in ids], 200)))
