@@ -85,6 +85,46 @@ def test_capital_i_with_dot_before_punctuation(tokenizer):
         assert ids.tolist() == ids_of(tokenizer, t), t
 
 
+def test_a_batch_looks_up_each_chunk_once(monkeypatch):
+    """Chunks that a batch repeats, or that differ only in punctuation behind a word, cost one lookup together."""
+    table, asked = WordIds(PATH), []
+    gather = table.table.gather
+    monkeypatch.setattr(table.table, "gather", lambda chunks: (asked.extend(chunks), gather(chunks))[1])
+    table.encode([b"The cat, the cat. THE\tCAT! dog,cat"] * 50)
+    assert sorted(asked) == [b"", b"!", b",", b",cat", b".", b"cat", b"dog", b"the"]
+
+
+def test_plain_words_skip_the_steps_before_the_model(monkeypatch, tokenizer):
+    table, sent = WordIds(PATH), []
+    whole = table.tokenizer
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(table, "tokenizer", Spy())
+    text = "plain words only and one née " + " ".join(f"unheard{'of' * k}" for k in range(200))
+    assert table.encode([text.encode()])[0].tolist() == ids_of(tokenizer, text)
+    assert sent == ["née"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_batches_give_the_tokenizers_ids(seed, tokenizer):
+    rng = random.Random(seed)
+    parts = ["a", "Zo", "the", "it's", "'LL", "'", "é", "İ", "Σ", "中", "7", "42", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\x1c", "\xa0",
+             ".", ",", "!?", "*", "$", "#", "|", "(", "<", "-", "\x00"]
+    odd = ["\u0308", "\u0338", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "\u0345"]
+    texts = ["".join(rng.choices(parts + odd * (k % 3 == 0), k=rng.choice([0, 0, 1, 3, 40]))) for k in range(400)]
+    for limits in ({}, {"max_chunks": 7}):
+        ids, counts = WordIds(PATH, **limits).encode([t.encode() for t in texts])
+        expected = [ids_of(tokenizer, t) for t in texts]
+        assert counts.tolist() == [len(e) for e in expected]
+        assert ids.tolist() == [i for e in expected for i in e]
+    ids, counts = WordIds(PATH).encode([b"", b" \n", b""])
+    assert ids.tolist() == [0, 0, 0] and counts.tolist() == [1, 1, 1]
+
+
 def test_knapsack_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(20):
